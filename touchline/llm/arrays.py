@@ -85,13 +85,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offs, valid
 
 
-def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 << 14) -> Iterator[Chunk]:
     """Runs of whole texts of about max_bytes together; a longer text is a chunk of its own."""
     data, offs, valid = text_buffers(column)
     n, at = len(valid), 0
     while at < n:
         to = int(np.searchsorted(offs, offs[at] + max_bytes, side="right")) - 1
-        to = min(n, max(to, at + 1))
+        to = min(n, max(to, at + 1), at + max_rows)
         yield Chunk(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at], valid[at:to], at)
         at = to
 
@@ -99,13 +99,18 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
 class Words:
     """Words of a chunk in order: byte start, byte end, document and content hash of each."""
 
-    __slots__ = ("start", "end", "doc", "hash", "mask", "first")
+    __slots__ = ("start", "end", "doc", "hash", "first", "cut", "sums")
 
-    def __init__(self, start, end, doc, hash_, mask, first):
-        self.start, self.end, self.doc, self.hash, self.mask, self.first = start, end, doc, hash_, mask, first
+    def __init__(self, start, end, doc, hash_, first, cut=None, sums=None):
+        self.start, self.end, self.doc, self.hash, self.first, self.cut, self.sums = start, end, doc, hash_, first, cut, sums
+
+    def prefix_hash(self, which: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the first `size` bytes of the chosen words, which have as many; equal to that of a word."""
+        with np.errstate(over="ignore"):
+            return mix(self.sums[self.cut[which] + size] - self.sums[self.cut[which]] + U64(size) * _BASE)
 
 
-def words(c: Chunk, table: np.ndarray, data: np.ndarray | None = None, hashed: bool = True) -> Words:
+def words(c: Chunk, table: np.ndarray, data: np.ndarray | None = None, prefixes: bool = False) -> Words:
     """Maximal runs of bytes allowed by the table; a run ends at the end of its document.
 
     first[d] is the number of words before document d, so document d has words first[d]:first[d + 1].
@@ -114,7 +119,7 @@ def words(c: Chunk, table: np.ndarray, data: np.ndarray | None = None, hashed: b
     n = len(data)
     if not n:
         e = np.zeros(0, np.int64)
-        return Words(e, e, e, np.zeros(0, U64), np.zeros(0, bool), np.zeros(c.n + 1, np.int64))
+        return Words(e, e, e, np.zeros(0, U64), np.zeros(c.n + 1, np.int64), e, np.zeros(1, U64))
     m = table[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[c.offs] = True
@@ -126,10 +131,8 @@ def words(c: Chunk, table: np.ndarray, data: np.ndarray | None = None, hashed: b
     end = np.flatnonzero(m & (~after | edge[1:])) + 1
     first = np.searchsorted(start, c.offs, side="left")
     doc = np.repeat(np.arange(c.n), np.diff(first))
-    if not hashed:
-        return Words(start, end, doc, None, m, first)
     size = end - start
-    h = np.zeros(0, U64)
+    h, cut, sums = np.zeros(0, U64), size, np.zeros(1, U64)
     if len(start):
         at = np.flatnonzero(m)
         cut = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -137,7 +140,9 @@ def words(c: Chunk, table: np.ndarray, data: np.ndarray | None = None, hashed: b
         with np.errstate(over="ignore"):
             v = (data[at].astype(U64) + U64(1)) * _multipliers(int(size.max()))[place]
             h = mix(np.add.reduceat(v, cut) + size.astype(U64) * _BASE)
-    return Words(start, end, doc, h, m, first)
+            if prefixes:
+                sums = np.concatenate((sums, np.cumsum(v)))
+    return Words(start, end, doc, h, first, cut, sums)
 
 
 def window_hash(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
@@ -186,3 +191,52 @@ def joined_words(c: Chunk, w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.n
 
 def chunked_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+_FOLD = None
+
+
+def _fold_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower case, is_letter, is_upper) of the first 65,536 code points, built once a process."""
+    global _FOLD
+    if _FOLD is None:
+        low, letter, upper = np.arange(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=bool), np.zeros(1 << 16, dtype=bool)
+        for cp in range(1 << 16):
+            c = chr(cp)
+            letter[cp], upper[cp] = c.isalpha(), c.isupper()
+            if len(x := c.lower()) == 1:
+                low[cp] = ord(x)
+        _FOLD = low, letter, upper
+    return _FOLD
+
+
+def code_points(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets in code points) of UTF-8 bytes."""
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype=np.uint32)
+    return cp, np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offs]
+
+
+def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points in lower case, is_letter, offsets in code points) of UTF-8 bytes."""
+    lower, letters, _ = _fold_tables()
+    cp, at = code_points(data, offs)
+    low, letter = lower[cp & 0xFFFF], letters[cp & 0xFFFF]
+    for k in np.flatnonzero(cp > 0xFFFF).tolist():
+        c = chr(int(cp[k]))
+        low[k], letter[k] = ord(c.lower()[0]), c.isalpha()
+    return low, letter, at
+
+
+def shapes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit shape symbols, document of each): runs of capitals are A, of other letters a, of digits 0."""
+    _, letters, uppers = _fold_tables()
+    cp, at = code_points(data, offs)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    c = np.where(cp > 0xFFFF, 0xFFFF, cp).astype(np.uint64)
+    letter = letters[cp & 0xFFFF] & (cp <= 0xFFFF)
+    c[letter] = 0x61
+    c[letter & uppers[cp & 0xFFFF]] = 0x41
+    c[(cp >= 0x30) & (cp <= 0x39)] = 0x30
+    same = np.concatenate(([False], (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]))) if len(c) else np.zeros(0, bool)
+    keep = ~(same & ((c == 0x61) | (c == 0x41) | (c == 0x30)))
+    return c[keep], doc[keep]

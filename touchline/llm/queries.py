@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sentencepiece_bpe
+from . import language_id, quality_neighbours, quality_rules, sentencepiece_bpe, toxicity, url_templates
 
 
 def tokenizer_path() -> str:
@@ -16,6 +16,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -24,11 +29,74 @@ def op5_sentencepiece(spark, sf_dir):
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_sentencepiece)}
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_url_templates(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_neighbours(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_neighbours.predict(docs, quality_neighbours.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_language_id, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_url_templates, op9_quality_neighbours)
+}
+
+_RULES = sorted(url_templates.RULES, key=lambda r: (-len(r[1] + r[2]), r))
+_FIT = [f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')" for _, h, p in _RULES]
+
+
+def _url_sql() -> str:
+    u = url_templates
+    steps = ["t0 as (select *, string_split(shape, '/') as part, string_split(shape, '/')[1] as template from leaves)"]
+    for d in range(1, u.DEPTH + 1):
+        steps.append(f"""w{d} as (select host, template, true as wild from (
+    select host, template, part[{d + 1}] as own, sum(n) as n from t{d - 1} where len(part) > {d} group by all) x
+  group by host, template having count(*) >= {u.MIN_CHILDREN} and count(*) >= {u.MIN_NEW_SHARE} * sum(n))""")
+        steps.append(f"""t{d} as (select t.* exclude (template), case when len(part) > {d}
+    then t.template || '/' || case when wild then '*' else part[{d + 1}] end else t.template end as template
+  from t{d - 1} t left join w{d} w on t.host = w.host and t.template = w.template)""")
+    return f"""
+with base as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+ruled as (
+  select *, regexp_replace(path, '[0-9]+', '#', 'g') as shape,
+         case {" ".join(f"when {f} then '{h + p}'" for f, (_, h, p) in zip(_FIT, _RULES, strict=True))} end as rule,
+         case {" ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(_FIT, _RULES, strict=True))} end as said
+  from base),
+leaves as (
+  select host, shape, count(*) as n, count(said) as labelled, count(*) filter (where said = 'block') as blocked
+  from ruled group by host, shape),
+{", ".join(steps)},
+t as (select * exclude (template), template || case when len(part) > {u.DEPTH + 1} then '/' || array_to_string(part[{u.DEPTH + 2}:], '/') else '' end as template from t{u.DEPTH}),
+total as (select (sum(blocked) + 1)::double / (sum(labelled) + 2) as share from t),
+leaf as (
+  select *, regexp_extract(template, '^(.*)/[^/]*$', 1) as parent,
+         case when l >= {u.MIN_LABELLED} then cast(floor(10 * (b + 1) / (l + 2)) as int) else -1 end as tenth
+  from (select host, template, sum(blocked) as b, sum(labelled) as l from t group by host, template) x),
+merged as (select host, parent, tenth, sum(b) as mb, sum(l) as ml from leaf group by all),
+hosts as (select host, sum(b) as hb, sum(l) as hl from leaf group by host),
+judged as (
+  select leaf.host, leaf.template, ml, (mb + {u.TEMPLATE_WEIGHT} * (hb + {u.HOST_WEIGHT} * share) / (hl + {u.HOST_WEIGHT})) / (ml + {u.TEMPLATE_WEIGHT}) as purity
+  from leaf join merged using (host, parent, tenth) join hosts on leaf.host = hosts.host, total)
+select page_id, ruled.host, path, rule,
+       coalesce(said, case when ml >= {u.MIN_LABELLED} and purity >= {u.MIN_PURITY} then 'block' else 'allow' end) as verdict
+from ruled join t on ruled.host = t.host and ruled.shape = t.shape
+  join judged on t.host = judged.host and t.template = judged.template"""
+
 
 _STOP = ", ".join(f"'{form}'" for w in quality_rules.STOP_WORDS for form in dict.fromkeys((w, w.capitalize())))
 
 ORACLE = {
+    "op7_url_templates": _url_sql(),
     "op4_quality_rules": f"""
 with d as (
   select doc_id, coalesce(text, '') as t,
