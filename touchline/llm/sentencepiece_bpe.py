@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import chunks
+from .arrays import CHUNK_BYTES, chunks
 
 #: Segments that a Python worker keeps between batches; beyond it the table starts anew.
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 150_000
 _INF = np.int32(2**31 - 1)
 
 
@@ -249,10 +249,29 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.mapInArrow(run, _schema(docs, text, T.StringType()))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the ids of each text and the text of those ids, in one pass (one worker a task)."""
+    keep = [c for c in docs.columns if c not in (ids, decoded)]
+
+    def run(batches):
+        m = model(path)
+        for batch in batches:
+            for c in chunks(batch.column(batch.schema.get_field_index(text)), CHUNK_BYTES // 2):
+                rows = batch.slice(c.first, c.n)
+                got, count = m.encode([t or "" for t in rows.column(rows.schema.get_field_index(text)).to_pylist()])
+                offs = np.concatenate(([0], np.cumsum(count)))
+                lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(got, pa.int32()))
+                back = pa.array(m.decode(got, offs), pa.string())
+                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(k)) for k in keep] + [lists, back], names=[*keep, ids, decoded])
+
+    schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_tokens, SHA-256 of the ids and of the decoded text."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = decode(encode(plain, path).select("doc_id", "ids"), path)
+    coded = round_trip(plain, path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
