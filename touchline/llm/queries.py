@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_neighbours, quality_rules, sentencepiece_bpe, toxicity, url_templates
+from . import decontamination, language_id, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
 
 
 def tokenizer_path() -> str:
@@ -16,6 +16,14 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -38,6 +46,10 @@ def op7_url_templates(spark, sf_dir):
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_neighbours(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_neighbours.predict(docs, quality_neighbours.fit(docs, table(spark, sf_dir, "labels")))
@@ -45,7 +57,17 @@ def op9_quality_neighbours(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_language_id, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_url_templates, op9_quality_neighbours)
+    for f in (
+        op1_decontamination,
+        op2_substring_dedup,
+        op3_language_id,
+        op4_quality_rules,
+        op5_sentencepiece,
+        op6_toxicity,
+        op7_url_templates,
+        op8_suffix_dedup,
+        op9_quality_neighbours,
+    )
 }
 
 _RULES = sorted(url_templates.RULES, key=lambda r: (-len(r[1] + r[2]), r))
