@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
+from . import decontamination, jaccard_join, language_id, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
 
 
 def tokenizer_path() -> str:
@@ -55,6 +55,16 @@ def op9_quality_neighbours(spark, sf_dir):
     return quality_neighbours.predict(docs, quality_neighbours.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +77,8 @@ QUERIES = {
         op7_url_templates,
         op8_suffix_dedup,
         op9_quality_neighbours,
+        op10_jaccard_join,
+        pipeline,
     )
 }
 
