@@ -1,0 +1 @@
+"""No streaming operators: everything here is a batch plan, as the semantics ask for closed cohorts."""
