@@ -112,14 +112,14 @@ def neighbours(wide: DataFrame, features: list[str], *, robust: bool = False, to
     pairs = ask.join(other, "role").where(F.col("player_id") != F.col("peer_id"))
     square = sum((F.coalesce(F.pow(F.try_divide(F.col(m) - F.col(f"{m}__p"), F.when(F.col(f"{m}__s") > 0, F.col(f"{m}__s"))), F.lit(2.0)), F.lit(0.0)) for m in features), F.lit(0.0))
     found = pairs.withColumn("distance", F.sqrt(square))
-    near = top_of_each(found, ["player_id", "team_id"], [F.col("distance"), F.col("peer_id"), F.col("peer_team")], top_k)
+    near = top_of_each(found, ["role", "player_id", "team_id"], [F.col("distance"), F.col("peer_id"), F.col("peer_team")], top_k)
     return q.select("player_id", "team_id", "role", "minutes", "status", "peer_count", "active"), near
 
 
 def explained(near: DataFrame, features: list[str]) -> DataFrame:
     """A row per neighbour and active feature: differences, squared contribution and its share."""
     parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("query_value"), F.col(f"{m}__p").alias("peer_value"), F.col(f"{m}__s").alias("scale")) for m in features])
-    rows = near.select("player_id", "team_id", "peer_id", "peer_team", "rank", "distance", F.explode(parts).alias("f")).select("*", "f.*").drop("f").where("scale > 0")
+    rows = near.select("role", "player_id", "team_id", "peer_id", "peer_team", "rank", "distance", F.explode(parts).alias("f")).select("*", "f.*").drop("f").where("scale > 0")
     z = (F.col("query_value") - F.col("peer_value")) / F.col("scale")
     rows = rows.withColumns({"raw_difference": F.col("query_value") - F.col("peer_value"), "standardized": z, "contribution": z * z})
     total = F.col("distance") * F.col("distance")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_profiles
+from . import queries_basic, queries_profiles, queries_shortlist
 
-MODULES = (queries_profiles,)
+MODULES = (queries_basic, queries_profiles, queries_shortlist)
 
 
 def queries() -> dict:
