@@ -5,8 +5,8 @@ name. Then every symbol is on the left or right side by its hash, and each left-
 name. A name is the hash of what it names, so all tasks agree on it without a dictionary, and equal
 substrings have equal names inside, up to a margin at their ends. For every symbol the stretch of words
 that fixes its name is kept: its own words and its neighbours'. A window of WINDOW words picks the highest
-symbol whose stretch lies inside it (the smallest name of that level), and windows that share a
-high-level symbol are verified, see `regions`.
+symbol whose stretch lies inside it (of that level, the smallest hash of a stretch: about 16 words, which
+texts rarely share by chance), and windows that share a high-level symbol are verified, see `regions`.
 
 A word goes when a window over it also starts in a document with a smaller id; windows are judged on
 the input. Of rows with equal ids and texts none has a smaller id, so none loses words to the other.
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import SPACED, U64, Chunk, chunks, joined_words, mix, odd, words
-from .regions import covered, repeats, with_spans
+from .regions import RangeHash, covered, repeats, with_spans
 
 WINDOW = 50
-ROUNDS = 6
+ROUNDS = 4
 _A, _B, _C = odd(301, 3)
 
 
@@ -72,7 +72,8 @@ def recompress(symbol: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> lis
 
 def parse(c: Chunk):
     w = words(c, SPACED)
-    return w.hash, w.first, recompress(w.hash, w.doc)
+    text = RangeHash(w.hash)
+    return w.hash, w.first, [(a, b, text.of(a, b)) for a, b, _ in recompress(w.hash, w.doc)]
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
