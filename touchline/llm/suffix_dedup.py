@@ -30,7 +30,7 @@ from .arrays import U64, Chunk, chunks, mix, window_hash
 from .regions import covered, repeats, with_spans
 
 WINDOW = 200
-GRAM = 24
+GRAM = 40
 #: One of so many substrings is sampled as an anchor.
 SAMPLED = 16
 SHARD_BYTES = 1 << 20
@@ -120,7 +120,7 @@ def _indexed(rows: DataFrame) -> DataFrame:
         # runs of windows become one span
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1))) if len(place) else np.zeros(0, bool)
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(place)) - 1
+        tail = np.append(head[1:], len(place))[: len(head)] - 1
         doc, at = part.column("doc").to_numpy(), part.column("at").to_numpy().astype(np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(doc[owner[head]]), pa.array((at[owner[head]] + step[head]).astype(np.int32)), pa.array((at[owner[head]] + step[tail] + WINDOW).astype(np.int32))],
