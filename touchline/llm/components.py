@@ -42,4 +42,4 @@ def components(links: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     own = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return own.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return shared_table(own.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")

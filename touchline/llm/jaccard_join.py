@@ -11,15 +11,18 @@ A token is frequent when a task sees it in many sets that are otherwise unlike (
 tokens of a large group of near copies are not. The classes need only be the same everywhere: they
 are at most MAX_FREQUENT hashes, sent with the tasks.
 
-Keys of one node drop out in the task that sorts them. Links are then found in rounds:
+Rows of the index are dealt by key and sorted, and tasks stream over the runs of equal keys: keys of
+one node drop out there. Links are then found in rounds:
 
-1. Star rounds: per key, one hub of each component is compared with the hub of all, and each node
-   keeps the hub with which it shares most keys. Verified pairs are merged into components.
+1. Star rounds, which only save work: on a sample of the keys each node is compared with one hub, the
+   node of its keys that shares most keys itself. Verified links are merged into components, and keys
+   whose nodes are all of one component drop out in another streamed pass.
 2. Last round: pairs of nodes that share a key and still lie in different components, unless the number
    of shared prefix tokens proves that their overlap is too small.
 
-Every pair is verified on the whole sets. So a group of copies costs links in proportion to its size,
-and no link between components is lost.
+Every link is verified on the whole sets, which are dealt by hub; a hub with many partners is dealt to
+several tasks. So a group of copies costs links in proportion to its size, and no link between
+components is lost.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; texts of fewer
 words are one shingle; sets of one token link only with their equals; repeated rows are one node; an
@@ -40,9 +43,13 @@ from .regions import RangeHash, shared_table
 SHINGLE = 5
 PERCENT = 75
 MAX_FREQUENT = 200_000
-MIN_FREQUENT, MIN_UNLIKE = 24, 0.5
-STAR_ROUNDS = 3
-MAX_BROADCAST_NODES = 200_000
+MIN_FREQUENT, MIN_UNLIKE = 24, 0.75
+#: One of so many keys takes part in each star round; a node asks its hub at this share of its keys.
+STAR_SAMPLES = (8, 1)
+MIN_VOTES = 0.4
+MAX_BROADCAST_NODES = 400_000
+PARTNERS_PER_TASK = 2000
+MAX_RUN = 2_000_000
 _A, _B = odd(401, 2)
 
 
@@ -100,7 +107,8 @@ def prefix_keys(token: np.ndarray, offs: np.ndarray, frequent: np.ndarray):
 
 
 def _census(docs: DataFrame) -> DataFrame:
-    """(token, doc, n, c): a node row for each document (token null), and counts of tokens that a task sees twice."""
+    """(token, doc, n, c): a row for each document (token null; its node and size), and for tokens that a task sees in
+    several sets the sets (c) and kinds of sets (n) beyond the first."""
 
     def run(batches):
         for batch in batches:
@@ -123,7 +131,7 @@ def _census(docs: DataFrame) -> DataFrame:
                 on = many > 1
                 k = int(on.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(token[head][on])), pa.nulls(k, pa.int64()), pa.array(unlike[on]), pa.array(many[on])],
+                    [pa.array(signed(token[head][on])), pa.nulls(k, pa.int64()), pa.array(unlike[on] - 1), pa.array(many[on] - 1)],
                     names=["token", "doc", "n", "c"],
                 )
 
@@ -170,71 +178,108 @@ def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                     names=["key", "node", "n"],
                 )
 
-    def several(batches):
-        """Rows come in order; a run of one key may go on in the next batch, so its last row waits."""
-        last_key, last_row, last_alone = None, None, True
-        for batch in batches:
-            key, node, n = (batch.column(i).to_numpy() for i in range(3))
-            info = n < 0
-            if info.any():
-                yield batch.filter(pa.array(info))
-                key, node, n = key[~info], node[~info], n[~info]
-            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else info[:0]
-            if len(key) and last_row is not None and key[0] == last_key and node[0] == last_row[1]:
-                fresh[0] = False
-            key, node, n = key[fresh], node[fresh], n[fresh]
-            if not len(key):
-                continue
-            before = np.concatenate(([last_row is not None and key[0] == last_key], key[1:] == key[:-1]))
-            after = np.concatenate((key[1:] == key[:-1], [False]))
-            good = before | after
-            rows = [[], [], []]
-            if last_row is not None and last_alone and before[0]:
-                rows = [[last_row[0]], [last_row[1]], [last_row[2]]]
-            out = [np.concatenate((np.array(r, dtype=a.dtype), a[good])) for r, a in zip(rows, (key, node, n), strict=True)]
-            if len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["key", "node", "n"])
-            last_key, last_row, last_alone = key[-1], (key[-1], node[-1], n[-1]), not good[-1]
+    def several(key, node, n):
+        info = n < 0
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) & ~info
+        head = np.concatenate(([True], key[1:] != key[:-1]))
+        run = np.cumsum(head) - 1
+        return info | (fresh & (np.bincount(run, weights=fresh)[run] > 1))
 
     schema = "key long, node long, n int"
-    rows = docs.mapInArrow(emit, schema).repartition("key").sortWithinPartitions("key", "node")
-    return rows.mapInArrow(several, schema)
+    return _streamed(docs.mapInArrow(emit, schema), several, schema)
+
+
+def _streamed(rows: DataFrame, keep, schema: str) -> DataFrame:
+    """Rows of (key, node, ...) that keep(columns) flags; it gets whole runs of equal keys, sorted by key and node.
+
+    A run longer than MAX_RUN is handed over in parts; its parts after the first are kept whole.
+    """
+
+    def run(batches):
+        held, size = [], 0
+        long_key = None
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            key = batch.column(0).to_numpy()
+            if size < 20_000 or not batch.num_rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            all_keys = table.column(0).to_numpy()
+            cut = int(np.searchsorted(all_keys, key[-1]))
+            if not cut and size < MAX_RUN:
+                continue
+            long_run = not cut
+            cut = cut or size
+            part = table.slice(0, cut)
+            flags = keep(*[x.to_numpy() for x in part.columns])
+            if long_run or long_key is not None:
+                flags = flags | np.isin(part.column(0).to_numpy(), [all_keys[0] if long_run else long_key])
+            long_key = all_keys[0] if long_run else None
+            yield from part.filter(pa.array(flags)).to_batches()
+            held, size = [b for b in table.slice(cut).to_batches() if b.num_rows], table.num_rows - cut
+        if size:
+            part = pa.Table.from_batches(held)
+            flags = keep(*[x.to_numpy() for x in part.columns])
+            if long_key is not None:
+                flags = flags | (part.column(0).to_numpy() == long_key)
+            yield from part.filter(pa.array(flags)).to_batches()
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+
+
+def _by_node(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a node, which is sent to the tasks while it is small."""
+    return rows.join(F.broadcast(other) if other.count() <= MAX_BROADCAST_NODES else other, "node", how)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets reach PERCENT."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = shared_table(wanted.join(nodes.select("node", "doc"), "node"), "wanted")
-    if wanted.count() <= MAX_BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    text = docs.join(wanted, docs["doc_id"] == wanted["doc"]).select("node", "text")
+    """Of pairs (a, b) those whose whole sets reach PERCENT. The sets of a are dealt to that of their b."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS_PER_TASK).alias("parts"))
+    dealt = shared_table(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "dealt")
+    jobs = dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), "part", F.lit(1).alias("turn"))
+    jobs = jobs.union(dealt.select(F.col("b").alias("node"), F.col("b").alias("hub"), "part", F.lit(0).alias("turn")).distinct())
+    own = jobs.groupBy("node").agg(F.collect_list(F.struct("hub", "part", "turn")).alias("jobs")).join(nodes.select("node", "doc"), "node")
+    own = shared_table(own, "jobs")
+    text = docs.join(F.broadcast(own) if own.count() <= MAX_BROADCAST_NODES else own, docs["doc_id"] == own["doc"]).select("node", "text", "jobs")
 
     def fetch(batches):
         for batch in batches:
             for c in chunks(batch.column(1)):
                 token, offs = shingle_sets(c)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, c.n), pa.array([token[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())],
-                    names=["node", "tokens"],
-                )
-
-    sets = shared_table(text.mapInArrow(fetch, "node long, tokens binary").dropDuplicates(["node"]), "sets")
+                lists = batch.column(2).slice(c.first, c.n)
+                row = np.repeat(np.arange(c.n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                node = batch.column(0).slice(c.first, c.n).to_numpy()
+                for at in range(0, len(row), 500):
+                    some = row[at : at + 500]
+                    blobs = pa.array([token[offs[r] : offs[r + 1]].tobytes() for r in some.tolist()], pa.binary())
+                    part = flat.slice(at, len(some))
+                    yield pa.RecordBatch.from_arrays([part.field(0), part.field(1), part.field(2), pa.array(node[some]), blobs], names=["hub", "part", "turn", "node", "tokens"])
+
+    sets = text.mapInArrow(fetch, "hub long, part long, turn int, node long, tokens binary")
+    sets = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
 
     def check(batches):
+        name, lead = None, np.zeros(0, U64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                good = []
-                for x, y in zip(part.column(2), part.column(3), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)
-                    s = np.sort(np.concatenate((p, q)))
-                    both = int((s[1:] == s[:-1]).sum())
-                    good.append(100 * both >= PERCENT * (len(s) - both))
-                yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    full = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+            hub, part, turn, node = (batch.column(i).to_numpy() for i in range(4))
+            tokens = batch.column(4)
+            good = []
+            for k in range(batch.num_rows):
+                own = np.frombuffer(tokens[k].as_buffer(), dtype=U64)
+                if not turn[k]:
+                    name, lead = (hub[k], part[k]), own.copy()
+                    continue
+                assert name == (hub[k], part[k])
+                both = np.sort(np.concatenate((lead, own)))
+                same = int((both[1:] == both[:-1]).sum())
+                if 100 * same >= PERCENT * (len(both) - same):
+                    good.append(k)
+            if good:
+                yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(hub[good])], names=["a", "b"])
+
+    return sets.mapInArrow(check, "a long, b long")
 
 
 def _sized(a: str, b: str):
@@ -242,53 +287,64 @@ def _sized(a: str, b: str):
     return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
 
 
+def _stars(rows: DataFrame, fame: DataFrame, sample: int) -> DataFrame:
+    """(a, b): for each node the hub with which it shares most of the sampled keys; rows have comp."""
+    known = _by_node(rows.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0), fame)
+    top = known.groupBy("key").agg(F.max(F.struct("fame", "node", "n", "comp")).alias("hub"))
+    pair = known.join(top, "key").where(F.col("comp") != F.col("hub.comp"))
+    pair = pair.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).where(_sized("na", "nb"))
+    pair = pair.groupBy("a", "b", "na").agg(F.count("*").alias("votes"))
+    pair = pair.groupBy("a", "na").agg(F.max(F.struct("votes", "b")).alias("v"))
+    likely = 100 * sample * F.col("v.votes") >= MIN_VOTES * (100 - PERCENT) * F.col("na")
+    return pair.where(likely).select("a", F.col("v.b").alias("b"))
+
+
+def _across(rows: DataFrame, bound: DataFrame) -> DataFrame:
+    """(a, b): pairs of one key and different components whose overlap may be large enough."""
+    left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pair = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb"))
+    pair = pair.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    for x in "ab":
+        pair = pair.join(bound.select(F.col("node").alias(x), F.col("last").alias(f"l{x}"), F.col("used").alias(f"u{x}")), x)
+    # of the prefix that ends first every shared token is counted: what it does not share, it lacks
+    flip = F.lit(-(1 << 63))
+    a_first = F.col("la").bitwiseXOR(flip) <= F.col("lb").bitwiseXOR(flip)
+    singles = (F.col("ua") > 0) & (F.col("ub") > 0)
+    most = F.col("c") + F.when(a_first, F.col("na") - F.col("ua")).otherwise(F.col("nb") - F.col("ub"))
+    # overlap o of sizes na, nb: 100 o >= PERCENT (na + nb - o)
+    return pair.where(~singles | ((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
-    """Verified links (a, b) between nodes that connect all linked nodes; None without a shared key."""
+    """Verified links (a, b) between nodes that connect all linked nodes; None when there is none."""
     index = shared_table(_index(docs, frequent), "index")
-    bound = index.where("n < 0").groupBy("node").agg(F.max("key").alias("last"), F.max(-1 - F.col("n")).alias("used"))
+    bound = shared_table(index.where("n < 0").groupBy("node").agg(F.max("key").alias("last"), F.max(-1 - F.col("n")).alias("used")), "bound")
     rows = index.where("n > 0")
-    comp = None
-    found = None
-    for step in range(STAR_ROUNDS + 1):
-        if comp is None:
-            now = rows.withColumn("comp", F.col("node"))
-        else:
-            now = rows.join(comp.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spread = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-        now = now.join(spread.select("key", "size"), "key")
-        now = shared_table(now.select("key", "node", "n", "comp", "size"), "keys")
-        if now.isEmpty():
+    # the part of its prefix that a node shares: a copy's own words are its alone
+    share = F.count("*") * 100 / (F.first("n") * (100 - PERCENT) + 100)
+    fame = shared_table(rows.groupBy("node").agg(share.alias("fame")), "fame")
+    now = rows.withColumn("comp", F.col("node"))
+    found, comp = None, None
+
+    def several(key, node, n, comp):
+        run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        return (np.maximum.reduceat(comp, head) > np.minimum.reduceat(comp, head))[run]
+
+    for step, sample in enumerate((*STAR_SAMPLES, 0)):
+        pair = _stars(now, fame, sample) if sample else _across(now, bound)
+        fresh = shared_table(_verified(shared_table(pair, "pairs"), docs, nodes), "verified")
+        if not fresh.isEmpty():
+            found = fresh if found is None else found.union(fresh)
+            comp = components(found)
+        if not sample:
             break
-        if step < STAR_ROUNDS:
-            fame = now.groupBy("node").agg(F.avg("size").alias("fame"))
-            known = now.join(fame, "node")
-            top = known.groupBy("key").agg(F.max(F.struct("fame", "node", "n", "comp")).alias("hub"))
-            best = known.groupBy("key", "comp").agg(F.max(F.struct("fame", "node", "n")).alias("own")) if comp is not None else known.select("key", "comp", F.struct("fame", "node", "n").alias("own"))
-            pair = best.join(top, "key").where(F.col("comp") != F.col("hub.comp")).select(F.col("own.node").alias("a"), F.col("own.n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"))
-            pair = pair.where(_sized("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("votes"))
-            pair = pair.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
-        else:
-            left = now.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            right = now.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pair = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb"))
-            pair = pair.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-            for x in "ab":
-                pair = pair.join(bound.select(F.col("node").alias(x), F.col("last").alias(f"l{x}"), F.col("used").alias(f"u{x}")), x)
-            # the prefix that ends first is counted in full: what it does not share, it lacks
-            flip = F.lit(-(1 << 63))
-            a_first = F.col("la").bitwiseXOR(flip) <= F.col("lb").bitwiseXOR(flip)
-            plain = (F.col("ua") > 0) & (F.col("ub") > 0)
-            most = F.col("c") + F.when(a_first, F.col("na") - F.col("ua")).otherwise(F.col("nb") - F.col("ub"))
-            # overlap o of sizes na, nb: 100 o >= PERCENT (na + nb - o)
-            pair = pair.where(~plain | ((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
-        pair = shared_table(pair, "pairs")
-        fresh = shared_table(_verified(pair, docs, nodes), "verified")
-        if fresh.isEmpty():
-            if step == STAR_ROUNDS:
-                break
-            continue
-        found = fresh if found is None else found.union(fresh)
-        comp = shared_table(components(found), "components")
+        old = now.select("key", "node", "n")
+        if comp is not None:
+            now = _by_node(old, comp.withColumnRenamed("component", "comp"), "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        if step == 0 or comp is not None:
+            now = shared_table(_streamed(now, several, "key long, node long, n int, comp long"), "keys")
     return found
 
 
