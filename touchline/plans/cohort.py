@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..operators import profiles as P
 from ..operators import statistics as St
+from ..sources.shared import materialised
 from .binding import ACTIONS_SQL, actions, exposed
 
 SESSION = ["player_id", "team_id", "match_id"]
@@ -23,6 +24,11 @@ class Cohort:
     sf_dir: str
     min_minutes: float = S.MIN_MINUTES
     min_peers: int = S.MIN_PEERS
+    #: Write spells and season rows once where many plans read them.
+    cut: bool = False
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return materialised(df, name) if self.cut else df
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -64,12 +70,12 @@ class Cohort:
     def spells(self) -> DataFrame:
         """One row per entity and group with exposure, role, reasons, eligibility and reference flag."""
         base = self.exposure.where("us > 0").join(P.dominant_role(self.role_time, SPELL), SPELL, "left")
-        return P.with_eligibility(base, self.min_minutes)
+        return self._kept(P.with_eligibility(base, self.min_minutes), "spells")
 
     @cached_property
     def season(self) -> DataFrame:
         stats = St.rolled_up(self.session_stats, SPELL)
-        return St.rated(stats.join(self.exposure.where("us > 0").select(*SPELL, "minutes"), SPELL))
+        return self._kept(St.rated(stats.join(self.exposure.where("us > 0").select(*SPELL, "minutes"), SPELL)), "season")
 
     @cached_property
     def long(self) -> DataFrame:

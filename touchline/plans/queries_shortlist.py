@@ -10,6 +10,7 @@ from ..functions.scalars import eligibility_at, hash_bucket, point, retained
 from ..operators import profiles as P
 from ..operators import ranking as R
 from ..operators import similarity as Sim
+from ..sources.shared import materialised
 from .cohort import SPELL, Cohort, cohort_sql
 
 QUERIES, ORACLE = {}, {}
@@ -51,7 +52,7 @@ SIM = BASE + similarity_sql("near")
 
 def query(sql: str, prefix: str):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Cohort(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Cohort(spark, sf_dir, cut=True))
         ORACLE[f.__name__] = prefix + "\n" + sql
         return f
 
@@ -60,7 +61,7 @@ def query(sql: str, prefix: str):
 
 def _wide(c: Cohort):
     long = c.season.where(F.col("metric").isin(FEATS)).join(c.spells.select(*SPELL, "role", "eligible", "is_ref"), SPELL)
-    return Sim.wide_values(long, FEATS, INFO)
+    return materialised(Sim.wide_values(long, FEATS, INFO), "wide")
 
 
 @query("select role, metric, round(avg(v), 6) as centre, round(stddev_pop(v), 6) as scale from long where is_ref and v is not null group by all", BASE)
@@ -199,7 +200,7 @@ _SUMMARY = " union all ".join(f"select '{n}' as scenario, count(*) as available,
 
 @query(_SUMMARY, SIM + "".join(_VARIANTS.values()))
 def similarity_sensitivity(c):
-    base = Sim.neighbours(_wide(c), FEATS)[1]
+    base = materialised(Sim.neighbours(_wide(c), FEATS)[1], "base")
     out = None
     for name, variant in _scenarios(c):
         row = _overlap(base, variant, SPELL).agg(F.lit(name).alias("scenario"), F.count("*").alias("available"), point(F.avg("overlap")).alias("mean_overlap"))
