@@ -96,7 +96,7 @@ def common_percentiles(long: DataFrame, sets: DataFrame, keys: list[str]) -> Dat
 
 def category_scores(long: DataFrame, spark, min_peers: int = S.MIN_PEERS) -> DataFrame:
     """player, team, category, score, peer_count, status."""
-    keys = ["player_id", "team_id", "role"]
+    keys = ["player_id", "team_id"]
     sets = spark.createDataFrame([(c, m, len(ms)) for c, ms in S.CATEGORIES.items() for m in ms], "set string, metric string, parts int")
     rows = common_percentiles(long, sets, keys)
     pct = directed(F.col("metric"), F.col("pct"))

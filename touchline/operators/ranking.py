@@ -23,7 +23,7 @@ def requirement_table(spark, requirements: list[list[tuple]]) -> DataFrame:
 
 def components(long: DataFrame, requirements: DataFrame) -> DataFrame:
     """A row per reference spell, requirement and metric: v, percentile, weight, contribution."""
-    rows = common_percentiles(long.where("is_ref"), requirements, ["player_id", "team_id", "role"])
+    rows = common_percentiles(long.where("is_ref"), requirements, ["player_id", "team_id"])
     pct = directed(F.col("metric"), F.col("pct"))
     return rows.withColumn("percentile", pct).withColumn("contribution", F.col("weight") * F.col("percentile"))
 

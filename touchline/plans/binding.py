@@ -52,24 +52,25 @@ def actions(spark, sf_dir: str) -> DataFrame:
         kind.alias("kind"),
         (k * 1.2).alias("sx"),
         ((k * 37) % 101 * 0.8).alias("sy"),
-        when(k % 17 != 0, (k * 7 + 13) % 101 * 1.2).alias("ex"),
+        when((k % 17 != 0) | (u % 6 != 0), (k * 7 + 13) % 101 * 1.2).alias("ex"),
         ((k * 13 + 5) % 101 * 0.8).alias("ey"),
     )
     k, kd = F.col("k"), F.col("kind")
+    whole = F.col("player_id") % 6 != 0  # these have no unknown attribute
     a = a.withColumns(
         {
-            "outcome": when(kd == "Pass", when(k % 20 == 0, "unknown").when(k % 3 == 0, "incomplete").otherwise("complete")),
-            "pass_length": when((kd == "Pass") & (k % 19 != 0), k * 0.6),
+            "outcome": when(kd == "Pass", when((k % 20 == 0) & ~whole, "unknown").when(k % 3 == 0, "incomplete").otherwise("complete")),
+            "pass_length": when((kd == "Pass") & ((k % 19 != 0) | whole), k * 0.6),
             "switch": (kd == "Pass") & (k % 9 == 0),
             "cross": (kd == "Pass") & (k % 8 == 0),
             "pass_type": when((kd == "Pass") & (k % 15 == 0), "Corner"),
-            "play_pattern": when(k % 13 != 0, when(k % 4 == 0, "From Throw In").otherwise("Regular Play")),
-            "xg": when((kd == "Shot") & (k % 25 != 0), F.least(F.col("value") / 500, F.lit(1.0))),
-            "shot_outcome": when(kd == "Shot", when(k % 4 == 0, "Goal").when(k % 4 == 1, "Saved").when(k % 4 == 2, "Off T").when(k % 7 != 0, "Blocked")),
-            "shot_type": when((kd == "Shot") & (k % 23 != 0), when(k % 11 == 0, "Penalty").otherwise("Open Play")),
+            "play_pattern": when((k % 13 != 0) | whole, when(k % 4 == 0, "From Throw In").otherwise("Regular Play")),
+            "xg": when((kd == "Shot") & ((k % 25 != 0) | whole), F.least(F.col("value") / 500, F.lit(1.0))),
+            "shot_outcome": when(kd == "Shot", when(k % 4 == 0, "Goal").when(k % 4 == 1, "Saved").when(k % 4 == 2, "Off T").when((k % 7 != 0) | whole, "Blocked")),
+            "shot_type": when((kd == "Shot") & ((k % 23 != 0) | whole), when(k % 11 == 0, "Penalty").otherwise("Open Play")),
             "counterpress": (kd == "Pressure") & (k % 2 == 0),
-            "recovery_failure": when((kd == "Ball Recovery") & (k % 6 != 0), k % 5 == 0),
-            "duel_type": when((kd == "Duel") & (k % 10 != 0), when(k % 3 == 0, "Tackle").otherwise("Aerial Lost")),
+            "recovery_failure": when((kd == "Ball Recovery") & ((k % 6 != 0) | whole), k % 5 == 0),
+            "duel_type": when((kd == "Duel") & ((k % 10 != 0) | whole), when(k % 3 == 0, "Tackle").otherwise("Aerial Lost")),
             "valid": (F.col("player_id") * 31 + F.col("match_id")) % 97 != 0,
             "assist": (kd == "Pass") & (k % 5 == 0),
         }
@@ -97,21 +98,21 @@ bound as (
       when 'signup' then (['Interception','Ball Recovery','Duel','Block','Clearance','Miscontrol','Dispossessed','Pressure'])[k % 8 + 1]
       else case when k % 3 = 0 then 'Pressure' else 'Half Start' end end as kind,
     k * 1.2e0 as sx, ((k * 37) % 101) * 0.8e0 as sy,
-    case when k % 17 <> 0 then ((k * 7 + 13) % 101) * 1.2e0 end as ex, ((k * 13 + 5) % 101) * 0.8e0 as ey
+    case when k % 17 <> 0 or user_id % 6 <> 0 then ((k * 7 + 13) % 101) * 1.2e0 end as ex, ((k * 13 + 5) % 101) * 0.8e0 as ey
   from raw),
 act as (
   select *,
-    case when kind = 'Pass' then case when k % 20 = 0 then 'unknown' when k % 3 = 0 then 'incomplete' else 'complete' end end as outcome,
-    case when kind = 'Pass' and k % 19 <> 0 then k * 0.6e0 end as pass_length,
+    case when kind = 'Pass' then case when k % 20 = 0 and not (player_id % 6 <> 0) then 'unknown' when k % 3 = 0 then 'incomplete' else 'complete' end end as outcome,
+    case when kind = 'Pass' and (k % 19 <> 0 or player_id % 6 <> 0) then k * 0.6e0 end as pass_length,
     kind = 'Pass' and k % 9 = 0 as switch, kind = 'Pass' and k % 8 = 0 as "cross",
     case when kind = 'Pass' and k % 15 = 0 then 'Corner' end as pass_type,
-    case when k % 13 <> 0 then case when k % 4 = 0 then 'From Throw In' else 'Regular Play' end end as play_pattern,
-    case when kind = 'Shot' and k % 25 <> 0 then least(value / 500, 1e0) end as xg,
-    case when kind = 'Shot' then case k % 4 when 0 then 'Goal' when 1 then 'Saved' when 2 then 'Off T' else case when k % 7 <> 0 then 'Blocked' end end end as shot_outcome,
-    case when kind = 'Shot' and k % 23 <> 0 then case when k % 11 = 0 then 'Penalty' else 'Open Play' end end as shot_type,
+    case when (k % 13 <> 0 or player_id % 6 <> 0) then case when k % 4 = 0 then 'From Throw In' else 'Regular Play' end end as play_pattern,
+    case when kind = 'Shot' and (k % 25 <> 0 or player_id % 6 <> 0) then least(value / 500, 1e0) end as xg,
+    case when kind = 'Shot' then case k % 4 when 0 then 'Goal' when 1 then 'Saved' when 2 then 'Off T' else case when (k % 7 <> 0 or player_id % 6 <> 0) then 'Blocked' end end end as shot_outcome,
+    case when kind = 'Shot' and (k % 23 <> 0 or player_id % 6 <> 0) then case when k % 11 = 0 then 'Penalty' else 'Open Play' end end as shot_type,
     kind = 'Pressure' and k % 2 = 0 as counterpress,
-    case when kind = 'Ball Recovery' and k % 6 <> 0 then k % 5 = 0 end as recovery_failure,
-    case when kind = 'Duel' and k % 10 <> 0 then case when k % 3 = 0 then 'Tackle' else 'Aerial Lost' end end as duel_type,
+    case when kind = 'Ball Recovery' and (k % 6 <> 0 or player_id % 6 <> 0) then k % 5 = 0 end as recovery_failure,
+    case when kind = 'Duel' and (k % 10 <> 0 or player_id % 6 <> 0) then case when k % 3 = 0 then 'Tackle' else 'Aerial Lost' end end as duel_type,
     (player_id * 31 + match_id) % 97 <> 0 as valid, kind = 'Pass' and k % 5 = 0 as assist
   from bound),
 actions as (

@@ -254,9 +254,9 @@ def _requirements(**change):
 
 
 def requirement_sql(name: str, rows: list[list[tuple]]) -> str:
-    flat = ", ".join(f"('{s}', '{role}', '{m}', {w!r}::double, {parts}, {mm}, {k}, {ex if ex else '[]'}::bigint[])" for r in rows for s, role, m, w, _, parts, mm, k, ex in r)
+    flat = ", ".join(f"('{s}', '{role}', '{m}', {w!r}::double, {place}, {parts}, {mm}, {k}, {ex if ex else '[]'}::bigint[])" for r in rows for s, role, m, w, place, parts, mm, k, ex in r)
     return f""",
-{name}(set_, set_role, metric, weight, parts, min_minutes, top_k, excluded) as (values {flat})"""
+{name}(set_, set_role, metric, weight, place, parts, min_minutes, top_k, excluded) as (values {flat})"""
 
 
 def ranking_sql(name: str, req: str, long: str = "long", spells: str = "spells") -> str:
@@ -270,7 +270,7 @@ def ranking_sql(name: str, req: str, long: str = "long", spells: str = "spells")
 {name}_parts as (select r.*, case when r.metric in ('miscontrols', 'dispossessions') then 100 - pct0 else pct0 end as percentile
   from {name}_rows r left join {name}_mid m on r.set_ = m.set_ and r.player_id = m.player_id and r.team_id = m.team_id and r.metric = m.metric),
 {name}_each as (select set_, player_id, team_id, any_value(minutes) as minutes, bool_and(complete) as complete, count(percentile) as known, any_value(parts) as parts,
-    sum(weight * percentile) as score, any_value(top_k) as top_k, bool_and(complete and minutes >= min_minutes and not list_contains(excluded, team_id)) as candidate from {name}_parts group by set_, player_id, team_id),
+    sum(weight * percentile order by place) as score, any_value(top_k) as top_k, bool_and(complete and minutes >= min_minutes and not list_contains(excluded, team_id)) as candidate from {name}_parts group by set_, player_id, team_id),
 {name}_status as (select *, case when status = 'AVAILABLE' then passing else 0 end as candidate_count from (
   select d.set_, d.set_role as role, d.top_k, coalesce(peer_count, 0) as peer_count, coalesce(passing, 0) as passing,
     case when coalesce(peer_count, 0) < {S.MIN_PEERS} then 'INSUFFICIENT_PEERS' when unranked > 0 then 'CONSTANT_COMPONENT' when passing > 0 then 'AVAILABLE' else 'NO_CANDIDATES' end as status
@@ -327,9 +327,9 @@ _REQ_EX = requirement_sql("req", _requirements(min_minutes=20000.0, excluded=(3,
 
 @query("""select set_ as requirement, player_id, team_id, array_to_string(why, ',') as reasons, array_to_string(shown, ',') as missing_metrics from (
   select *, case when not coalesce(role = set_role, false) then ['NOT_REQUESTED_POSITION'] when not eligible then reasons when not is_ref then ['SHORTER_OR_TIED_TEAM_SPELL'] when miss is not null then ['MISSING_REQUIRED_METRICS']
-    else list_filter([case when minutes < min_minutes then 'BELOW_REQUIREMENT_MINUTES' end, case when list_contains(excluded, team_id) then 'EXCLUDED_TEAM' end], lambda x: x is not null) end as why,
+    else list_filter([case when minutes < min_minutes then 'BELOW_REQUIREMENT_MINUTES' end, case when list_contains(ex_teams, team_id) then 'EXCLUDED_TEAM' end], lambda x: x is not null) end as why,
     case when coalesce(role = set_role, false) and eligible and is_ref then miss end as shown from (
-    select p.*, d.*, m.miss from spells p cross join (select distinct set_, set_role, min_minutes, excluded from req) d left join (
+    select p.*, d.*, m.miss from spells p cross join (select distinct set_, set_role, min_minutes, excluded as ex_teams from req) d left join (
       select set_, player_id as pid, team_id as tid, list_sort(list(distinct r.metric)) as miss from long l join req r on l.metric = r.metric and l.role = r.set_role where is_ref and v is null group by all) m
       on m.set_ = d.set_ and m.pid = p.player_id and m.tid = p.team_id) x) y where len(why) > 0""", cohort_sql() + _REQ_EX)
 def ranking_exclusions(c):
