@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from .arrays import U64, chunks, mix, odd, signed, window_hash
 
 MAX_INDEXED = 2048
-#: Needed places are sent to the tasks up to this many; more are joined by a shuffle of the texts.
-MAX_BROADCAST_PLACES = 400_000
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +43,13 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `shared_table` wrote, once nothing reads it any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 class RangeMin:
     """Leftmost smallest key of any range of an array."""
 
@@ -161,10 +166,13 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
         often = rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     else:
         often = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    rows = shared_table(rows.join(often.select("anchor"), "anchor"), f"{unit}-shared")
+    # a table of its own, so that both sides of the join are plain exchanges, which can be split when skewed
+    often = shared_table(often.select("anchor"), f"{unit}-often")
+    every, rows = rows, shared_table(rows.join(often, "anchor"), f"{unit}-shared")
+    discard(every)
     own = F.min(F.struct("doc", "at", "n")).alias("own")
     distinct = shared_table(rows.groupBy("anchor", "region").agg(own, F.count("*").alias("c")), f"{unit}-distinct")
-    several = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    several = shared_table(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), f"{unit}-several")
     # equal regions, as a whole
     if keep_first:
         equal = rows.join(distinct.select("anchor", "region", F.col("own.doc").alias("least")), ["anchor", "region"]).where("doc > least")
@@ -177,8 +185,6 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
     # the windows of distinct regions
     query = shared_table(query, f"{unit}-query")
     places = query.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "n", "k", "ask")).alias("places"))
-    if query.count() <= MAX_BROADCAST_PLACES:
-        places = F.broadcast(places)
     text = docs.join(places, docs["doc_id"] == places["doc"]).select("doc_id", "text", "places")
     limit = MAX_INDEXED if indexed else 0
 
