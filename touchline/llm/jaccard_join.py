@@ -43,7 +43,7 @@ from .regions import RangeHash, shared_table
 SHINGLE = 5
 PERCENT = 75
 MAX_FREQUENT = 200_000
-MIN_FREQUENT, MIN_UNLIKE = 24, 0.75
+MIN_FREQUENT, MIN_UNLIKE = 24, 0.45
 #: One of so many keys takes part in each star round; a node asks its hub at this share of its keys.
 STAR_SAMPLES = (8, 1)
 MIN_VOTES = 0.4
