@@ -171,3 +171,24 @@ def test_pipeline(spark, monkeypatch):
 
 def test_registered():
     assert {k.split("_")[0] for k in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+
+
+def test_decontamination_of_repeated_rows_in_blocks(spark):
+    """Repeated rows, unlike texts under one id and null ids are rows of their own, however the benchmark is cut."""
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    rows = [(1, f"x {a} y", 5), (1, f"x {a} y", 6), (1, f"{b} z", 7), (1, "clean", 8), (None, f"{a} {b}", 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra long")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate([a, b, *[f"other{i}" for i in range(8)]])], "item_id long, text string")
+    order = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    whole = order(decontamination.find(docs, bench))
+    assert len(whole) == len(rows) and order(decontamination.find(docs, bench, block_bytes=20)) == whole
+    cut = order(decontamination.clean(docs, bench))
+    assert cut == sorted(map(repr, [(1, "x y", 5), (1, "x y", 6), (1, "z", 7), (1, "clean", 8), (None, "", 9), (None, None, 10)]))
+    assert order(decontamination.clean(docs, bench, block_bytes=20)) == cut
+
+
+def test_cleaning_by_a_benchmark_over_one_block(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"keep {text}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, text), (1, "some other words")], "item_id long, text string")
+    assert decontamination.clean(docs, bench, block_bytes=10).first().text == "keep "

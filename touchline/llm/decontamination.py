@@ -9,7 +9,8 @@ backward together; occurrences are located by walking to the next sampled positi
 ranges are merged into removal spans.
 
 The benchmark travels with the tasks up to MAX_BENCHMARK_BYTES; a larger one is split into blocks by
-item, each block scans the documents, and the spans of all blocks are merged by document.
+item, each block scans the documents, and the spans of all blocks are merged by row. For that each row
+gets a key of its own, so equal ids stay apart.
 
 Defined cases: null texts have no words and no hits; an item without words has no window; windows
 shared by several items count for each of them; overlapping spans are merged; repeated rows give
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import ALNUM, LOWER, Chunk, chunks, words
+from .regions import shared_table
 
 WINDOW = 10
 SAMPLE = 8
@@ -172,67 +174,72 @@ def _spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SPAN = "array<struct<start:long,end:long,first:long,last:long>>"
+_ADDED = {"__n_words": "long", "__spans": _SPAN, "__items": "array<long>"}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, spans (byte and word ranges to remove) and items.
+def _scanned(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
+    """docs with n_words, spans and items of their own rows under the names of _ADDED."""
+    keep = docs.columns
 
-    A span is half open: bytes start:end of the UTF-8 text, words first:last.
-    """
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    def run(batches):
+        for batch in batches:
+            for c in chunks(batch.column(batch.schema.get_field_index(text)), SHARD_BYTES):
+                w, start, end, phrase = phrases.hits(c)
+                items: list[set[int]] = [set() for _ in range(c.n)]
+                pair = np.unique(w.doc[start] * max(1, len(phrases.size)) + phrase) if len(start) else start
+                for k in pair.tolist():
+                    items[k // len(phrases.size)].update(phrases.items[k % len(phrases.size)])
+                spans: list[list[dict]] = [[] for _ in range(c.n)]
+                mask = _merged(start, end, len(w.hash))
+                # spans end at document ends, as occurrences never cross them
+                lead = np.zeros(len(mask) + 1, dtype=bool)
+                lead[w.first] = True
+                inside = mask & ~lead[: len(mask)]
+                a = np.flatnonzero(mask & ~np.concatenate(([False], mask[:-1] & inside[1:]))) if len(mask) else mask
+                b = np.flatnonzero(mask & ~np.concatenate((mask[1:] & inside[1:], [False]))) if len(mask) else mask
+                for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                    d = int(w.doc[i])
+                    spans[d].append({"start": int(w.start[i] - c.offs[d]), "end": int(w.end[j] - c.offs[d]), "first": i - int(w.first[d]), "last": j + 1 - int(w.first[d])})
+                rows = batch.slice(c.first, c.n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[rows.column(rows.schema.get_field_index(k)) for k in keep],
+                        pa.array(np.diff(w.first).astype(np.int64)),
+                        pa.array(spans, pa.list_(pa.struct([(f, pa.int64()) for f in ("start", "end", "first", "last")]))),
+                        pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                    ],
+                    names=[*keep, *_ADDED],
+                )
+
+    added = [T.StructField(k, T._parse_datatype_string(kind)) for k, kind in _ADDED.items()]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+
+
+def _with_spans(docs: DataFrame, bench: DataFrame, text: str, window: int, block_bytes: int) -> DataFrame:
+    """docs with the columns of _ADDED, merged over all blocks of the benchmark (item_id, text)."""
     size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    kind = dict(plain.dtypes)["doc_id"]
 
-    def scan(block: int) -> DataFrame:
+    def phrases(block: int) -> Phrases:
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        phrases = Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)
-
-        def run(batches):
-            for batch in batches:
-                for c in chunks(batch.column(1), SHARD_BYTES):
-                    w, start, end, phrase = phrases.hits(c)
-                    items: list[set[int]] = [set() for _ in range(c.n)]
-                    pair = np.unique(w.doc[start] * max(1, len(phrases.size)) + phrase) if len(start) else start
-                    for k in pair.tolist():
-                        items[k // len(phrases.size)].update(phrases.items[k % len(phrases.size)])
-                    spans: list[list[dict]] = [[] for _ in range(c.n)]
-                    mask = _merged(start, end, len(w.hash))
-                    # spans end at document ends, as occurrences never cross them
-                    lead = np.zeros(len(mask) + 1, dtype=bool)
-                    lead[w.first] = True
-                    inside = mask & ~lead[: len(mask)]
-                    a = np.flatnonzero(mask & ~np.concatenate(([False], mask[:-1] & inside[1:]))) if len(mask) else mask
-                    b = np.flatnonzero(mask & ~np.concatenate((mask[1:] & inside[1:], [False]))) if len(mask) else mask
-                    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                        d = int(w.doc[i])
-                        spans[d].append({"start": int(w.start[i] - c.offs[d]), "end": int(w.end[j] - c.offs[d]), "first": i - int(w.first[d]), "last": j + 1 - int(w.first[d])})
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(c.first, c.n),
-                            pa.array(np.diff(w.first).astype(np.int64)),
-                            pa.array(spans, pa.list_(pa.struct([(f, pa.int64()) for f in ("start", "end", "first", "last")]))),
-                            pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                        ],
-                        names=["doc_id", "n_words", "spans", "items"],
-                    )
+        return Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)
 
-        return plain.mapInArrow(run, f"doc_id {kind}, n_words long, spans {_SPAN}, items array<long>")
-
-    found = scan(0)
     if blocks == 1:
-        return found
-    for block in range(1, blocks):
-        found = found.unionByName(scan(block))
-    # one row for each document and block: a bounded group
-    found = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        return _scanned(docs, phrases(0), text)
+    # the rows' own keys are written once, so that all blocks and the join see the same ones
+    keyed = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = None
+    for block in range(blocks):
+        part = _scanned(keyed.select("__row", text), phrases(block), text).drop(text)
+        found = part if found is None else found.unionByName(part)
+    # one row for each row of docs and block: a bounded group
+    found = found.groupBy("__row").agg(
+        F.max("__n_words").alias("__n_words"),
+        F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
     )
     joined = F.aggregate(
-        "spans",
+        "__spans",
         F.array().cast(_SPAN),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"]),
@@ -249,7 +256,17 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return found.withColumn("spans", joined)
+    return keyed.join(found.withColumn("__spans", joined), "__row").select(*docs.columns, *_ADDED)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """Per document: doc_id, n_words, spans (byte and word ranges to remove) and items.
+
+    A span is half open: bytes start:end of the UTF-8 text, words first:last.
+    """
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    return _with_spans(plain, bench, "text", window, block_bytes).select("doc_id", *[F.col(k).alias(k[2:]) for k in _ADDED])
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
@@ -266,22 +283,23 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the removal spans cut from the text; the benchmark must fit one block."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MAX_BENCHMARK_BYTES:
-        raise ValueError("use find() and join its spans: the benchmark is larger than one block")
-    phrases = Phrases([(r["item_id"], r["text"]) for r in rows.collect()])
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """docs with the removal spans of `find` cut from the text, each with the gap before the next word."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     keep = docs.columns
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
+            lists = batch.column(batch.schema.get_field_index("__spans"))
             for c in chunks(column, SHARD_BYTES):
-                w, start, end, _ = phrases.hits(c)
                 out = column.slice(c.first, c.n).cast(pa.string())
-                if len(start):
-                    mask = _merged(start, end, len(w.hash))
+                own = lists.slice(c.first, c.n)
+                span = own.flatten()
+                if len(span):
+                    w = words(c, ALNUM, LOWER[c.data])
+                    lead = w.first[np.repeat(np.arange(c.n), own.value_lengths().to_numpy(zero_copy_only=False))]
+                    mask = _merged(lead + span.field("first").to_numpy(), lead + span.field("last").to_numpy(), len(w.hash))
                     cut = np.zeros(len(c.data) + 1, dtype=np.int64)
                     # from each removed word to the end of the gap before the next word of its document
                     nxt = np.append(w.start[1:], len(c.data))
@@ -295,4 +313,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
                 rows = batch.slice(c.first, c.n)
                 yield pa.RecordBatch.from_arrays([out if k == text else rows.column(rows.schema.get_field_index(k)) for k in keep], names=keep)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    found = _with_spans(docs, bench, text, window, block_bytes).drop("__n_words", "__items")
+    return found.mapInArrow(run, T.StructType(docs.schema.fields))
