@@ -35,3 +35,12 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("ids", [range(100), [*range(100), 40], [i for i in range(100) if i != 40], [5, 5, 5, 7, None, -1], [None], []])
+def test_contiguous_index_on_imperfect_ids(spark, tmp_path, ids):
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["contiguous_index"](spark, str(tmp_path)).first().breaks
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == c.execute(entry.oracle_sql()["contiguous_index"]).fetchone()[0]

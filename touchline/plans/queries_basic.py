@@ -9,6 +9,7 @@ from ..functions import scalars as X
 from ..operators import intervals as I
 from ..operators import presence as Pr
 from ..operators.profiles import top_of_each
+from ..sources.shared import materialised
 from .binding import ACTIONS_SQL, HALF, actions, exposed, table
 
 QUERIES, ORACLE = {}, {}
@@ -313,11 +314,20 @@ def timeline_disagreement(spark, d):
 
 @query("select count(*) filter (where rn <> event_id) as breaks from (select event_id, row_number() over (order by event_id) - 1 as rn from events) x")
 def contiguous_index(spark, d):
-    """Ids follow one another: each id but the first has its predecessor, and none is twice; no global order is needed."""
-    e = table(spark, d, "events").select("event_id")
-    n = e.agg(F.count("*").alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count_distinct("event_id").alias("k"))
-    good = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("k") == F.col("n"))
-    return n.select(F.when(good, F.lit(0)).otherwise(F.col("n") - F.col("k") + F.col("hi") + 1 - F.col("n")).cast("long").alias("breaks"))
+    """Rows whose rank by id is not their id. Ids are counted and dealt into ranges; only the totals of ranges are summed in one order."""
+    ids = table(spark, d, "events").where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("c"))
+    # written once, so that the ranges are the same for their totals and for their rows
+    dealt = materialised(ids.repartitionByRange("event_id").withColumn("range", F.spark_partition_id()), "ids")
+    total = dealt.groupBy("range").agg(F.sum("c").alias("t"), F.min("event_id").alias("lo"))
+    # one row a range
+    before = F.coalesce(F.sum("t").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = total.select("range", before.alias("before"))
+    inside = F.sum("c").over(Window.partitionBy("range").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    first = F.col("before") + F.coalesce("inside", F.lit(0))
+    # equal ids have the ranks from first on; at most one of them is the id
+    own = F.col("event_id").between(first, first + F.col("c") - 1).cast("long")
+    ranked = dealt.withColumn("inside", inside).join(F.broadcast(total), "range")
+    return ranked.agg(F.coalesce(F.sum(F.col("c") - own), F.lit(0)).alias("breaks"))
 
 
 @query(A + """select event_id, event_type, case when event_type = 'error' then coalesce(prev <> 'error', true) else coalesce(prev = 'error', false) end as valid from (
