@@ -1,7 +1,7 @@
 """Corpus preparation in five stages, each written as Parquet and read again by the next.
 
 Toxicity drops documents scored at the threshold or above. The n-gram Jaccard join keeps the smallest
-doc_id of each group of near copies. Substring dedup cuts long repeats out of later documents.
+doc_id of each group of near copies, and all documents without a doc_id. Substring dedup cuts long repeats out of later documents.
 Decontamination cuts benchmark passages. The last stage encodes what is left and decodes it again.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.join(docs)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

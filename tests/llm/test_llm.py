@@ -192,3 +192,25 @@ def test_cleaning_by_a_benchmark_over_one_block(spark):
     docs = spark.createDataFrame([(1, f"keep {text}")], "doc_id long, text string")
     bench = spark.createDataFrame([(0, text), (1, "some other words")], "item_id long, text string")
     assert decontamination.clean(docs, bench, block_bytes=10).first().text == "keep "
+
+
+def test_jaccard_join_of_documents_without_an_id(spark):
+    import corpus_pipeline as C
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{text} a"), (2, f"{text} b"), (None, f"{text} c"), (None, f"{text} d"), (None, f"{text} c"), (None, None), (3, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(repr, map(tuple, jaccard_join.join(docs).collect())))
+    assert got == sorted(map(repr, [(1, 57, 1), (2, 57, 1), (3, 1, 3), *[(None, 57, None)] * 3, (None, 0, None)]))
+    kept = C.keep_one_of_each_group(spark, docs, SMALL).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], *rows[2:]]))
+
+
+def test_jaccard_pairs(docs, rows):
+    sets = {}
+    for doc, text in rows:
+        w = brute.SPACED.findall(brute.lower(text))
+        sets[doc] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(d for d in sets if sets[d])
+    want = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert collected(jaccard_join.pairs(docs)) == want

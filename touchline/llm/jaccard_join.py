@@ -25,8 +25,9 @@ several tasks. So a group of copies costs links in proportion to its size, and n
 components is lost.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; texts of fewer
-words are one shingle; sets of one token link only with their equals; repeated rows are one node; an
-empty table gives an empty table; other columns are dropped.
+words are one shingle; sets of one token link only with their equals; repeated rows are one node;
+documents without an id are given back with a null component and link with nothing, as nothing could
+name them; an empty table gives an empty table; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -316,11 +317,16 @@ def _across(rows: DataFrame, bound: DataFrame) -> DataFrame:
     return pair.where(~singles | ((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
-    """Verified links (a, b) between nodes that connect all linked nodes; None when there is none."""
+def _indexed(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(rows of the index, last prefix token and prefix length of each node), both written once."""
     index = shared_table(_index(docs, frequent), "index")
     bound = shared_table(index.where("n < 0").groupBy("node").agg(F.max("key").alias("last"), F.max(-1 - F.col("n")).alias("used")), "bound")
-    rows = index.where("n > 0")
+    return index.where("n > 0"), bound
+
+
+def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
+    """Verified links (a, b) between nodes that connect all linked nodes; None when there is none."""
+    rows, bound = _indexed(docs, frequent)
     # the part of its prefix that a node shares: a copy's own words are its alone
     share = F.count("*") * 100 / (F.first("n") * (100 - PERCENT) + 100)
     fame = shared_table(rows.groupBy("node").agg(share.alias("fame")), "fame")
@@ -357,12 +363,33 @@ def frequent_tokens(census: DataFrame) -> np.ndarray:
     return np.sort(token.astype(np.int64).view(U64))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(docs with an id, census, its rows of documents (doc, node, n), nodes of documents with an id)."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     census = shared_table(_census(plain), "census")
-    own = census.where("doc is not null").select("doc", F.col("n").alias("node"), F.col("c").alias("n"))
-    nodes = shared_table(own.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "nodes")
+    # rows of documents have no token; the id of a document can be null too
+    own = census.where("token is null").select("doc", F.col("n").alias("node"), F.col("c").alias("n"))
+    nodes = own.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
+    return plain.where("doc_id is not null"), census, own, shared_table(nodes, "nodes")
+
+
+def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every link (a, b), a < b, between documents with an id: those of one set, and those whose sets reach PERCENT.
+
+    Unlike `join` it keeps the links inside a component, so its size is that of the links themselves.
+    """
+    plain, census, own, nodes = _prepared(docs, doc_id, text)
+    rows, bound = _indexed(plain, frequent_tokens(census))
+    near = _verified(shared_table(_across(rows.withColumn("comp", F.col("node")), bound), "pairs"), plain, nodes)
+    both = near.union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).withColumnsRenamed({"a": "na", "b": "nb"})
+    member = shared_table(own.where("n > 0 and doc is not null").select("node", "doc").distinct(), "members")
+    both = both.join(member.toDF("na", "a"), "na").join(member.toDF("nb", "b"), "nb").where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach; null without an id)."""
+    plain, census, own, nodes = _prepared(docs, doc_id, text)
     found = links(plain, nodes, frequent_tokens(census))
     if found is None:
         named = nodes.select("node", F.col("doc").alias("component_id"))
@@ -372,4 +399,5 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         least = comp.groupBy("component").agg(F.min("doc").alias("component_id"))
         named = comp.join(least, "component").select("node", "component_id")
     out = own.join(named, "node", "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
