@@ -214,3 +214,10 @@ def test_jaccard_pairs(docs, rows):
     ids = sorted(d for d in sets if sets[d])
     want = [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     assert collected(jaccard_join.pairs(docs)) == want
+
+
+def test_repeated_windows_of_long_texts_by_whole_hashes(spark):
+    """The hashes of 'c8444438 x y' and 'c15546515 x y' agree in their high 44 bits, and are not a repeat."""
+    filler = " ".join(f"w{i}" for i in range(300_000))
+    text = f"a b c c8444438 x y {filler} c15546515 x y a b c"
+    assert quality_rules.measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_repeat_words == 6

@@ -40,8 +40,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the base counts; columns named like a count are replaced.
 
     A repeated window is a pair of equal neighbours among the sorted keys of the text's windows. A key
-    is the window's hash with the position in its low bits, as many bits as the text needs; texts
-    without an equal pair (most) are told by the number of distinct hashes and never sorted.
+    is the window's whole hash and its position; texts without an equal pair (most) are told by the
+    number of distinct hashes and never sorted.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     first = docs.withColumns(
@@ -74,23 +74,21 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     win = F.col("__windows")
-    fourth = third.withColumn("__span", F.pow(F.lit(2.0), F.ceil(F.log2(F.size(win) + F.lit(1.0)))).cast("long"))
-    span = F.col("__span")
-    nothing = F.array().cast("array<bigint>")
-    fifth = fourth.withColumn(
+    nothing = F.array().cast("array<struct<h:bigint,i:int>>")
+    fourth = third.withColumn(
         "__keys",
         F.when(
             F.size(F.array_distinct(win)) < F.size(win),
-            F.sort_array(F.transform(win, lambda x, i: F.shiftrightunsigned(x, 1).bitwiseAND(-span).bitwiseOR(i))),
+            F.sort_array(F.transform(win, lambda x, i: F.struct(x.alias("h"), i.alias("i")))),
         ).otherwise(nothing),
     )
     k = F.col("__keys")
-    sixth = fifth.withColumn(
+    fifth = fourth.withColumn(
         "__repeated",
         F.sort_array(
             F.transform(
-                F.filter(k, lambda x, j: (x.bitwiseXOR(F.get(k, j - 1)) < span) | (x.bitwiseXOR(F.get(k, j + 1)) < span)),
-                lambda x: x.bitwiseAND(span - 1),
+                F.filter(k, lambda x, j: F.coalesce(x["h"] == F.get(k, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(k, j + 1)["h"], F.lit(False))),
+                lambda x: x["i"].cast("long"),
             )
         ),
     )
@@ -100,7 +98,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(F.lit(3).cast("long"), i - acc["at"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return sixth.withColumn("n_repeat_words", covered).drop("__words", "__lines", "__marks", "__hash", "__windows", "__span", "__keys", "__repeated")
+    return fifth.withColumn("n_repeat_words", covered).drop("__words", "__lines", "__marks", "__hash", "__windows", "__keys", "__repeated")
 
 
 def metrics() -> dict[str, Column]:
