@@ -221,3 +221,31 @@ def test_repeated_windows_of_long_texts_by_whole_hashes(spark):
     filler = " ".join(f"w{i}" for i in range(300_000))
     text = f"a b c c8444438 x y {filler} c15546515 x y a b c"
     assert quality_rules.measures(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().n_repeat_words == 6
+
+
+def test_urls_by_host(spark):
+    """Pages without a rule follow their host's labels; repeated rows do not change wildcards."""
+    import duckdb
+
+    from touchline.llm.queries import ORACLE
+
+    urls = [f"http://a.com/en/{i}" for i in range(9)] + ["http://a.com/fr/1", "http://b.com/en/1", "http://b.com/fr/1", "http://c.net/de/1"]
+    urls += [f"http://d.com/fr/{a}{b}/x" for a in "abcde" for b in "abcde"]
+    once = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdict = lambda pages, **k: {r.page_id: r.verdict for r in url_templates.judge(pages, **k).collect()}
+    got = verdict(once, by_host=True)
+    assert got[9] == "block" and got[11] == got[12] == "allow"
+    assert verdict(once)[9] == "allow"
+    assert verdict(once.union(once).union(once), by_host=True) == got
+    shapes = lambda pages: {r.template for r in url_templates.templates(pages.groupBy("host", "shape").agg(F.count_distinct("path").alias("n"))).collect()}
+    leaf = once.select(url_templates.host_of(F.col("url")).alias("host"), url_templates.path_of(F.col("url")).alias("path")).withColumn("shape", F.regexp_replace("path", "[0-9]+", "#"))
+    assert "/fr/*/x" in shapes(leaf) and shapes(leaf.union(leaf).union(leaf)) == shapes(leaf)
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{DIR}/pages.parquet'")
+    for name in ("op7_url_templates", "op7_url_templates_by_host"):
+        mine = QUERIES[name](spark, DIR)
+        rows = c.execute(ORACLE[name])
+        assert [x[0] for x in rows.description] == mine.columns
+        assert sorted(map(repr, map(tuple, mine.collect()))) == sorted(map(repr, rows.fetchall()))
+    both = QUERIES["op7_url_templates_by_host"](spark, DIR)
+    assert both.where("rule is null and verdict = 'block'").count() > 0

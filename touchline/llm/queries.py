@@ -46,6 +46,10 @@ def op7_url_templates(spark, sf_dir):
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_url_templates_by_host(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"), by_host=True)
+
+
 def op8_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
         op5_sentencepiece,
         op6_toxicity,
         op7_url_templates,
+        op7_url_templates_by_host,
         op8_suffix_dedup,
         op9_quality_neighbours,
         op10_jaccard_join,
@@ -86,7 +91,7 @@ _RULES = sorted(url_templates.RULES, key=lambda r: (-len(r[1] + r[2]), r))
 _FIT = [f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')" for _, h, p in _RULES]
 
 
-def _url_sql() -> str:
+def _url_sql(by_host: bool = False) -> str:
     u = url_templates
     steps = ["t0 as (select *, string_split(shape, '/') as part, string_split(shape, '/')[1] as template from leaves)"]
     for d in range(1, u.DEPTH + 1):
@@ -107,7 +112,7 @@ ruled as (
          case {" ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(_FIT, _RULES, strict=True))} end as said
   from base),
 leaves as (
-  select host, shape, count(*) as n, count(said) as labelled, count(*) filter (where said = 'block') as blocked
+  select host, shape, count({"distinct path" if by_host else "*"}) as n, count(said) as labelled, count(*) filter (where said = 'block') as blocked
   from ruled group by host, shape),
 {", ".join(steps)},
 t as (select * exclude (template), template || case when len(part) > {u.DEPTH + 1} then '/' || array_to_string(part[{u.DEPTH + 2}:], '/') else '' end as template from t{u.DEPTH}),
@@ -119,10 +124,10 @@ leaf as (
 merged as (select host, parent, tenth, sum(b) as mb, sum(l) as ml from leaf group by all),
 hosts as (select host, sum(b) as hb, sum(l) as hl from leaf group by host),
 judged as (
-  select leaf.host, leaf.template, ml, (mb + {u.TEMPLATE_WEIGHT} * (hb + {u.HOST_WEIGHT} * share) / (hl + {u.HOST_WEIGHT})) / (ml + {u.TEMPLATE_WEIGHT}) as purity
+  select leaf.host, leaf.template, ml,{" hl," if by_host else ""} (mb + {u.TEMPLATE_WEIGHT} * (hb + {u.HOST_WEIGHT} * share) / (hl + {u.HOST_WEIGHT})) / (ml + {u.TEMPLATE_WEIGHT}) as purity
   from leaf join merged using (host, parent, tenth) join hosts on leaf.host = hosts.host, total)
 select page_id, ruled.host, path, rule,
-       coalesce(said, case when ml >= {u.MIN_LABELLED} and purity >= {u.MIN_PURITY} then 'block' else 'allow' end) as verdict
+       coalesce(said, case when {f"(ml >= {u.MIN_LABELLED} or hl >= {u.MIN_LABELLED})" if by_host else f"ml >= {u.MIN_LABELLED}"} and purity >= {u.MIN_PURITY} then 'block' else 'allow' end) as verdict
 from ruled join t on ruled.host = t.host and ruled.shape = t.shape
   join judged on t.host = judged.host and t.template = judged.template"""
 
@@ -131,6 +136,7 @@ _STOP = ", ".join(f"'{form}'" for w in quality_rules.STOP_WORDS for form in dict
 
 ORACLE = {
     "op7_url_templates": _url_sql(),
+    "op7_url_templates_by_host": _url_sql(by_host=True),
     "op4_quality_rules": f"""
 with d as (
   select doc_id, coalesce(text, '') as t,

@@ -8,6 +8,10 @@ statistically like labels (the same tenth of smoothed purity, or all with too fe
 merged template with enough labelled pages is rejected when its purity, smoothed towards its host's and
 the host's towards that of all, reaches the threshold.
 
+With `by_host` two steps go further. A page whose template has too few labels is judged by its smoothed
+purity all the same when its host has enough labels; and a segment is variable by its distinct paths, so
+repeated rows and larger tables give the same wildcards.
+
 Pages are pre-aggregated to (host, shape) counts before any further step, so a host or shape with a
 third of all rows is one row of the tree. Pages meet their template again in one join on (host, shape).
 
@@ -73,7 +77,7 @@ def templates(leaves: DataFrame) -> DataFrame:
 
 
 def purity(leaves: DataFrame) -> DataFrame:
-    """host, shape, template, purity and labelled of the merged template of each leaf."""
+    """host, shape, template, purity and labelled of the merged template of each leaf, and labelled of its host."""
     t = templates(leaves)
     total = t.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
     share = float(((total["b"] or 0) + 1) / ((total["l"] or 0) + 2))
@@ -85,20 +89,21 @@ def purity(leaves: DataFrame) -> DataFrame:
     host = leaf.groupBy("host").agg(F.sum("b").alias("hb"), F.sum("l").alias("hl"))
     rate = (F.col("hb") + F.lit(HOST_WEIGHT * share)) / (F.col("hl") + F.lit(HOST_WEIGHT))
     smooth = (F.col("mb") + TEMPLATE_WEIGHT * rate) / (F.col("ml") + F.lit(TEMPLATE_WEIGHT))
-    judged = leaf.join(merged, ["host", "parent", "tenth"]).join(host, "host").select("host", "template", smooth.alias("purity"), F.col("ml").alias("labelled"))
+    judged = leaf.join(merged, ["host", "parent", "tenth"]).join(host, "host").select("host", "template", smooth.alias("purity"), F.col("ml").alias("labelled"), F.col("hl").alias("host_labelled"))
     return t.select("host", "shape", "template").join(judged, ["host", "template"])
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, by_host: bool = False) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict."""
     base = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), F.regexp_replace("path", "[0-9]+", "#").alias("shape"))
     leaves = base.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("said").alias("labelled"), F.count_if(F.col("said") == "block").alias("blocked")
+        (F.count_distinct("path") if by_host else F.count("*")).alias("n"), F.count("said").alias("labelled"), F.count_if(F.col("said") == "block").alias("blocked")
     )
-    known = purity(leaves).select("host", "shape", "purity", "labelled")
+    known = purity(leaves).select("host", "shape", "purity", "labelled", "host_labelled")
     # rules have decided most pages; only the others need their template
-    own = (F.col("labelled") >= MIN_LABELLED) & (F.col("purity") >= MIN_PURITY)
+    enough = F.col("labelled") >= MIN_LABELLED
+    own = ((enough | (F.col("host_labelled") >= MIN_LABELLED)) if by_host else enough) & (F.col("purity") >= MIN_PURITY)
     out = base.join(known, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(own, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
