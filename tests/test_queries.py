@@ -44,3 +44,14 @@ def test_contiguous_index_on_imperfect_ids(spark, tmp_path, ids):
     c = duckdb.connect()
     c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert got == c.execute(entry.oracle_sql()["contiguous_index"]).fetchone()[0]
+
+
+def test_presence_fold_has_bounded_sessions_and_its_capacity(spark, tmp_path):
+    """Twelve users of one team and block, in two blocks and two months: four sessions, each above eleven."""
+    users = [u for u in range(132) if (u % 12 == 1 and u % 7) or (u % 12 == 0 and u % 7 == 0)]
+    rows = [(m * 1000 + b * 500 + u, f"2024-0{m}-25 10:00:00", u + b * 924, "view", 1.0, '{"k": 1}') for m in (1, 2) for b in (0, 1) for u in users]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["presence_fold"](spark, str(tmp_path)).collect()
+    assert len(users) == 12 and len({r.session for r in got}) == 4
+    assert [r.issue for r in got if r.issue] == ["TEAM_CAPACITY_EXCEEDED"] * 8

@@ -42,6 +42,7 @@ def actions(spark, sf_dir: str) -> DataFrame:
         "event_id",
         u.alias("player_id"),
         when((u % 7 == 0) & (F.dayofmonth(ts) > 20), (u + 1) % 12).otherwise(u % 12).alias("team_id"),
+        F.to_date(ts).alias("date"),
         F.dayofmonth(ts).cast("long").alias("match_id"),
         when(F.hour(ts) < 12, 1).otherwise(2).alias("period"),
         (_micros(ts) % HALF).alias("us"),

@@ -342,7 +342,8 @@ def presence_toggle(spark, d):
 
 @query(None)
 def presence_fold(spark, d):
-    a = actions(spark, d).withColumn("session", F.concat_ws(":", "match_id", "team_id"))
+    """A session is a team's day within a block of users, of whom eleven are of the team, besides those that come from another one."""
+    a = actions(spark, d).withColumn("session", F.concat_ws(":", "date", "team_id", F.floor(F.col("player_id") / 132)))
     none = F.lit(None)
     move = F.when(F.col("event_type") == "error", "Player Off").when(F.col("event_type") == "signup", "Player On").when((F.col("event_type") == "purchase") & (F.col("k") % 10 == 0), "Substitution")
     cols = ["session", "kind", "player_id", "other_id", "period", "at", "index", "permanent", "card"]
@@ -351,7 +352,7 @@ def presence_fold(spark, d):
     starters = a.groupBy("session", "player_id").agg(F.lit("Starter").alias("kind"))
     starters = starters.select("session", "kind", "player_id", none.cast("long").alias("other_id"), F.lit(1).alias("period"), F.lit(0.0).alias("at"), F.lit(0).cast("long").alias("index"), F.lit(False).alias("permanent"), none.cast("string").alias("card"))
     ends = a.select("session").distinct().select("session", F.lit("Period End").alias("kind"), F.lit(-1).cast("long").alias("player_id"), none.cast("long").alias("other_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("period"), F.lit(43200.0).alias("at"), F.lit(0).cast("long").alias("index"), F.lit(False).alias("permanent"), none.cast("string").alias("card"))
-    return Pr.presence(moves.select(cols).unionByName(starters).unionByName(ends), capacity=10**9)
+    return Pr.presence(moves.select(cols).unionByName(starters).unionByName(ends))
 
 
 @query(A + """, o as (select player_id, match_id, min(period) as p0, arg_min(us, event_id) as a, max(period) as p1, arg_max(us, event_id) as b from actions group by all),
