@@ -55,3 +55,18 @@ def test_presence_fold_has_bounded_sessions_and_its_capacity(spark, tmp_path):
     got = entry.queries()["presence_fold"](spark, str(tmp_path)).collect()
     assert len(users) == 12 and len({r.session for r in got}) == 4
     assert [r.issue for r in got if r.issue] == ["TEAM_CAPACITY_EXCEEDED"] * 8
+
+
+@pytest.mark.parametrize("name", ["similarity_stability_20", "ranking_stability_20"])
+def test_whole_stability(spark, name):
+    d = DIR.replace("0.001", "0.01")
+    duck = duckdb.connect()
+    for t in ("events", "customer", "orders", "lineitem"):
+        duck.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    rows = entry.queries()[name](spark, d)
+    cols = sorted(rows.columns)
+    res = duck.execute(entry.oracle_sql()[name])
+    names = [x[0] for x in res.description]
+    got, want = rows.collect(), res.fetchall()
+    assert sorted(repr([norm(r[c]) for c in cols]) for r in got) == sorted(repr([norm(r[names.index(c)]) for c in cols]) for r in want)
+    assert {r.rep for r in got} == set(range(20))

@@ -216,6 +216,8 @@ def topk_overlap(c):
 
 
 REPLICATES = 3
+#: Replicates of the whole study; the queries named _20 have all of them.
+WHOLE_REPLICATES = 20
 
 
 def _replicated(frame, count: int):
@@ -224,6 +226,7 @@ def _replicated(frame, count: int):
 
 
 _REP = f"(select unnest(range({REPLICATES})) as rep)"
+_WHOLE_REP = f"(select unnest(range({WHOLE_REPLICATES})) as rep)"
 _KEPT = "cast(('0x' || substr(sha256('evaluation-0.8.0:' || rep || ':' || player_id), 1, 8)) as bigint) % 100 < 80"
 _WIDE_REP = f""",
 wide_rep as (select * exclude (role, is_ref), role || '#' || rep as role, is_ref and {_KEPT} as is_ref from wide, {_REP} r where role is not null)"""
@@ -234,9 +237,13 @@ from (select player_id, team_id, list(distinct peer_id) as l from near where ran
 join (select role, player_id, team_id, list(distinct peer_id) as l from near_rep where rank <= 5 group by all) b on a.player_id = b.player_id and a.team_id = b.team_id group by all""",
        SIM + _WIDE_REP + similarity_sql("near_rep", wide="wide_rep"))
 def similarity_stability(c):
+    return _similarity_stability(c, REPLICATES)
+
+
+def _similarity_stability(c, count: int):
     wide = _wide(c)
     base = Sim.neighbours(wide, FEATS)[1]
-    rep = _replicated(wide.where("role is not null"), REPLICATES)
+    rep = _replicated(wide.where("role is not null"), count)
     rep = rep.withColumns({"role": F.concat_ws("#", "role", "rep"), "is_ref": F.col("is_ref") & F.col("kept")})
     near = Sim.neighbours(rep, FEATS)[1]
     old = base.where("rank <= 5").groupBy(*SPELL).agg(F.collect_set("peer_id").alias("old"))
@@ -246,6 +253,11 @@ def similarity_stability(c):
     return both.groupBy(F.get(part, F.lit(0)).alias("role"), F.get(part, F.lit(1)).cast("int").alias("rep")).agg(F.count("*").alias("available"), point(F.avg("overlap")).alias("mean_overlap"))
 
 
+@query(ORACLE["similarity_stability"].replace(_REP, _WHOLE_REP), "")
+def similarity_stability_20(c):
+    return _similarity_stability(c, WHOLE_REPLICATES)
+
+
 # --- rankings --------------------------------------------------------------------------------------------
 
 
@@ -374,7 +386,13 @@ def requirement_variants(c):
 
 _LONG_REP = f""",
 long_rep as (select * exclude (role), role || '#' || rep as role from long, {_REP} r where role is not null and {_KEPT})"""
-_REP_ROWS = [[(f"{s}#{i}", f"{role}#{i}", *rest) for s, role, *rest in rows] for rows in _requirements() for i in range(REPLICATES)]
+
+
+def _rep_rows(count: int):
+    return [[(f"{s}#{i}", f"{role}#{i}", *rest) for s, role, *rest in rows] for rows in _requirements() for i in range(count)]
+
+
+_REP_ROWS = _rep_rows(REPLICATES)
 
 
 @query(f"""select a.set_ as requirement, cast(split_part(b.set_, '#', 2) as int) as rep, count(*) filter (where b.rank <= 5) as common, count(*) as surviving
@@ -382,15 +400,24 @@ from ranked a join (select r.set_ || '#' || rep as key, rep, r.player_id from ra
 join thin b on b.set_ = k.key and b.player_id = a.player_id group by all""",
        RANK + _LONG_REP + requirement_sql("req_rep", _REP_ROWS) + ranking_sql("thin", "req_rep", "long_rep"))
 def ranking_stability(c):
+    return _ranking_stability(c, REPLICATES)
+
+
+def _ranking_stability(c, count: int):
     base = _ranked(c)[1].where("rank <= 5").select("set", "player_id")
-    long = _replicated(c.long.where("role is not null"), REPLICATES).where("kept").withColumn("role", F.concat_ws("#", "role", "rep"))
-    thin = _ranked(c, _REP_ROWS, long)[1]
+    long = _replicated(c.long.where("role is not null"), count).where("kept").withColumn("role", F.concat_ws("#", "role", "rep"))
+    thin = _ranked(c, _rep_rows(count), long)[1]
     part = F.split("set", "#")
     thin = thin.select(F.get(part, F.lit(0)).alias("set"), F.get(part, F.lit(1)).cast("int").alias("rep"), "player_id", "rank")
     both = thin.join(base, ["set", "player_id"]).groupBy("set", "rep").agg(F.count_if(F.col("rank") <= 5).alias("common"), F.count("*").alias("surviving"))
     return both.withColumnRenamed("set", "requirement")
 
 
+@query(ORACLE["ranking_stability"].replace(_REP, _WHOLE_REP).replace(requirement_sql("req_rep", _REP_ROWS), requirement_sql("req_rep", _rep_rows(WHOLE_REPLICATES))), "")
+def ranking_stability_20(c):
+    return _ranking_stability(c, WHOLE_REPLICATES)
+
+
 @query("""select (select count(*) from near where peer_id = player_id) as self_neighbours, (select count(*) from ranked where score < 0 or score > 100) as outside,
   (select count(*) from (select set_, player_id, team_id from ranked group by all having count(*) > 1) x) as repeated""", SIM + _REQ + ranking_sql("ranked", "req"))
 def result_audit(c):
