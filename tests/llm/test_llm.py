@@ -59,14 +59,29 @@ def test_suffix_dedup(docs, rows, limit, monkeypatch):
     assert collected(suffix_dedup.report(docs)) == sorted(brute.suffix_dedup(rows))
 
 
-@pytest.mark.parametrize("samples, least, unlike", [((8, 1), 24, 0.45), ((), 2, 0.1)])
-def test_jaccard_join(docs, rows, samples, least, unlike, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "STAR_SAMPLES", samples)
+@pytest.mark.parametrize("rounds, least, most", [(2, 64, 1 << 22), (0, 2, 1 << 22), (1, 1, 50)])
+def test_jaccard_join(docs, rows, rounds, least, most, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "MIN_FREQUENT", least)
-    monkeypatch.setattr(jaccard_join, "MIN_UNLIKE", unlike)
+    monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", most)
     assert collected(jaccard_join.join(docs)) == sorted(brute.shingle_components(rows))
 
 
+def test_jaccard_join_of_frequent_passages(spark, monkeypatch):
+    """Small sets over few words, all of them frequent, over many partitions: links without any rare token."""
+    monkeypatch.setattr(jaccard_join, "MIN_FREQUENT", 2)
+    rng = random.Random(8)
+    base = [[f"p{k}w{i}" for i in range(rng.choice([6, 9, 14, 30]))] for k in range(12)]
+    rows = []
+    for doc in range(500):
+        w = [x for k in rng.sample(range(12), rng.choice([1, 2, 3])) for x in base[k]]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w.pop(rng.randrange(len(w)))
+        rows.append((doc, " ".join(w)))
+    got = collected(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)))
+    assert got == sorted(brute.shingle_components(rows))
+
+
 def test_sentencepiece(docs, rows):
     import sentencepiece
 

@@ -1,33 +1,44 @@
 """Exact n-gram Jaccard join with token-combination prefixes.
 
 A document's set is its distinct SHINGLE-word shingles; documents with one set are one node. Tokens
-have one global order: rare ones first, then frequent ones, by hash within a class. A set of n tokens
-that may lose n - o of them (o is the least overlap of a link) indexes a prefix: its rare tokens one by
-one, and once these are used up, pairs of its first frequent tokens. Rare tokens count one each and m
-frequent tokens m - 1 towards the n - o + 1 that no linked set can avoid, so two linked sets share a
-rare token or a pair of frequent ones, however the classes are chosen.
-
-A token is frequent when a task sees it in many sets that are otherwise unlike (boilerplate); the
-tokens of a large group of near copies are not. The classes need only be the same everywhere: they
-are at most MAX_FREQUENT hashes, sent with the tasks.
+are rare or frequent by the number of documents that have them, counted over all documents. Each set
+is ordered: rare tokens first, then frequent ones, by hash within a class. Let a set of n tokens be able
+to lose d of them and still reach a link.
+
+- Rare tokens are indexed one by one, as far as they are among the first d + 1 tokens: two linked sets
+  that share a rare token share one there.
+- A set whose first d + 1 tokens are not all rare can also have links without a common rare token. Its
+  prefix is then extended and combinations of COMBINED neighbouring frequent tokens are indexed. The
+  first e common tokens lie within the first d + e, and a token that only one of the sets has can part
+  one pair of neighbours, so with e two more than the tokens that both sets may lack together, some
+  pair of common tokens is neighbouring in both. The keys of a set are fewer than its tokens.
+
+Every row of the index carries the largest size that a linked partner can have if the row's key is the
+first that the two share (rare) or if they share no rare token (frequent); two rows are a candidate
+only if each allows the other. A set with many rare tokens of its own thus meets nobody under a
+frequent key, and a passage in many unlike documents is past the prefix of most.
+
+Which tokens are frequent is decided by a bit filter of fixed size over those that more than some
+number of documents have; the number doubles from MIN_FREQUENT until at most MAX_FREQUENT tokens are
+left. Any classes give the same links, as long as they are the same everywhere; they only set the work.
 
 Rows of the index are dealt by key and sorted, and tasks stream over the runs of equal keys: keys of
-one node drop out there. Links are then found in rounds:
+one node, and rows that no other row of their key allows, drop out. Links are then found in rounds:
 
-1. Star rounds, which only save work: on a sample of the keys each node is compared with one hub, the
-   node of its keys that shares most keys itself. Verified links are merged into components, and keys
-   whose nodes are all of one component drop out in another streamed pass.
-2. Last round: pairs of nodes that share a key and still lie in different components, unless the number
-   of shared prefix tokens proves that their overlap is too small.
+1. Star rounds, which only save work: each key proposes one hub, its node with most frequent tokens in
+   its set, and each node is compared with the hub that most of its keys propose. Verified links are
+   merged into components, and keys whose nodes are all of one component drop out.
+2. Last round: all candidates of a key that still lie in different components.
 
 Every link is verified on the whole sets, which are dealt by hub; a hub with many partners is dealt to
 several tasks. So a group of copies costs links in proportion to its size, and no link between
 components is lost.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; texts of fewer
-words are one shingle; sets of one token link only with their equals; repeated rows are one node;
-documents without an id are given back with a null component and link with nothing, as nothing could
-name them; an empty table gives an empty table; other columns are dropped.
+words are one shingle; sets of one token link only with their equals; repeated rows are one node, rows of
+one id with unlike texts are nodes of their own and each gets a row; very long texts are handled whole,
+one at a time in a task; documents without an id are given back with a null component and link with
+nothing, as nothing could name them; an empty table gives an empty table; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -38,19 +49,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, SPACED, U64, Chunk, chunks, mix, odd, signed, window_hash, words
+from .bits import BitFilter, bit_filter
 from .components import components
 from .regions import RangeHash, shared_table
 
 SHINGLE = 5
 PERCENT = 75
-MAX_FREQUENT = 200_000
-MIN_FREQUENT, MIN_UNLIKE = 24, 0.45
-#: One of so many keys takes part in each star round; a node asks its hub at this share of its keys.
-STAR_SAMPLES = (8, 1)
-MIN_VOTES = 0.4
-MAX_BROADCAST_NODES = 400_000
+COMBINED = 2
+#: A token is frequent above so many documents, or above the next double that leaves MAX_FREQUENT tokens.
+MIN_FREQUENT = 64
+MAX_FREQUENT = 1 << 22
+STAR_ROUNDS = 2
 PARTNERS_PER_TASK = 2000
 MAX_RUN = 2_000_000
+#: Tokens that a task holds before it sends them to be counted, and tokens counted at once.
+HELD_TOKENS = 2_000_000
+BLOCK_TOKENS = 4_000_000
 _A, _B = odd(401, 2)
 
 
@@ -79,117 +93,184 @@ def set_ids(token: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return np.where(n > 0, mix(sums[offs[1:]] - sums[offs[:-1]] + n * _B) | U64(1), U64(0))
 
 
-def prefix_keys(token: np.ndarray, offs: np.ndarray, frequent: np.ndarray):
-    """(document, key) of the index, and (prefix length or 0 with pairs, last token) of each document."""
+def _short(token: np.ndarray, bits: int) -> np.ndarray:
+    """The first `bits` bits of tokens, which stand for them in counts and classes."""
+    return token >> U64(64 - bits)
+
+
+def largest_partner(n: np.ndarray, overlap: np.ndarray) -> np.ndarray:
+    """Largest size of a set that a set of n tokens can be linked with by so large an overlap."""
+    return (100 + PERCENT) * overlap // PERCENT - n
+
+
+def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
+    """(document, key, largest partner) of each row of the index; often flags the frequent tokens."""
     n = np.diff(offs)
     doc = np.repeat(np.arange(len(n)), n)
-    need = n - (PERCENT * n + 99) // 100 + 1
-    at = np.minimum(np.searchsorted(frequent, token), max(0, len(frequent) - 1))
-    often = frequent[at] == token if len(frequent) else np.zeros(len(token), bool)
-    order = np.lexsort((token, often, doc))
+    loss = n - (PERCENT * n + 99) // 100
+    order = np.argsort(2 * doc + often, kind="stable")
     token, often = token[order], often[order]
     rare = np.bincount(doc[~often], minlength=len(n))
     place = np.arange(len(token)) - np.repeat(offs[:-1], n)
-    used = np.minimum(rare, need)
-    used[n < 2] = 0
-    hold = place < np.repeat(used, n)
-    docs, keys = [doc[hold]], [token[hold]]
-    for d in np.flatnonzero((n > 1) & (rare < need)).tolist():
+    hold = ~often & (place <= loss[doc]) & (n[doc] > 1)
+    docs, keys, most = [doc[hold]], [token[hold]], [largest_partner(n[doc[hold]], (n[doc] - place)[hold])]
+    # the tokens that only one of two linked sets has, at most
+    apart = (n + 100 * n // PERCENT) * (100 - PERCENT) // (100 + PERCENT) - rare
+    for d in np.flatnonzero((n > 1) & (rare <= loss) & (apart >= 0)).tolist():
         first = offs[d] + rare[d]
-        own = token[first : first + need[d] - rare[d] + 1]
-        i, j = np.triu_indices(len(own), 1)
-        with np.errstate(over="ignore"):
-            keys.append(mix(own[i] * _A + own[j] * _B))
-        docs.append(np.full(len(i), d))
-    last = np.zeros(len(n), dtype=U64)
-    some = np.flatnonzero(used > 0)
-    last[some] = token[offs[some] + used[some] - 1]
-    return np.concatenate(docs), np.concatenate(keys), np.where(rare >= need, used, 0), last
-
-
-def _census(docs: DataFrame) -> DataFrame:
-    """(token, doc, n, c): a row for each document (token null; its node and size), and for tokens that a task sees in
-    several sets the sets (c) and kinds of sets (n) beyond the first."""
+        own = token[first : min(offs[d + 1], first + loss[d] - rare[d] + (COMBINED - 1) * apart[d] + COMBINED)]
+        key = window_hash(own, COMBINED, 2)
+        docs.append(np.full(len(key), d))
+        keys.append(key)
+        most.append(np.full(len(key), largest_partner(n[d], n[d] - rare[d])))
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(most)
+
+
+def _distinct_sets(batches, text: int):
+    """(chunk, batch, tokens, offsets, set ids, first of its set in this task) of each chunk of texts."""
+    seen: set[int] = set()
+    for batch in batches:
+        for c in chunks(batch.column(text)):
+            token, offs = shingle_sets(c)
+            sets = set_ids(token, offs)
+            fresh = np.zeros(c.n, dtype=bool)
+            for k, s in enumerate(sets.tolist()):
+                if s and s not in seen:
+                    seen.add(s)
+                    fresh[k] = True
+            yield c, batch, token, offs, sets, fresh
+
+
+def _token_counts(docs: DataFrame, block_bits: int) -> DataFrame:
+    """(token, n): first block_bits + 32 bits of tokens that more than MIN_FREQUENT sets have.
+
+    Tasks send their tokens as arrays, one for each of 2 ** block_bits ranges of hashes, and count one
+    range after the other. Equal sets of one task count once.
+    """
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            seen: dict[int, int] = {}
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def counts():
-                if not held:
-                    return
-                token = np.concatenate([t for t, _ in held])
-                mark = np.concatenate([m for _, m in held])
-                order = np.lexsort((mark, token))
-                token, mark = token[order], mark[order]
-                head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-                many = np.diff(np.append(head, len(token)))
-                fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (mark[1:] != mark[:-1])))
-                unlike = np.add.reduceat(fresh.astype(np.int64), head)
-                on = many > 1
-                k = int(on.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(token[head][on])), pa.nulls(k, pa.int64()), pa.array(unlike[on] - 1), pa.array(many[on] - 1)],
-                    names=["token", "doc", "n", "c"],
-                )
+    def emit(batches):
+        held, size = [], 0
 
-            for c in chunks(batch.column(1)):
-                token, offs = shingle_sets(c)
-                sets = set_ids(token, offs)
-                n = np.diff(offs)
+        def rows():
+            short = np.sort(_short(np.concatenate(held), block_bits + 32))
+            block = short >> U64(32)
+            cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            low = (short & U64(0xFFFFFFFF)).astype(np.uint32)
+            for at in range(0, len(cut) - 1, 1000):
+                ends = cut[at : at + 1001]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(c.n, pa.int64()), ids.slice(c.first, c.n).cast(pa.int64()), pa.array(signed(sets)), pa.array(n.astype(np.int64))],
-                    names=["token", "doc", "n", "c"],
+                    [pa.array(block[ends[:-1]].astype(np.int64)), pa.array([low[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())],
+                    names=["block", "tokens"],
                 )
-                # each set once; a set's smallest token marks its kind, near copies mostly share it
-                fresh = np.array([seen.setdefault(s, k) == k and s != 0 for k, s in enumerate(sets.tolist(), len(seen))], dtype=bool)
-                doc = np.repeat(np.arange(c.n), n)
-                use = fresh[doc]
-                mark = np.zeros(c.n, dtype=U64)
-                mark[n > 0] = token[offs[:-1][n > 0]]
-                held.append((token[use], mark[doc[use]]))
-                size += int(use.sum())
-                if size > 3_000_000:
-                    yield from counts()
-                    held, size = [], 0
-            yield from counts()
 
-    return docs.mapInArrow(run, "token long, doc long, n long, c long")
+        for _, _, token, offs, _, fresh in _distinct_sets(batches, 1):
+            held.append(token[np.repeat(fresh, np.diff(offs))])
+            size += len(held[-1])
+            if size >= HELD_TOKENS:
+                yield from rows()
+                held, size = [], 0
+        if size:
+            yield from rows()
 
+    def count(batches):
+        held, name = [], None
 
-def _index(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, node, n) of keys with two nodes or more; a row with n < 0 has a node's last prefix token and -1 - length."""
+        def rows():
+            low = np.sort(np.concatenate(held))
+            head = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
+            n = np.diff(np.append(head, len(low)))
+            on = n > MIN_FREQUENT
+            token = (U64(name) << U64(32)) | low[head[on]].astype(U64)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n[on].astype(np.int64))], names=["token", "n"])
 
-    def emit(batches):
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                token, offs = shingle_sets(c)
-                node, n = signed(set_ids(token, offs)), np.diff(offs)
-                doc, key, used, last = prefix_keys(token, offs, frequent)
-                some = np.flatnonzero(n > 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((signed(key), signed(last)[some]))),
-                        pa.array(np.concatenate((node[doc], node[some]))),
-                        pa.array(np.concatenate((n[doc], -1 - used[some])).astype(np.int32)),
-                    ],
-                    names=["key", "node", "n"],
-                )
+            block, blob = batch.column(0).to_numpy(), batch.column(1)
+            for k in range(batch.num_rows):
+                if block[k] != name and held:
+                    yield from rows()
+                    held = []
+                name = int(block[k])
+                held.append(np.frombuffer(blob[k].as_buffer(), dtype=np.uint32).copy())
+        if held:
+            yield from rows()
+
+    sent = docs.mapInArrow(emit, "block long, tokens binary")
+    return sent.repartition("block").sortWithinPartitions("block").mapInArrow(count, "token long, n long")
+
+
+def frequent_tokens(docs: DataFrame) -> tuple[BitFilter, int]:
+    """(filter of the frequent tokens' first bits, how many bits)."""
+    # a token for each word, and a word for about six bytes
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bits = min(31, max(0, int(np.ceil(np.log2(max(1, size / 6 / BLOCK_TOKENS))))))
+    counts = shared_table(_token_counts(docs, block_bits), "frequent")
+    doubles = sorted(counts.groupBy(F.floor(F.log2(F.col("n") / MIN_FREQUENT)).alias("b")).agg(F.count("*").alias("k")).collect(), reverse=True)
+    total, least = 0, 0
+    for b, k in doubles:
+        total += k
+        if total > MAX_FREQUENT:
+            least = b + 1
+            break
+    found = bit_filter(counts.where(F.col("n") >= MIN_FREQUENT * 2**least).select("token"))
+    return found, block_bits + 32
 
-    def several(key, node, n):
-        info = n < 0
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) & ~info
-        head = np.concatenate(([True], key[1:] != key[:-1]))
-        run = np.cumsum(head) - 1
-        return info | (fresh & (np.bincount(run, weights=fresh)[run] > 1))
 
-    schema = "key long, node long, n int"
+def _index(docs: DataFrame, frequent: BitFilter, bits: int) -> DataFrame:
+    """Rows (key, node, n, most) of the index, and for each document a row (doc, node, -1 - size, 1).
+
+    The row of a document without an id has any key, and 0 as its last column.
+    """
+
+    def emit(batches):
+        for c, batch, token, offs, sets, fresh in _distinct_sets(batches, 1):
+            n = np.diff(offs)
+            use = np.repeat(fresh, n)
+            own = np.concatenate(([0], np.cumsum(np.where(fresh, n, 0))))
+            doc, key, most = prefix_keys(token[use], own, frequent.has(_short(token[use], bits)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(key)), pa.array(signed(sets)[doc]), pa.array(n[doc].astype(np.int32)), pa.array(most.astype(np.int32))],
+                names=["key", "node", "n", "most"],
+            )
+            ids = batch.column(0).slice(c.first, c.n)
+            named = np.asarray(ids.is_valid())
+            doc = np.where(named, ids.fill_null(0).to_numpy(), signed(mix(np.arange(c.n, dtype=U64))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(signed(sets)), pa.array((-1 - n).astype(np.int32)), pa.array(named.astype(np.int32))],
+                names=["key", "node", "n", "most"],
+            )
+
+    def several(key, node, n, most):
+        out = n < 0
+        on = np.flatnonzero(~out)
+        on = on[np.concatenate(([True], (key[on][1:] != key[on][:-1]) | (node[on][1:] != node[on][:-1])))] if len(on) else on
+        return _kept(out, on, key, n, most)
+
+    schema = "key long, node long, n int, most int"
     return _streamed(docs.mapInArrow(emit, schema), several, schema)
 
 
+def _kept(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """out with those of the rows `on` flagged for which another row of their key may be a candidate."""
+    run = np.cumsum(np.concatenate(([True], key[on][1:] != key[on][:-1]))) - 1 if len(on) else on
+    many = np.bincount(run, minlength=1)[run] > 1
+    on, run = on[many], np.unique(run[many], return_inverse=True)[1]
+    if not len(on):
+        return out
+
+    def other(value):
+        """Least value of the other rows of each run."""
+        order = np.lexsort((value, run))
+        head = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1])))
+        first, second = value[order[head]], value[order[head + 1]]
+        least = first[run]
+        least[order[head]] = second
+        return least
+
+    size, top = n[on].astype(np.int64), most[on].astype(np.int64)
+    out[on[(other(size) <= top) & (-other(-top) >= size)]] = True
+    return out
+
+
 def _streamed(rows: DataFrame, keep, schema: str) -> DataFrame:
     """Rows of (key, node, ...) that keep(columns) flags; it gets whole runs of equal keys, sorted by key and node.
 
@@ -202,12 +283,11 @@ def _streamed(rows: DataFrame, keep, schema: str) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            key = batch.column(0).to_numpy()
             if size < 20_000 or not batch.num_rows:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             all_keys = table.column(0).to_numpy()
-            cut = int(np.searchsorted(all_keys, key[-1]))
+            cut = int(np.searchsorted(all_keys, all_keys[-1]))
             if not cut and size < MAX_RUN:
                 continue
             long_run = not cut
@@ -229,37 +309,30 @@ def _streamed(rows: DataFrame, keep, schema: str) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
 
 
-def _by_node(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """rows joined with a table of one row a node, which is sent to the tasks while it is small."""
-    return rows.join(F.broadcast(other) if other.count() <= MAX_BROADCAST_NODES else other, "node", how)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach PERCENT. The sets of a are dealt to that of their b."""
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS_PER_TASK).alias("parts"))
-    dealt = shared_table(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")), "dealt")
+    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     jobs = dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), "part", F.lit(1).alias("turn"))
-    jobs = jobs.union(dealt.select(F.col("b").alias("node"), F.col("b").alias("hub"), "part", F.lit(0).alias("turn")).distinct())
-    own = jobs.groupBy("node").agg(F.collect_list(F.struct("hub", "part", "turn")).alias("jobs")).join(nodes.select("node", "doc"), "node")
-    own = shared_table(own, "jobs")
-    text = docs.join(F.broadcast(own) if own.count() <= MAX_BROADCAST_NODES else own, docs["doc_id"] == own["doc"]).select("node", "text", "jobs")
+    jobs = shared_table(jobs.union(dealt.select(F.col("b").alias("node"), F.col("b").alias("hub"), "part", F.lit(0).alias("turn")).distinct()), "jobs")
+    # the sets of documents that the filter lets through by mistake meet no job in the join
+    wanted = bit_filter(jobs.select("node").distinct().join(nodes, "node").select("doc"))
 
     def fetch(batches):
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            ask = wanted.has(batch.column(0).to_numpy().view(U64))
+            if not ask.any():
+                continue
+            for c in chunks(batch.column(1).filter(pa.array(ask))):
                 token, offs = shingle_sets(c)
-                lists = batch.column(2).slice(c.first, c.n)
-                row = np.repeat(np.arange(c.n), lists.value_lengths().to_numpy(zero_copy_only=False))
-                flat = lists.flatten()
-                node = batch.column(0).slice(c.first, c.n).to_numpy()
-                for at in range(0, len(row), 500):
-                    some = row[at : at + 500]
-                    blobs = pa.array([token[offs[r] : offs[r + 1]].tobytes() for r in some.tolist()], pa.binary())
-                    part = flat.slice(at, len(some))
-                    yield pa.RecordBatch.from_arrays([part.field(0), part.field(1), part.field(2), pa.array(node[some]), blobs], names=["hub", "part", "turn", "node", "tokens"])
-
-    sets = text.mapInArrow(fetch, "hub long, part long, turn int, node long, tokens binary")
-    sets = sets.repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
+                node = signed(set_ids(token, offs))
+                for at in range(0, c.n, 500):
+                    some = range(at, min(c.n, at + 500))
+                    blobs = pa.array([token[offs[r] : offs[r + 1]].tobytes() for r in some], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), blobs], names=["node", "tokens"])
+
+    sets = docs.mapInArrow(fetch, "node long, tokens binary").join(jobs, "node")
+    sets = sets.select("hub", "part", "turn", "node", "tokens").repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
 
     def check(batches):
         name, lead = None, np.zeros(0, U64)
@@ -280,97 +353,59 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(hub[good])], names=["a", "b"])
 
-    return sets.mapInArrow(check, "a long, b long")
-
-
-def _sized(a: str, b: str):
-    """Whether sizes allow a link."""
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
-
-
-def _stars(rows: DataFrame, fame: DataFrame, sample: int) -> DataFrame:
-    """(a, b): for each node the hub with which it shares most of the sampled keys; rows have comp."""
-    known = _by_node(rows.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0), fame)
-    top = known.groupBy("key").agg(F.max(F.struct("fame", "node", "n", "comp")).alias("hub"))
-    pair = known.join(top, "key").where(F.col("comp") != F.col("hub.comp"))
-    pair = pair.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb")).where(_sized("na", "nb"))
-    pair = pair.groupBy("a", "b", "na").agg(F.count("*").alias("votes"))
-    pair = pair.groupBy("a", "na").agg(F.max(F.struct("votes", "b")).alias("v"))
-    likely = 100 * sample * F.col("v.votes") >= MIN_VOTES * (100 - PERCENT) * F.col("na")
-    return pair.where(likely).select("a", F.col("v.b").alias("b"))
-
-
-def _across(rows: DataFrame, bound: DataFrame) -> DataFrame:
-    """(a, b): pairs of one key and different components whose overlap may be large enough."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pair = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sized("na", "nb"))
-    pair = pair.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    for x in "ab":
-        pair = pair.join(bound.select(F.col("node").alias(x), F.col("last").alias(f"l{x}"), F.col("used").alias(f"u{x}")), x)
-    # of the prefix that ends first every shared token is counted: what it does not share, it lacks
-    flip = F.lit(-(1 << 63))
-    a_first = F.col("la").bitwiseXOR(flip) <= F.col("lb").bitwiseXOR(flip)
-    singles = (F.col("ua") > 0) & (F.col("ub") > 0)
-    most = F.col("c") + F.when(a_first, F.col("na") - F.col("ua")).otherwise(F.col("nb") - F.col("ub"))
-    # overlap o of sizes na, nb: 100 o >= PERCENT (na + nb - o)
-    return pair.where(~singles | ((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
-
-
-def _indexed(docs: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(rows of the index, last prefix token and prefix length of each node), both written once."""
-    index = shared_table(_index(docs, frequent), "index")
-    bound = shared_table(index.where("n < 0").groupBy("node").agg(F.max("key").alias("last"), F.max(-1 - F.col("n")).alias("used")), "bound")
-    return index.where("n > 0"), bound
-
-
-def links(docs: DataFrame, nodes: DataFrame, frequent: np.ndarray) -> DataFrame | None:
-    """Verified links (a, b) between nodes that connect all linked nodes; None when there is none."""
-    rows, bound = _indexed(docs, frequent)
-    # the part of its prefix that a node shares: a copy's own words are its alone
-    share = F.count("*") * 100 / (F.first("n") * (100 - PERCENT) + 100)
-    fame = shared_table(rows.groupBy("node").agg(share.alias("fame")), "fame")
+    return sets.mapInArrow(check, "a long, b long").distinct()
+
+
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): for each node the hub that most of its keys propose; rows have comp."""
+    # the least size in relation to the largest partner has most frequent tokens; ties go by a hash that changes
+    rank = F.struct(F.floor(8 * (F.col("most") + F.col("n")) / F.col("n")).alias("pure"), F.xxhash64("node", F.lit(turn)).alias("tie"), "node", "n", "most", "comp")
+    top = rows.groupBy("key").agg(F.max(rank).alias("hub"))
+    pair = rows.join(top, "key").where((F.col("comp") != F.col("hub.comp")) & (F.col("hub.n") <= F.col("most")) & (F.col("n") <= F.col("hub.most")))
+    votes = pair.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("votes"))
+    return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(a, b): candidates of one key and different components."""
+    left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
+    pair = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")))
+    return pair.select("a", "b").distinct()
+
+
+def linked(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(node, component) of all nodes with a link; None when there is none."""
     now = rows.withColumn("comp", F.col("node"))
-    found, comp = None, None
+    comp = None
 
-    def several(key, node, n, comp):
+    def several(key, node, n, most, comp):
         run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
         head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         return (np.maximum.reduceat(comp, head) > np.minimum.reduceat(comp, head))[run]
 
-    for step, sample in enumerate((*STAR_SAMPLES, 0)):
-        pair = _stars(now, fame, sample) if sample else _across(now, bound)
-        fresh = shared_table(_verified(shared_table(pair, "pairs"), docs, nodes), "verified")
-        if not fresh.isEmpty():
-            found = fresh if found is None else found.union(fresh)
-            comp = components(found)
-        if not sample:
-            break
-        old = now.select("key", "node", "n")
-        if comp is not None:
-            now = _by_node(old, comp.withColumnRenamed("component", "comp"), "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        if step == 0 or comp is not None:
-            now = shared_table(_streamed(now, several, "key long, node long, n int, comp long"), "keys")
-    return found
-
-
-def frequent_tokens(census: DataFrame) -> np.ndarray:
-    """At most MAX_FREQUENT tokens of unlike sets, in order."""
-    total = census.where("token is not null").groupBy("token").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    found = total.where((F.col("c") >= MIN_FREQUENT) & (F.col("n") >= MIN_UNLIKE * F.col("c"))).orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).select("token")
-    table = found.toArrow() if hasattr(found, "toArrow") else None
-    token = table.column(0).to_numpy() if table is not None else np.array([r[0] for r in found.collect()], dtype=np.int64)
-    return np.sort(token.astype(np.int64).view(U64))
+    for turn in range(STAR_ROUNDS + 1):
+        pair = shared_table(_stars(now, turn) if turn < STAR_ROUNDS else _across(now), "pairs")
+        fresh = shared_table(_verified(pair, docs, nodes), "verified")
+        if fresh.isEmpty():
+            continue
+        comp = components(fresh if comp is None else fresh.union(comp.toDF("a", "b")))
+        if turn < STAR_ROUNDS:
+            own = rows.join(comp.withColumnRenamed("component", "comp"), "node", "left").select("key", "node", "n", "most", F.coalesce("comp", "node").alias("comp"))
+            now = shared_table(_streamed(own, several, "key long, node long, n int, most int, comp long"), "keys")
+    return comp
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(docs with an id, census, its rows of documents (doc, node, n), nodes of documents with an id)."""
+    """(docs with an id, rows of the index, documents (doc, node, n), nodes of documents with an id)."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    census = shared_table(_census(plain), "census")
-    # rows of documents have no token; the id of a document can be null too
-    own = census.where("token is null").select("doc", F.col("n").alias("node"), F.col("c").alias("n"))
-    nodes = own.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"))
-    return plain.where("doc_id is not null"), census, own, shared_table(nodes, "nodes")
+    index = shared_table(_index(plain, *frequent_tokens(plain)), "index")
+    own = index.where("n < 0").select(F.when(F.col("most") == 1, F.col("key")).alias("doc"), "node", (-1 - F.col("n")).cast("long").alias("n"))
+    nodes = own.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"))
+    nodes = shared_table(nodes, "nodes")
+    # nodes of documents without an id are in no link
+    rows = index.where("n > 0").join(nodes.select("node"), "node", "left_semi") if not own.where("doc is null and n > 0").isEmpty() else index.where("n > 0")
+    return plain.where("doc_id is not null"), rows.select("key", "node", "n", "most"), own, nodes
 
 
 def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,9 +413,8 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     Unlike `join` it keeps the links inside a component, so its size is that of the links themselves.
     """
-    plain, census, own, nodes = _prepared(docs, doc_id, text)
-    rows, bound = _indexed(plain, frequent_tokens(census))
-    near = _verified(shared_table(_across(rows.withColumn("comp", F.col("node")), bound), "pairs"), plain, nodes)
+    plain, rows, own, nodes = _prepared(docs, doc_id, text)
+    near = _verified(shared_table(_across(rows.withColumn("comp", F.col("node"))), "pairs"), plain, nodes)
     both = near.union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).withColumnsRenamed({"a": "na", "b": "nb"})
     member = shared_table(own.where("n > 0 and doc is not null").select("node", "doc").distinct(), "members")
     both = both.join(member.toDF("na", "a"), "na").join(member.toDF("nb", "b"), "nb").where("a <> b")
@@ -389,12 +423,12 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach; null without an id)."""
-    plain, census, own, nodes = _prepared(docs, doc_id, text)
-    found = links(plain, nodes, frequent_tokens(census))
+    plain, rows, own, nodes = _prepared(docs, doc_id, text)
+    found = linked(rows, plain, nodes)
     if found is None:
         named = nodes.select("node", F.col("doc").alias("component_id"))
     else:
-        comp = nodes.join(components(found), "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+        comp = nodes.join(found, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
         comp = shared_table(comp, "components")
         least = comp.groupBy("component").agg(F.min("doc").alias("component_id"))
         named = comp.join(least, "component").select("node", "component_id")
