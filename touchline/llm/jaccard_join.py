@@ -13,22 +13,21 @@ to lose d of them and still reach a link.
   one pair of neighbours, so with e two more than the tokens that both sets may lack together, some
   pair of common tokens is neighbouring in both. The keys of a set are fewer than its tokens.
 
-Every row of the index carries the largest size that a linked partner can have if the row's key is the
-first that the two share (rare) or if they share no rare token (frequent); two rows are a candidate
-only if each allows the other. A set with many rare tokens of its own thus meets nobody under a
-frequent key, and a passage in many unlike documents is past the prefix of most.
-
 Which tokens are frequent is decided by a bit filter of fixed size over those that more than some
 number of documents have; the number doubles from MIN_FREQUENT until at most MAX_FREQUENT tokens are
 left. Any classes give the same links, as long as they are the same everywhere; they only set the work.
 
-Rows of the index are dealt by key and sorted, and tasks stream over the runs of equal keys: keys of
-one node, and rows that no other row of their key allows, drop out. Links are then found in rounds:
+The index is dealt by key and sorted, and tasks stream over the runs of equal keys:
 
-1. Star rounds, which only save work: each key proposes one hub, its node with most frequent tokens in
-   its set, and each node is compared with the hub that most of its keys propose. Verified links are
-   merged into components, and keys whose nodes are all of one component drop out.
-2. Last round: all candidates of a key that still lie in different components.
+- Under a rare token are no more sets than the bound of its class, so its pairs are emitted at once. Each
+  pair is counted over all its tokens; of the prefix that ends first every shared rare token is counted,
+  which bounds the overlap, and pairs that it rules out are not verified.
+- Under a combination can be any number of sets. A row carries the largest size that a partner can have
+  if the two share no rare token (those that do are found above), and two rows are candidates only if each
+  allows the other: sets with many rare tokens of their own meet nobody. Star rounds come first: each key
+  proposes one hub, its node with most frequent tokens in its set, and each node is compared with the hub
+  that most of its keys propose. Verified links are merged into components, keys whose nodes are all of
+  one component drop out, and the last round has all candidates that still lie in different components.
 
 Every link is verified on the whole sets, which are dealt by hub; a hub with many partners is dealt to
 several tasks. So a group of copies costs links in proportion to its size, and no link between
@@ -57,7 +56,7 @@ SHINGLE = 5
 PERCENT = 75
 COMBINED = 2
 #: A token is frequent above so many documents, or above the next double that leaves MAX_FREQUENT tokens.
-MIN_FREQUENT = 64
+MIN_FREQUENT = 16
 MAX_FREQUENT = 1 << 22
 STAR_ROUNDS = 2
 PARTNERS_PER_TASK = 2000
@@ -66,6 +65,12 @@ MAX_RUN = 2_000_000
 HELD_TOKENS = 2_000_000
 BLOCK_TOKENS = 4_000_000
 _A, _B = odd(401, 2)
+#: Kinds of the rows of the index: (x, y, m, k) is
+#: for a document (doc, node, size, whether it has an id),
+#: for a node (last rare token of its prefix, node, size, tokens up to there, or -1 - rare tokens when it has them all),
+#: for a rare token (token, node, size, 0), for a combination (key, node, size, largest partner), for a pair (a, b, size of a, size of b).
+DOCUMENT, PREFIX, TOKEN, COMBINATION, PAIR = range(5)
+_ROWS = "kind int, x long, y long, m int, k int"
 
 
 def shingle_sets(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +109,11 @@ def largest_partner(n: np.ndarray, overlap: np.ndarray) -> np.ndarray:
 
 
 def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
-    """(document, key, largest partner) of each row of the index; often flags the frequent tokens."""
+    """Rows of the index of each set; often flags the frequent tokens.
+
+    (document, token) of rare tokens, (document, key, largest partner) of combinations, and by document
+    the last rare token of its prefix and the number of tokens up to there, or -1 - that of all rare tokens.
+    """
     n = np.diff(offs)
     doc = np.repeat(np.arange(len(n)), n)
     loss = n - (PERCENT * n + 99) // 100
@@ -113,7 +122,7 @@ def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
     rare = np.bincount(doc[~often], minlength=len(n))
     place = np.arange(len(token)) - np.repeat(offs[:-1], n)
     hold = ~often & (place <= loss[doc]) & (n[doc] > 1)
-    docs, keys, most = [doc[hold]], [token[hold]], [largest_partner(n[doc[hold]], (n[doc] - place)[hold])]
+    docs, keys, most = [], [], []
     # the tokens that only one of two linked sets has, at most
     apart = (n + 100 * n // PERCENT) * (100 - PERCENT) // (100 + PERCENT) - rare
     for d in np.flatnonzero((n > 1) & (rare <= loss) & (apart >= 0)).tolist():
@@ -123,7 +132,13 @@ def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
         docs.append(np.full(len(key), d))
         keys.append(key)
         most.append(np.full(len(key), largest_partner(n[d], n[d] - rare[d])))
-    return np.concatenate(docs), np.concatenate(keys), np.concatenate(most)
+    none = np.zeros(0, np.int64)
+    whole = rare <= loss
+    last = np.zeros(len(n), dtype=U64)
+    ends = np.flatnonzero((n > 1) & ~whole)
+    last[ends] = token[offs[ends] + loss[ends]]
+    joined = [np.concatenate(x) if x else none for x in (docs, keys, most)]
+    return (doc[hold], token[hold]), (joined[0], joined[1].astype(U64), joined[2]), (last, np.where(whole, -1 - rare, loss + 1))
 
 
 def _distinct_sets(batches, text: int):
@@ -215,47 +230,67 @@ def frequent_tokens(docs: DataFrame) -> tuple[BitFilter, int]:
     return found, block_bits + 32
 
 
-def _index(docs: DataFrame, frequent: BitFilter, bits: int) -> DataFrame:
-    """Rows (key, node, n, most) of the index, and for each document a row (doc, node, -1 - size, 1).
+def _rows(kind: int, x, y, m, k) -> pa.RecordBatch:
+    """Rows of one kind."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x), pa.array(y), pa.array(m.astype(np.int32)), pa.array(k.astype(np.int32))],
+        names=["kind", "x", "y", "m", "k"],
+    )
 
-    The row of a document without an id has any key, and 0 as its last column.
-    """
+
+def _index(docs: DataFrame, frequent: BitFilter, bits: int) -> DataFrame:
+    """Rows for documents, nodes, combinations with a possible partner, and pairs of nodes (one for each shared rare token)."""
 
     def emit(batches):
         for c, batch, token, offs, sets, fresh in _distinct_sets(batches, 1):
-            n = np.diff(offs)
+            n, node = np.diff(offs), signed(sets)
             use = np.repeat(fresh, n)
             own = np.concatenate(([0], np.cumsum(np.where(fresh, n, 0))))
-            doc, key, most = prefix_keys(token[use], own, frequent.has(_short(token[use], bits)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(key)), pa.array(signed(sets)[doc]), pa.array(n[doc].astype(np.int32)), pa.array(most.astype(np.int32))],
-                names=["key", "node", "n", "most"],
-            )
+            (d, rare), (e, key, most), (last, used) = prefix_keys(token[use], own, frequent.has(_short(token[use], bits)))
+            yield _rows(TOKEN, signed(rare), node[d], n[d], np.zeros(len(d)))
+            yield _rows(COMBINATION, signed(key), node[e], n[e], most)
+            f = np.flatnonzero(fresh & (n > 1))
+            yield _rows(PREFIX, np.where(used[f] < 0, node[f], signed(last)[f]), node[f], n[f], used[f])
             ids = batch.column(0).slice(c.first, c.n)
             named = np.asarray(ids.is_valid())
+            # a row without an id goes anywhere
             doc = np.where(named, ids.fill_null(0).to_numpy(), signed(mix(np.arange(c.n, dtype=U64))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(signed(sets)), pa.array((-1 - n).astype(np.int32)), pa.array(named.astype(np.int32))],
-                names=["key", "node", "n", "most"],
-            )
-
-    def several(key, node, n, most):
-        out = n < 0
-        on = np.flatnonzero(~out)
-        on = on[np.concatenate(([True], (key[on][1:] != key[on][:-1]) | (node[on][1:] != node[on][:-1])))] if len(on) else on
-        return _kept(out, on, key, n, most)
-
-    schema = "key long, node long, n int, most int"
-    return _streamed(docs.mapInArrow(emit, schema), several, schema)
-
-
-def _kept(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """out with those of the rows `on` flagged for which another row of their key may be a candidate."""
+            yield _rows(DOCUMENT, doc, node, n, named)
+
+    def runs(kind, x, y, m, k):
+        """Other rows as they are, pairs of the nodes of rare tokens, and combinations with a possible partner."""
+        out = kind < TOKEN
+        on = np.flatnonzero(kind == COMBINATION)
+        _keep_possible(out, on[_fresh(x[on], y[on])], x, m, k)
+        t = np.flatnonzero(kind == TOKEN)
+        t = t[_fresh(x[t], y[t])]
+        step, found = 1, []
+        while step < len(t):
+            left = np.flatnonzero(x[t[:-step]] == x[t[step:]])
+            if not len(left):
+                break
+            a, b = t[left], t[left + step]
+            fits = (100 * np.minimum(m[a], m[b]).astype(np.int64)) >= PERCENT * np.maximum(m[a], m[b]).astype(np.int64)
+            a, b = a[fits], b[fits]
+            found.append(_rows(PAIR, y[a], y[b], m[a], m[b]))
+            step += 1
+        return out, found
+
+    return _streamed(docs.mapInArrow(emit, _ROWS), runs, _ROWS)
+
+
+def _fresh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Flags the first of equal rows; rows are sorted."""
+    return np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
+
+
+def _keep_possible(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarray, most: np.ndarray) -> None:
+    """Flag those of the rows `on` for which another row of their key may be a candidate."""
     run = np.cumsum(np.concatenate(([True], key[on][1:] != key[on][:-1]))) - 1 if len(on) else on
     many = np.bincount(run, minlength=1)[run] > 1
     on, run = on[many], np.unique(run[many], return_inverse=True)[1]
     if not len(on):
-        return out
+        return
 
     def other(value):
         """Least value of the other rows of each run."""
@@ -268,45 +303,61 @@ def _kept(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarray, most:
 
     size, top = n[on].astype(np.int64), most[on].astype(np.int64)
     out[on[(other(size) <= top) & (-other(-top) >= size)]] = True
-    return out
 
 
-def _streamed(rows: DataFrame, keep, schema: str) -> DataFrame:
-    """Rows of (key, node, ...) that keep(columns) flags; it gets whole runs of equal keys, sorted by key and node.
+def _streamed(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Rows (kind, x, y, ...) that work(columns) flags, and the batches that it adds.
 
-    A run longer than MAX_RUN is handed over in parts; its parts after the first are kept whole.
+    It gets whole runs of equal x, sorted by x and y. A run longer than MAX_RUN, which only combinations
+    can have, is handed over in parts; its parts are kept whole.
     """
 
     def run(batches):
         held, size = [], 0
-        long_key = None
+        long_x = None
+
+        def done(part, long):
+            flags, more = work(*[c.to_numpy() for c in part.columns])
+            if long is not None:
+                flags = flags | (part.column(1).to_numpy() == long)
+            return [*part.filter(pa.array(flags)).to_batches(), *more]
+
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
             if size < 20_000 or not batch.num_rows:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            all_keys = table.column(0).to_numpy()
-            cut = int(np.searchsorted(all_keys, all_keys[-1]))
-            if not cut and size < MAX_RUN:
-                continue
-            long_run = not cut
-            cut = cut or size
-            part = table.slice(0, cut)
-            flags = keep(*[x.to_numpy() for x in part.columns])
-            if long_run or long_key is not None:
-                flags = flags | np.isin(part.column(0).to_numpy(), [all_keys[0] if long_run else long_key])
-            long_key = all_keys[0] if long_run else None
-            yield from part.filter(pa.array(flags)).to_batches()
-            held, size = [b for b in table.slice(cut).to_batches() if b.num_rows], table.num_rows - cut
+            x = table.column(1).to_numpy()
+            cut = int(np.searchsorted(x, x[-1]))
+            if cut or size >= MAX_RUN:
+                over = None if cut else x[0]
+                yield from done(table.slice(0, cut or size), long_x if over is None else over)
+                long_x = over
+                held, size = [b for b in table.slice(cut or size).to_batches() if b.num_rows], table.num_rows - (cut or size)
         if size:
-            part = pa.Table.from_batches(held)
-            flags = keep(*[x.to_numpy() for x in part.columns])
-            if long_key is not None:
-                flags = flags | (part.column(0).to_numpy() == long_key)
-            yield from part.filter(pa.array(flags)).to_batches()
-
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, schema)
+            yield from done(pa.Table.from_batches(held), long_x)
+
+    return rows.repartition("x").sortWithinPartitions("x", "y").mapInArrow(run, schema)
+
+
+def _candidates(index: DataFrame) -> DataFrame:
+    """(a, b): pairs that share rare tokens, unless their number proves that the overlap is too small."""
+    pair = index.where(F.col("kind") == PAIR).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("c"), F.first("m").alias("na"), F.first("k").alias("nb"))
+    prefix = index.where(F.col("kind") == PREFIX).groupBy("y").agg(F.first("x").alias("x"), F.first("k").alias("k"))
+    # tokens compare as unsigned numbers
+    last = F.when(F.col("k") >= 0, F.col("x").bitwiseXOR(F.lit(-(1 << 63))))
+    used = F.when(F.col("k") >= 0, F.col("k")).otherwise(-1 - F.col("k"))
+    for s in "ab":
+        pair = pair.join(prefix.select(F.col("y").alias(s), last.alias(f"l{s}"), used.alias(f"u{s}")), s)
+    by_a, by_b = F.col("c") + F.col("na") - F.col("ua"), F.col("c") + F.col("nb") - F.col("ub")
+    # what the prefix that ends first does not share, it lacks; one with all rare tokens of its set has no end
+    most = (
+        F.when(F.col("la").isNull() & F.col("lb").isNull(), F.least(by_a, by_b))
+        .when(F.col("lb").isNull() | (F.col("la") <= F.col("lb")), by_a)
+        .otherwise(by_b)
+    )
+    return pair.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -358,8 +409,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b): for each node the hub that most of its keys propose; rows have comp."""
-    # the least size in relation to the largest partner has most frequent tokens; ties go by a hash that changes
-    rank = F.struct(F.floor(8 * (F.col("most") + F.col("n")) / F.col("n")).alias("pure"), F.xxhash64("node", F.lit(turn)).alias("tie"), "node", "n", "most", "comp")
+    # the larger the largest partner in relation to the size, the more of a set's tokens are frequent; ties go by a hash that changes
+    rank = F.struct(((F.col("most") + F.col("n")) / F.col("n")).alias("pure"), F.xxhash64("node", F.lit(turn)).alias("tie"), "node", "n", "most", "comp")
     top = rows.groupBy("key").agg(F.max(rank).alias("hub"))
     pair = rows.join(top, "key").where((F.col("comp") != F.col("hub.comp")) & (F.col("hub.n") <= F.col("most")) & (F.col("n") <= F.col("hub.most")))
     votes = pair.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("votes"))
@@ -374,38 +425,51 @@ def _across(rows: DataFrame) -> DataFrame:
     return pair.select("a", "b").distinct()
 
 
-def linked(rows: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def linked(index: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(node, component) of all nodes with a link; None when there is none."""
+    rows = _combinations(index)
     now = rows.withColumn("comp", F.col("node"))
     comp = None
 
-    def several(key, node, n, most, comp):
-        run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        return (np.maximum.reduceat(comp, head) > np.minimum.reduceat(comp, head))[run]
+    def several(kind, x, y, n, most, comp):
+        run = np.cumsum(np.concatenate(([True], x[1:] != x[:-1]))) - 1
+        head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        return (np.maximum.reduceat(comp, head) > np.minimum.reduceat(comp, head))[run], []
 
     for turn in range(STAR_ROUNDS + 1):
-        pair = shared_table(_stars(now, turn) if turn < STAR_ROUNDS else _across(now), "pairs")
-        fresh = shared_table(_verified(pair, docs, nodes), "verified")
+        pair = _stars(now, turn) if turn < STAR_ROUNDS else _across(now)
+        if not turn:
+            pair = pair.union(_candidates(index))
+        fresh = shared_table(_verified(shared_table(_of_nodes(pair, nodes), "pairs"), docs, nodes), "verified")
         if fresh.isEmpty():
             continue
         comp = components(fresh if comp is None else fresh.union(comp.toDF("a", "b")))
         if turn < STAR_ROUNDS:
-            own = rows.join(comp.withColumnRenamed("component", "comp"), "node", "left").select("key", "node", "n", "most", F.coalesce("comp", "node").alias("comp"))
-            now = shared_table(_streamed(own, several, "key long, node long, n int, most int, comp long"), "keys")
+            own = rows.join(comp.withColumnRenamed("component", "comp"), "node", "left")
+            own = own.select(F.lit(COMBINATION).alias("kind"), F.col("key").alias("x"), F.col("node").alias("y"), "n", "most", F.coalesce("comp", "node").alias("comp"))
+            kept = _streamed(own, several, "kind int, x long, y long, n int, most int, comp long")
+            now = shared_table(kept.select(F.col("x").alias("key"), F.col("y").alias("node"), "n", "most", "comp"), "keys")
     return comp
 
 
+def _combinations(index: DataFrame) -> DataFrame:
+    return index.where(F.col("kind") == COMBINATION).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("m").alias("n"), F.col("k").alias("most"))
+
+
+def _of_nodes(pair: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs without the nodes of documents that have no id."""
+    for s in "ab":
+        pair = pair.join(nodes.select(F.col("node").alias(s)), s, "left_semi")
+    return pair.select("a", "b")
+
+
 def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(docs with an id, rows of the index, documents (doc, node, n), nodes of documents with an id)."""
+    """(docs with an id, index, documents (doc, node, n), nodes of documents with an id)."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     index = shared_table(_index(plain, *frequent_tokens(plain)), "index")
-    own = index.where("n < 0").select(F.when(F.col("most") == 1, F.col("key")).alias("doc"), "node", (-1 - F.col("n")).cast("long").alias("n"))
+    own = index.where(F.col("kind") == DOCUMENT).select(F.when(F.col("k") == 1, F.col("x")).alias("doc"), F.col("y").alias("node"), F.col("m").cast("long").alias("n"))
     nodes = own.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"))
-    nodes = shared_table(nodes, "nodes")
-    # nodes of documents without an id are in no link
-    rows = index.where("n > 0").join(nodes.select("node"), "node", "left_semi") if not own.where("doc is null and n > 0").isEmpty() else index.where("n > 0")
-    return plain.where("doc_id is not null"), rows.select("key", "node", "n", "most"), own, nodes
+    return plain.where("doc_id is not null"), index, own, shared_table(nodes, "nodes")
 
 
 def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -413,8 +477,9 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     Unlike `join` it keeps the links inside a component, so its size is that of the links themselves.
     """
-    plain, rows, own, nodes = _prepared(docs, doc_id, text)
-    near = _verified(shared_table(_across(rows.withColumn("comp", F.col("node"))), "pairs"), plain, nodes)
+    plain, index, own, nodes = _prepared(docs, doc_id, text)
+    found = _across(_combinations(index).withColumn("comp", F.col("node"))).union(_candidates(index))
+    near = _verified(shared_table(_of_nodes(found, nodes), "pairs"), plain, nodes)
     both = near.union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).withColumnsRenamed({"a": "na", "b": "nb"})
     member = shared_table(own.where("n > 0 and doc is not null").select("node", "doc").distinct(), "members")
     both = both.join(member.toDF("na", "a"), "na").join(member.toDF("nb", "b"), "nb").where("a <> b")
@@ -423,8 +488,8 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach; null without an id)."""
-    plain, rows, own, nodes = _prepared(docs, doc_id, text)
-    found = linked(rows, plain, nodes)
+    plain, index, own, nodes = _prepared(docs, doc_id, text)
+    found = linked(index, plain, nodes)
     if found is None:
         named = nodes.select("node", F.col("doc").alias("component_id"))
     else:
