@@ -1,26 +1,38 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Three small transducers read the word classes of a clause: negation (a negator governs the next
-SCOPE words), reported speech (from a reporting verb to the end of the clause) and target (a person
-addressed or named anywhere before in the clause). They are composed once into one product
-automaton whose states are (words left in the negator's scope, reported, targeted). An insult or a
-threat word makes it emit a pattern: (kind, negated, reported, targeted). A clause counts as its word's
-strength times its pattern's factor, and a document as one minus the product of what its matched
-clauses leave. Words outside a matched clause never count.
+Five small transducers read the words of a clause one after the other and write them again, with what
+they know about them. Each is a table of arcs (state, symbol) -> (state, symbol, weight):
+
+- insult and threat turn words of their class into a match;
+- negation: matches within the next SCOPE words after a negator are negated;
+- reported speech: matches behind a reporting verb are reported, to the end of the clause;
+- target: matches are addressed once a person was addressed or named in the clause, threats weigh less
+  without one.
+
+`compose` makes one transducer of two, whose states are pairs and whose weights are products; the five
+are composed into the one that scoring runs, starting anew at each clause. What it writes for a match is
+its pattern: (kind, negated, reported, addressed). A clause counts once, with its strongest
+match: the strength of the word times the factor of the pattern. A document's score is one minus the
+product of what its matched clauses leave; words that are no match only move states.
 
 Strengths and factors are learned from a bounded, hash-chosen sample of labelled training rows
-(MAX_FIT_DOCS), smoothed towards fixed priors. Stems (beginnings of words, for inflected forms) that the
-sample shows in toxic documents alone, after many different words, join the lexicon as insults: the
-shortest that is pure. Scoring is a map over whole texts, no shuffle.
+(MAX_FIT_DOCS), smoothed towards fixed priors: that of a pattern is its weight in the composed
+transducer. Stems (beginnings of words, for inflected forms) that the sample shows in toxic documents
+alone, after different words, join the lexicon as insults: the shortest that is pure. All stems that
+the sample supports are kept; they are bounded by the sample. Scoring is a map over whole texts, no shuffle.
+
+Letters A to Z and the Latin letters with marks of ISO 8859-1 are lower-cased.
 
 Defined cases: null, empty or unmatched texts get the learned share of toxic documents without a match
-(0.01 without labels); repeated rows are scored alike; other columns are kept by `score`.
+(0.01 without labels), which may be above the threshold where most of them are toxic; repeated rows are
+scored alike, and rows of one id each by its own text; very long texts are scored whole, one at a time
+in a task; an empty table gives an empty table; other columns are kept by `score`, but a column with the
+name of its result is replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +50,6 @@ SCOPE = 3
 #: A stem of so many characters is learned when it is in so many sampled toxic documents, after so many different words, and this pure.
 STEM_SIZES = range(3, 10)
 MIN_DOCS, MIN_CONTEXTS, MIN_PURITY = 5, 5, 0.9
-MAX_CANDIDATES, MAX_STEMS = 20_000, 500
 
 # Word lists of the grammar's classes.
 INSULTS = (
@@ -59,24 +70,80 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?;:\n")] = True
 
 
-def compose() -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """(next state, emitted pattern or -1) by state and class, and the patterns by number."""
-    states = list(product(range(SCOPE + 1), (0, 1), (0, 1)))
-    number = {s: i for i, s in enumerate(states)}
-    patterns = list(product((INSULT, THREAT), (0, 1), (0, 1), (0, 1)))
-    emitted = {p: i for i, p in enumerate(patterns)}
-    step = np.zeros((len(states), 6), dtype=np.int64)
-    out = np.full((len(states), 6), -1, dtype=np.int64)
-    for (scope, reported, targeted), s in number.items():
-        for c in range(6):
-            after = SCOPE if c == NEGATOR else max(0, scope - 1)
-            step[s, c] = number[after, int(reported or c == REPORTER), int(targeted or c == TARGET)]
-            if c in (INSULT, THREAT):
-                out[s, c] = emitted[c, int(scope > 0), reported, targeted]
-    return step, out, patterns
+MATCH = "match"
+CLASSES = ((OTHER,), (INSULT,), (THREAT,), (TARGET,), (NEGATOR,), (REPORTER,))
+NEGATED_WEIGHT, REPORTED_WEIGHT, UNADDRESSED_WEIGHT = 0.4, 0.5, 0.7
+
+
+class Transducer:
+    """States from 0, input symbols, and an arc (next state, output symbol, weight) for each of both."""
+
+    def __init__(self, states: int, symbols: tuple, arc):
+        self.states, self.symbols = states, symbols
+        self.arcs = {(s, x): arc(s, x) for s in range(states) for x in symbols}
+
+    @property
+    def written(self) -> tuple:
+        return tuple(dict.fromkeys(y for _, y, _ in self.arcs.values()))
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that gives what second writes when it reads what first writes."""
+    pairs, arcs = {(0, 0): 0}, {}
+    queue = [(0, 0)]
+    for a, b in queue:
+        for x in first.symbols:
+            a2, y, v = first.arcs[a, x]
+            b2, z, w = second.arcs[b, y]
+            if (a2, b2) not in pairs:
+                pairs[a2, b2] = len(pairs)
+                queue.append((a2, b2))
+            arcs[pairs[a, b], x] = (pairs[a2, b2], z, v * w)
+    return Transducer(len(pairs), first.symbols, lambda s, x: arcs[s, x])
+
+
+def matcher(kind: int, symbols: tuple) -> Transducer:
+    """Words of a class become a match of that kind."""
+    return Transducer(1, symbols, lambda s, x: (s, (x[0], MATCH), 1.0) if x == (kind,) else (s, x, 1.0))
+
 
+def marker(symbols: tuple, states: int, after, weight) -> Transducer:
+    """Matches get one more mark: whether the state is above 0; after(state, symbol) is the next state."""
 
-STEP, EMIT, PATTERNS = compose()
+    def arc(s, x):
+        return (after(s, x), (*x, int(s > 0)), weight(x[0], s > 0)) if MATCH in x else (after(s, x), x, 1.0)
+
+    return Transducer(states, symbols, arc)
+
+
+def grammar() -> Transducer:
+    g = matcher(INSULT, CLASSES)
+    g = compose(g, matcher(THREAT, g.written))
+    g = compose(g, marker(g.written, SCOPE + 1, lambda s, x: SCOPE if x == (NEGATOR,) else max(0, s - 1), lambda _, on: NEGATED_WEIGHT if on else 1.0))
+    g = compose(g, marker(g.written, 2, lambda s, x: int(s or x == (REPORTER,)), lambda _, on: REPORTED_WEIGHT if on else 1.0))
+    return compose(g, marker(g.written, 2, lambda s, x: int(s or x == (TARGET,)), lambda kind, on: UNADDRESSED_WEIGHT if kind == THREAT and not on else 1.0))
+
+
+def pattern_of(symbol: tuple) -> tuple[int, ...] | None:
+    """(kind, negated, reported, addressed) of a match."""
+    return (symbol[0], *symbol[2:]) if MATCH in symbol else None
+
+
+GRAMMAR = grammar()
+#: Patterns in order, with their weight in the grammar; arcs as arrays by state and class.
+PRIOR = {p: w for _, y, w in GRAMMAR.arcs.values() if (p := pattern_of(y))}
+PATTERNS = sorted(PRIOR)
+STEP = np.array([[GRAMMAR.arcs[s, x][0] for x in CLASSES] for s in range(GRAMMAR.states)])
+EMIT = np.array([[PATTERNS.index(p) if (p := pattern_of(GRAMMAR.arcs[s, x][1])) else -1 for x in CLASSES] for s in range(GRAMMAR.states)])
+
+
+def lower_case(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the capitals of ISO 8859-1 in lower case."""
+    out = LOWER[data]
+    mark = np.flatnonzero(data[:-1] == 0xC3) + 1
+    mark = mark[(data[mark] >= 0x80) & (data[mark] <= 0x9E) & (data[mark] != 0x97)]
+    out[mark] += 0x20
+    return out
 
 
 def word_hash(word_list: list[str]) -> np.ndarray:
@@ -129,9 +196,9 @@ class Lexicon:
             out.append((which[hit], entry[at[hit]]))
         return out
 
-    def matches(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, entry, pattern) of every match in a matched clause."""
-        w = words(c, ALNUM, LOWER[c.data], prefixes=True)
+    def matches(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, clause, entry, pattern) of every match; clauses are numbered within the chunk."""
+        w = words(c, ALNUM, lower_case(c.data), prefixes=True)
         at = np.full(len(w.hash), -1, dtype=np.int64)
         for which, entry in reversed(self.find(c, w)):
             free = at[which] < 0
@@ -140,16 +207,16 @@ class Lexicon:
         ends = np.concatenate(([0], np.cumsum(_ENDS[c.data])))
         clause = ends[w.start] + w.doc  # rises at each end of a clause or document
         hit = np.flatnonzero((cls == INSULT) | (cls == THREAT))
-        got: list[tuple[int, int, int]] = []
+        got: list[tuple[int, int, int, int]] = []
         for name in np.unique(clause[hit]).tolist():
             a, b = np.searchsorted(clause, [name, name + 1])
             state = 0
             for k, kind in enumerate(cls[a:b].tolist(), int(a)):
                 if (pattern := int(EMIT[state, kind])) >= 0:
-                    got.append((int(w.doc[k]), int(at[k]), pattern))
+                    got.append((int(w.doc[k]), name, int(at[k]), pattern))
                 state = int(STEP[state, kind])
-        x = np.array(got, dtype=np.int64).reshape(-1, 3)
-        return x[:, 0], x[:, 1], x[:, 2]
+        x = np.array(got, dtype=np.int64).reshape(-1, 4)
+        return x[:, 0], x[:, 1], x[:, 2], x[:, 3]
 
 
 @dataclass
@@ -160,11 +227,6 @@ class Model:
     unmatched: float
 
 
-def _prior_factor(pattern: tuple[int, int, int, int]) -> float:
-    _, negated, reported, _ = pattern
-    return (0.4 if negated else 1.0) * (0.5 if reported else 1.0)
-
-
 def _stems(sample: DataFrame) -> tuple[str, ...]:
     """Stems that tell toxic documents of the sample (doc_id, text, label) from the others."""
     token = F.expr(r"filter(split(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')")
@@ -174,7 +236,8 @@ def _stems(sample: DataFrame) -> tuple[str, ...]:
     sizes = F.sequence(F.lit(min(STEM_SIZES)), F.least(F.length("w"), F.lit(max(STEM_SIZES))))
     stem = each.select("doc_id", "p", F.explode(F.transform(sizes, lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("stem"))
     seen = stem.groupBy("stem", "doc_id").agg(F.min("p").alias("p")).groupBy("stem").agg(F.count("*").alias("a"), F.approx_count_distinct("p").alias("k"))
-    found = seen.where((F.col("a") >= MIN_DOCS) & (F.col("k") >= MIN_CONTEXTS)).orderBy(F.desc("a"), "stem").limit(MAX_CANDIDATES).select("stem").collect()
+    # at most the stems of MIN_DOCS documents of the bounded sample
+    found = seen.where((F.col("a") >= MIN_DOCS) & (F.col("k") >= MIN_CONTEXTS)).select("stem").collect()
     candidates = tuple(sorted(r["stem"] for r in found))
     if not candidates:
         return ()
@@ -184,7 +247,7 @@ def _stems(sample: DataFrame) -> tuple[str, ...]:
         for batch in batches:
             y = np.array([int(v == 1) for v in batch.column(2).to_pylist()], dtype=np.int64)
             for c in chunks(batch.column(1)):
-                w = words(c, ALNUM, LOWER[c.data], prefixes=True)
+                w = words(c, ALNUM, lower_case(c.data), prefixes=True)
                 parts = [np.unique(entry * c.n + w.doc[which]) for which, entry in lexicon.find(c, w)]
                 pair = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 n = np.bincount(pair // c.n, minlength=len(candidates))
@@ -193,10 +256,9 @@ def _stems(sample: DataFrame) -> tuple[str, ...]:
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(a[k]), pa.array(n[k])], names=["entry", "a", "n"])
 
     counts = sample.mapInArrow(run, "entry long, a long, n long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).collect()
-    pure = {candidates[r["entry"]] for r in counts if r["a"] >= MIN_DOCS and r["a"] >= MIN_PURITY * (r["n"] + 0.5)}
-    shortest = [s for s in pure if not any(s[:k] in pure for k in range(1, len(s)))]
-    rank = {candidates[r["entry"]]: r["a"] for r in counts}
-    return tuple(sorted(sorted(shortest, key=lambda s: (-rank[s], s))[:MAX_STEMS]))
+    # one row of each kind for smoothing: a stem in few documents is not pure by chance
+    pure = {candidates[r["entry"]] for r in counts if r["a"] >= MIN_DOCS and r["a"] >= MIN_PURITY * (r["n"] + 1)}
+    return tuple(sorted(s for s in pure if not any(s[:k] in pure for k in range(1, len(s)))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_FIT_DOCS) -> Model:
@@ -215,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             y = np.array(batch.column(2).to_pylist())
             for c in chunks(batch.column(1)):
-                doc, place, pattern = lexicon.matches(c)
+                doc, _, place, pattern = lexicon.matches(c)
                 got = {(d, p, q) for d, p, q in zip(doc.tolist(), place.tolist(), pattern.tolist(), strict=True)}
                 got |= {(d, -1, -1) for d in set(range(c.n)) - set(doc.tolist())}
                 rows = sorted((p, q, int(y[c.first + d] == 1)) for d, p, q in got)
@@ -234,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     prior = np.where(lexicon.cls == INSULT, 0.8, 0.4)
     strength = (seen[:, 0] + 2 * prior) / (seen[:, 1] + 2)
     base = (by[:, 0].sum() + 1) / (by[:, 1].sum() + 1)
-    ten = np.array([_prior_factor(p) for p in PATTERNS]) * base * 10
+    ten = np.array([PRIOR[p] for p in PATTERNS]) * base * 10
     factor = np.minimum(1, (by[:, 0] + ten) / (by[:, 1] + 10) / base)
     return Model(stems, strength, factor, float((none[0] + 0.01) / (none[1] + 1)))
 
@@ -248,9 +310,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for c in chunks(column):
-                doc, place, pattern = lexicon.matches(c)
-                left = np.full(c.n, 1.0 - min(model.unmatched, 0.29))
-                np.multiply.at(left, doc, 1 - model.strength[place] * model.factor[pattern])
+                doc, clause, place, pattern = lexicon.matches(c)
+                left = np.full(c.n, 1.0 - model.unmatched)
+                # matches of a clause follow each other
+                first = np.flatnonzero(np.concatenate(([True], clause[1:] != clause[:-1]))) if len(clause) else clause
+                if len(first):
+                    np.multiply.at(left, doc[first], 1 - np.maximum.reduceat(model.strength[place] * model.factor[pattern], first))
                 rows = batch.slice(c.first, c.n)
                 yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(k)) for k in keep] + [pa.array(1 - left)], names=[*keep, out])
 
