@@ -2,6 +2,8 @@
 
 import random
 
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from touchline.llm.queries import QUERIES, table, tokenizer_path
 
 from . import brute
 
-DIR, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
+DIR, SMALL, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 ODD = [None, "", " \n", "a", "a b", "x" * 1500, "ab " * 300, "ab " * 300, "é😀 ß\n\tz", "!" * 250]
 
 
@@ -59,7 +61,7 @@ def test_suffix_dedup(docs, rows, limit, monkeypatch):
     assert collected(suffix_dedup.report(docs)) == sorted(brute.suffix_dedup(rows))
 
 
-@pytest.mark.parametrize("rounds, least, most", [(2, 64, 1 << 22), (0, 2, 1 << 22), (1, 1, 50)])
+@pytest.mark.parametrize("rounds, least, most", [(2, 16, 1 << 22), (0, 2, 1 << 22), (1, 1, 50)])
 def test_jaccard_join(docs, rows, rounds, least, most, monkeypatch):
     monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "MIN_FREQUENT", least)
@@ -264,3 +266,74 @@ def test_urls_by_host(spark):
         assert sorted(map(repr, map(tuple, mine.collect()))) == sorted(map(repr, rows.fetchall()))
     both = QUERIES["op7_url_templates_by_host"](spark, DIR)
     assert both.where("rule is null and verdict = 'block'").count() > 0
+
+
+def test_composed_transducers_equal_the_cascade():
+    """Reading with the composed transducer is reading with the five one after the other."""
+    rng = random.Random(4)
+    t = toxicity
+    marks = lambda x: t.MATCH in x
+    for _ in range(300):
+        classes = [rng.randrange(6) for _ in range(rng.randrange(1, 12))]
+        state, got = 0, []
+        for c in classes:
+            if t.EMIT[state, c] >= 0:
+                got.append(t.PATTERNS[t.EMIT[state, c]])
+            state = int(t.STEP[state, c])
+        want = []
+        for k, c in enumerate(classes):
+            if c in (t.INSULT, t.THREAT):
+                before = classes[:k]
+                want.append((c, int(t.NEGATOR in before[-t.SCOPE :]), int(t.REPORTER in before), int(t.TARGET in before)))
+        assert got == want
+    assert t.PRIOR[t.INSULT, 0, 0, 0] == t.PRIOR[t.THREAT, 0, 0, 1] == 1.0 and t.PRIOR[t.THREAT, 1, 1, 0] == pytest.approx(0.4 * 0.5 * 0.7)
+    assert not any(marks((x,)) for x in range(6))
+
+
+def test_toxicity_of_clauses(spark):
+    """Negation, reported speech and capitals with marks; a clause counts once; scores against a plain walk over the words."""
+    import re
+
+    model = toxicity.Model((), np.where(toxicity.Lexicon().cls == toxicity.INSULT, 0.8, 0.6), np.array([toxicity.PRIOR[p] for p in toxicity.PATTERNS]), 0.01)
+    texts = {
+        1: "You are an idiot.", 2: "You are not an idiot.", 3: "They said you idiot.", 4: "They never said he was not an idiot.", 5: "idiot, moron and loser", 6: "idiot. moron! loser",
+        7: "IMBÉCILE", 8: "They will kill time.", 9: "You: I will kill you. They kill", 10: "", 11: None, 12: "fine words " * 40_000, 13: "You are an idiot.",
+    }
+    got = {r.doc_id: r.score for r in toxicity.predict(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    kinds = {w: c for c, ws in ((toxicity.INSULT, toxicity.INSULTS), (toxicity.THREAT, toxicity.THREATS), (toxicity.REPORTER, toxicity.REPORTERS), (toxicity.NEGATOR, toxicity.NEGATORS), (toxicity.TARGET, toxicity.TARGETS)) for w in ws}
+    for doc, text in texts.items():
+        left = 0.99
+        for clause in re.split(r"[.!?;:\n]", text or ""):
+            w = [kinds.get(x, toxicity.OTHER) for x in brute.ALNUM.findall(clause.lower())]
+            best = 0.0
+            for k, c in enumerate(w):
+                if c in (toxicity.INSULT, toxicity.THREAT):
+                    weight = 0.8 if c == toxicity.INSULT else 0.6
+                    weight *= 0.4 if toxicity.NEGATOR in w[max(0, k - toxicity.SCOPE) : k] else 1
+                    weight *= 0.5 if toxicity.REPORTER in w[:k] else 1
+                    weight *= 0.7 if c == toxicity.THREAT and toxicity.TARGET not in w[:k] else 1
+                    best = max(best, weight)
+            left *= 1 - best
+        assert got[doc] == pytest.approx(1 - left), (doc, text and text[:40])
+    assert got[1] > got[2] and got[3] > got[4] and got[6] > got[5] == got[1] == got[13]
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Held-out rows only; the larger table shows the inflected forms that must be learned."""
+    d, labels = table(spark, LARGE, "documents"), table(spark, LARGE, "labels")
+    both = toxicity.predict(d, toxicity.fit(d, labels)).where("held_out").join(labels, "doc_id")
+    clean, caught, toxic = both.agg(F.avg(F.when(F.col("toxic") == 0, 1 - F.col("predicted"))), F.count_if((F.col("toxic") == 1) & (F.col("predicted") == 1)), F.sum("toxic")).first()
+    assert clean > 0.98 and caught >= 0.8 * toxic
+
+
+def test_quality_votes_against_plain_cosines():
+    """Blocks of any size and repeated training vectors give the votes of a plain sort by similarity and place."""
+    m = quality_neighbours.Model(None, None, None, quality_neighbours.unit(np.random.default_rng(2).integers(-2, 3, (90, 3)).astype(np.float32)), np.random.default_rng(3).integers(0, 2, 90).astype(np.float32), 0.4)
+    docs = quality_neighbours.unit(np.random.default_rng(4).integers(-2, 3, (50, 3)).astype(np.float32))
+    got = quality_neighbours.vote(m, docs)
+    assert np.array_equal(got, np.concatenate([quality_neighbours.vote(m, docs[k : k + 1]) for k in range(50)]))
+    for x, score in zip(docs, got):
+        sim = [round(float(np.dot(x.astype(float), v.astype(float))) * quality_neighbours.STEPS) / quality_neighbours.STEPS for v in m.vectors]
+        near = sorted(range(90), key=lambda i: (-sim[i], i))[: quality_neighbours.NEIGHBOURS]
+        w = [max(sim[i], 0) ** quality_neighbours.POWER for i in near]
+        assert score == pytest.approx(sum(a * m.labels[i] for a, i in zip(w, near)) / sum(w) if sum(w) > 1e-12 else m.base, abs=1e-4)

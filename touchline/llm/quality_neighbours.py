@@ -1,16 +1,24 @@
 """Quality classifier by nearest-neighbour voting over latent-semantic vectors.
 
 Terms are 2- to 4-grams of a text's shape (runs of capitals, small letters and digits are one symbol
-each, all else stands for itself), and one term each for repeated lines and repeated three-word runs. A
-bounded, hash-chosen sample of labelled rows (MAX_FIT_DOCS, training folds only) gives the
-vocabulary, the document frequencies and a truncated singular value decomposition. The labelled
-vectors (at most MAX_FIT_DOCS x RANK floats) and the projection (VOCABULARY x RANK) travel with the
-task. Every document's whole text is projected, its exact cosine to every labelled vector is computed
-in blocks, and the labels of its NEIGHBOURS nearest vectors vote by similarity.
+each, all else stands for itself), and one term each for repeated lines and repeated three-word runs.
+Words themselves are no terms: quality is about form, and texts come in several languages, whose words
+would separate languages in the latent space before they separate good texts from bad ones.
+
+A bounded, hash-chosen sample of labelled rows (MAX_FIT_DOCS, training folds only) gives the
+vocabulary (the VOCABULARY terms that are most frequent there, a parameter of the model), the document
+frequencies and a truncated singular value decomposition. The labelled vectors (at most MAX_FIT_DOCS x
+RANK floats) and the projection (VOCABULARY x RANK) travel with the task. Every document's whole text
+is projected, its exact cosine to every labelled vector is computed in blocks, and the labels of its
+NEIGHBOURS nearest vectors vote with the POWER of their similarity as weight.
+
+Similarities are compared in steps of 1 / STEPS, so that they are the same in blocks of any size, and
+equal ones go to the smaller doc_id of the sample.
 
 Defined cases: a null or empty text, or one with no known term, gets the share of label 1 in the
-sample; without any labelled row every score is 0.5; equal similarities go to the smaller doc_id of
-the sample; repeated rows are scored alike; other columns are dropped.
+sample; without any labelled row every score is 0.5; repeated rows are scored alike, and rows of one id
+each by its own text; very long texts are blocks of their own; an empty table gives an empty table;
+other columns are dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ MAX_FIT_DOCS = 2000
 VOCABULARY = 2048
 RANK = 48
 NEIGHBOURS = 15
+POWER = 4
+STEPS = 100_000
 FOLDS, HELD_OUT = 3, 1
 _ROWS = 512
 _TABLE_BITS = 20
@@ -155,11 +165,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def vote(m: Model, docs: np.ndarray) -> np.ndarray:
-    """Share of label 1 among the nearest labelled vectors, weighted by similarity."""
-    sim = docs @ m.vectors.T
-    k = min(NEIGHBOURS, sim.shape[1])
-    near = np.argsort(-sim, axis=1, kind="stable")[:, :k] if k == sim.shape[1] else np.argpartition(-sim, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(sim, near, axis=1), 0).astype(np.float64) ** 4
+    """Share of label 1 among the nearest labelled vectors, weighted by similarity.
+
+    The vectors of the model are in the order of their doc_id, and so is the rank of equal similarities.
+    """
+    step = np.rint((docs @ m.vectors.T).astype(np.float64) * STEPS).astype(np.int64)
+    n = step.shape[1]
+    k = min(NEIGHBOURS, n)
+    # one number for the similarity and, behind it, the place: no two are equal
+    key = step * n + np.arange(n - 1, -1, -1)
+    near = np.sort(np.argpartition(-key, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), step.shape), axis=1)
+    w = (np.maximum(np.take_along_axis(step, near, axis=1), 0) / STEPS) ** POWER
     total = w.sum(axis=1)
     return np.where(total > 1e-12, (w * m.labels[near]).sum(axis=1) / np.maximum(total, 1e-12), m.base)
 
