@@ -22,12 +22,14 @@ The index is dealt by key and sorted, and tasks stream over the runs of equal ke
 - Under a rare token are no more sets than the bound of its class, so its pairs are emitted at once. Each
   pair is counted over all its tokens; of the prefix that ends first every shared rare token is counted,
   which bounds the overlap, and pairs that it rules out are not verified.
-- Under a combination can be any number of sets. A row carries the largest size that a partner can have
-  if the two share no rare token (those that do are found above), and two rows are candidates only if each
-  allows the other: sets with many rare tokens of their own meet nobody. Star rounds come first: each key
-  proposes one hub, its node with most frequent tokens in its set, and each node is compared with the hub
-  that most of its keys propose. Verified links are merged into components, keys whose nodes are all of
-  one component drop out, and the last round has all candidates that still lie in different components.
+- Under a combination can be any number of sets. A row carries the number of frequent tokens of its set,
+  which bounds the overlap of two sets that share no rare token (those that do are found above): sets with
+  many rare tokens of their own meet nobody. Star rounds come first: each key proposes one hub, its node
+  with the largest share of frequent tokens, and each node is compared with the hub that most of its keys
+  propose. Verified links are merged into components, keys whose nodes are all of one component drop out,
+  and the last round has all candidates that still lie in different components. Two nodes that were both
+  compared with one hub are none if that rules them out: what they share is in the hub, or is what one
+  of them has besides it.
 
 Every link is verified on the whole sets, which are dealt by hub; a hub with many partners is dealt to
 several tasks. So a group of copies costs links in proportion to its size, and no link between
@@ -44,7 +46,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, SPACED, U64, Chunk, chunks, mix, odd, signed, window_hash, words
@@ -68,7 +70,7 @@ _A, _B = odd(401, 2)
 #: Kinds of the rows of the index: (x, y, m, k) is
 #: for a document (doc, node, size, whether it has an id),
 #: for a node (last rare token of its prefix, node, size, tokens up to there, or -1 - rare tokens when it has them all),
-#: for a rare token (token, node, size, 0), for a combination (key, node, size, largest partner), for a pair (a, b, size of a, size of b).
+#: for a rare token (token, node, size, 0), for a combination (key, node, size, frequent tokens of the set), for a pair (a, b, size of a, size of b).
 DOCUMENT, PREFIX, TOKEN, COMBINATION, PAIR = range(5)
 _ROWS = "kind int, x long, y long, m int, k int"
 
@@ -111,7 +113,7 @@ def largest_partner(n: np.ndarray, overlap: np.ndarray) -> np.ndarray:
 def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
     """Rows of the index of each set; often flags the frequent tokens.
 
-    (document, token) of rare tokens, (document, key, largest partner) of combinations, and by document
+    (document, token) of rare tokens, (document, key, frequent tokens) of combinations, and by document
     the last rare token of its prefix and the number of tokens up to there, or -1 - that of all rare tokens.
     """
     n = np.diff(offs)
@@ -122,7 +124,7 @@ def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
     rare = np.bincount(doc[~often], minlength=len(n))
     place = np.arange(len(token)) - np.repeat(offs[:-1], n)
     hold = ~often & (place <= loss[doc]) & (n[doc] > 1)
-    docs, keys, most = [], [], []
+    docs, keys, common = [], [], []
     # the tokens that only one of two linked sets has, at most
     apart = (n + 100 * n // PERCENT) * (100 - PERCENT) // (100 + PERCENT) - rare
     for d in np.flatnonzero((n > 1) & (rare <= loss) & (apart >= 0)).tolist():
@@ -131,13 +133,13 @@ def prefix_keys(token: np.ndarray, offs: np.ndarray, often: np.ndarray):
         key = window_hash(own, COMBINED, 2)
         docs.append(np.full(len(key), d))
         keys.append(key)
-        most.append(np.full(len(key), largest_partner(n[d], n[d] - rare[d])))
+        common.append(np.full(len(key), n[d] - rare[d]))
     none = np.zeros(0, np.int64)
     whole = rare <= loss
     last = np.zeros(len(n), dtype=U64)
     ends = np.flatnonzero((n > 1) & ~whole)
     last[ends] = token[offs[ends] + loss[ends]]
-    joined = [np.concatenate(x) if x else none for x in (docs, keys, most)]
+    joined = [np.concatenate(x) if x else none for x in (docs, keys, common)]
     return (doc[hold], token[hold]), (joined[0], joined[1].astype(U64), joined[2]), (last, np.where(whole, -1 - rare, loss + 1))
 
 
@@ -246,9 +248,9 @@ def _index(docs: DataFrame, frequent: BitFilter, bits: int) -> DataFrame:
             n, node = np.diff(offs), signed(sets)
             use = np.repeat(fresh, n)
             own = np.concatenate(([0], np.cumsum(np.where(fresh, n, 0))))
-            (d, rare), (e, key, most), (last, used) = prefix_keys(token[use], own, frequent.has(_short(token[use], bits)))
+            (d, rare), (e, key, common), (last, used) = prefix_keys(token[use], own, frequent.has(_short(token[use], bits)))
             yield _rows(TOKEN, signed(rare), node[d], n[d], np.zeros(len(d)))
-            yield _rows(COMBINATION, signed(key), node[e], n[e], most)
+            yield _rows(COMBINATION, signed(key), node[e], n[e], common)
             f = np.flatnonzero(fresh & (n > 1))
             yield _rows(PREFIX, np.where(used[f] < 0, node[f], signed(last)[f]), node[f], n[f], used[f])
             ids = batch.column(0).slice(c.first, c.n)
@@ -284,7 +286,7 @@ def _fresh(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
 
 
-def _keep_possible(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarray, most: np.ndarray) -> None:
+def _keep_possible(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarray, common: np.ndarray) -> None:
     """Flag those of the rows `on` for which another row of their key may be a candidate."""
     run = np.cumsum(np.concatenate(([True], key[on][1:] != key[on][:-1]))) - 1 if len(on) else on
     many = np.bincount(run, minlength=1)[run] > 1
@@ -301,7 +303,8 @@ def _keep_possible(out: np.ndarray, on: np.ndarray, key: np.ndarray, n: np.ndarr
         least[order[head]] = second
         return least
 
-    size, top = n[on].astype(np.int64), most[on].astype(np.int64)
+    size = n[on].astype(np.int64)
+    top = largest_partner(size, common[on].astype(np.int64))
     out[on[(other(size) <= top) & (-other(-top) >= size)]] = True
 
 
@@ -360,8 +363,12 @@ def _candidates(index: DataFrame) -> DataFrame:
     return pair.where((100 + PERCENT) * most >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose whole sets reach PERCENT. The sets of a are dealt to that of their b."""
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, classes: tuple[BitFilter, int]) -> DataFrame:
+    """(a, b, linked, common) of each pair: whether the whole sets reach PERCENT, and their common frequent tokens.
+
+    The sets of a are dealt to that of their b.
+    """
+    frequent, bits = classes
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS_PER_TASK).alias("parts"))
     dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
     jobs = dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), "part", F.lit(1).alias("turn"))
@@ -377,83 +384,102 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for c in chunks(batch.column(1).filter(pa.array(ask))):
                 token, offs = shingle_sets(c)
                 node = signed(set_ids(token, offs))
+                often = frequent.has(_short(token, bits))
                 for at in range(0, c.n, 500):
-                    some = range(at, min(c.n, at + 500))
-                    blobs = pa.array([token[offs[r] : offs[r + 1]].tobytes() for r in some], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), blobs], names=["node", "tokens"])
+                    some = [(token[offs[r] : offs[r + 1]], often[offs[r] : offs[r + 1]]) for r in range(at, min(c.n, at + 500))]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at : at + 500]), *[pa.array([t[k].tobytes() for t, k in part], pa.binary()) for part in ([(t, ~k) for t, k in some], some)]], names=["node", "rare", "frequent"])
+
+    sets = docs.mapInArrow(fetch, "node long, rare binary, frequent binary").join(jobs, "node")
+    sets = sets.select("hub", "part", "turn", "node", "rare", "frequent").repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
 
-    sets = docs.mapInArrow(fetch, "node long, tokens binary").join(jobs, "node")
-    sets = sets.select("hub", "part", "turn", "node", "tokens").repartition("hub", "part").sortWithinPartitions("hub", "part", "turn")
+    def shared(x, y):
+        both = np.sort(np.concatenate((x, y)))
+        return int((both[1:] == both[:-1]).sum())
 
     def check(batches):
-        name, lead = None, np.zeros(0, U64)
+        name, lead = None, ()
         for batch in batches:
             hub, part, turn, node = (batch.column(i).to_numpy() for i in range(4))
-            tokens = batch.column(4)
-            good = []
+            rows, linked, common = [], [], []
             for k in range(batch.num_rows):
-                own = np.frombuffer(tokens[k].as_buffer(), dtype=U64)
+                own = tuple(np.frombuffer(batch.column(i)[k].as_buffer(), dtype=U64) for i in (4, 5))
                 if not turn[k]:
-                    name, lead = (hub[k], part[k]), own.copy()
+                    name, lead = (hub[k], part[k]), tuple(x.copy() for x in own)
                     continue
                 assert name == (hub[k], part[k])
-                both = np.sort(np.concatenate((lead, own)))
-                same = int((both[1:] == both[:-1]).sum())
-                if 100 * same >= PERCENT * (len(both) - same):
-                    good.append(k)
-            if good:
-                yield pa.RecordBatch.from_arrays([pa.array(node[good]), pa.array(hub[good])], names=["a", "b"])
+                of = shared(lead[1], own[1])
+                same = of + shared(lead[0], own[0])
+                rows.append(k)
+                linked.append(100 * same >= PERCENT * (sum(map(len, lead)) + sum(map(len, own)) - same))
+                common.append(of)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(hub[rows]), pa.array(linked), pa.array(common, pa.int32())], names=["a", "b", "linked", "common"])
+
+    return sets.mapInArrow(check, "a long, b long, linked boolean, common int").distinct()
+
 
-    return sets.mapInArrow(check, "a long, b long").distinct()
+def _partner(n: Column, frequent: Column) -> Column:
+    """Largest size of a partner without a common rare token; see `largest_partner`."""
+    return F.floor(frequent * (100 + PERCENT) / PERCENT) - n
 
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b): for each node the hub that most of its keys propose; rows have comp."""
-    # the larger the largest partner in relation to the size, the more of a set's tokens are frequent; ties go by a hash that changes
-    rank = F.struct(((F.col("most") + F.col("n")) / F.col("n")).alias("pure"), F.xxhash64("node", F.lit(turn)).alias("tie"), "node", "n", "most", "comp")
+    # ties go by a hash that changes
+    rank = F.struct((F.col("f") / F.col("n")).alias("pure"), F.xxhash64("node", F.lit(turn)).alias("tie"), "node", "n", "f", "comp")
     top = rows.groupBy("key").agg(F.max(rank).alias("hub"))
-    pair = rows.join(top, "key").where((F.col("comp") != F.col("hub.comp")) & (F.col("hub.n") <= F.col("most")) & (F.col("n") <= F.col("hub.most")))
+    fits = (F.col("hub.n") <= _partner(F.col("n"), F.col("f"))) & (F.col("n") <= _partner(F.col("hub.n"), F.col("hub.f")))
+    pair = rows.join(top, "key").where((F.col("comp") != F.col("hub.comp")) & fits)
     votes = pair.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.count("*").alias("votes"))
     return votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """(a, b): candidates of one key and different components."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("comp").alias("ca"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("comp").alias("cb"))
-    pair = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")))
+    """(a, b): candidates of one key and different components; rows have comp, met (a hub) and common (with it)."""
+    names = {"node": "", "n": "n", "f": "f", "comp": "c", "met": "m", "common": "o"}
+    left, right = (rows.select("key", *[F.col(k).alias(v + x) for k, v in names.items()]) for x in "ab")
+    fits = (F.col("nb") <= _partner(F.col("na"), F.col("fa"))) & (F.col("na") <= _partner(F.col("nb"), F.col("fb")))
+    # common tokens are in the hub or are what one of both has besides it
+    beside = F.least(F.col("oa") + F.col("fb") - F.col("ob"), F.col("ob") + F.col("fa") - F.col("oa"))
+    ruled_out = (F.col("ma") == F.col("mb")) & ((100 + PERCENT) * beside < PERCENT * (F.col("na") + F.col("nb")))
+    done = (F.col("a") == F.col("mb")) | (F.col("b") == F.col("ma"))
+    pair = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & ~F.coalesce(ruled_out, F.lit(False)) & ~F.coalesce(done, F.lit(False)))
     return pair.select("a", "b").distinct()
 
 
-def linked(index: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def linked(index: DataFrame, docs: DataFrame, nodes: DataFrame, classes: tuple[BitFilter, int]) -> DataFrame | None:
     """(node, component) of all nodes with a link; None when there is none."""
     rows = _combinations(index)
-    now = rows.withColumn("comp", F.col("node"))
-    comp = None
+    now, comp, met = rows, None, None
+    schema = "kind int, x long, y long, n int, f int, comp long, met long, common int"
 
-    def several(kind, x, y, n, most, comp):
+    def several(kind, x, y, n, f, comp, *_):
         run = np.cumsum(np.concatenate(([True], x[1:] != x[:-1]))) - 1
         head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
         return (np.maximum.reduceat(comp, head) > np.minimum.reduceat(comp, head))[run], []
 
     for turn in range(STAR_ROUNDS + 1):
-        pair = _stars(now, turn) if turn < STAR_ROUNDS else _across(now)
-        if not turn:
-            pair = pair.union(_candidates(index))
-        fresh = shared_table(_verified(shared_table(_of_nodes(pair, nodes), "pairs"), docs, nodes), "verified")
-        if fresh.isEmpty():
-            continue
-        comp = components(fresh if comp is None else fresh.union(comp.toDF("a", "b")))
+        pair = shared_table(_of_nodes(_stars(now, turn), nodes), "stars") if turn < STAR_ROUNDS else shared_table(_of_nodes(_across(now), nodes), "across")
+        more = pair if turn else pair.union(_of_nodes(_candidates(index), nodes)).distinct()
+        seen = shared_table(_verified(shared_table(more, "pairs"), docs, nodes, classes), "verified")
+        if turn == 0 and STAR_ROUNDS:
+            met = shared_table(pair.join(seen, ["a", "b"]).select(F.col("a").alias("node"), F.col("b").alias("met"), "common"), "met")
+        fresh = seen.where("linked").select("a", "b")
+        if not fresh.isEmpty():
+            comp = components(fresh if comp is None else fresh.union(comp.toDF("a", "b")))
         if turn < STAR_ROUNDS:
-            own = rows.join(comp.withColumnRenamed("component", "comp"), "node", "left")
-            own = own.select(F.lit(COMBINATION).alias("kind"), F.col("key").alias("x"), F.col("node").alias("y"), "n", "most", F.coalesce("comp", "node").alias("comp"))
-            kept = _streamed(own, several, "kind int, x long, y long, n int, most int, comp long")
-            now = shared_table(kept.select(F.col("x").alias("key"), F.col("y").alias("node"), "n", "most", "comp"), "keys")
+            own = rows.drop("comp", "met", "common").join(met, "node", "left")
+            own = own.join(comp.withColumnRenamed("component", "comp"), "node", "left") if comp is not None else own.withColumn("comp", F.lit(None))
+            own = own.select(F.lit(COMBINATION).alias("kind"), F.col("key").alias("x"), F.col("node").alias("y"), "n", "f", F.coalesce("comp", "node").alias("comp"), F.coalesce("met", "node").alias("met"), F.coalesce("common", "f").alias("common"))
+            kept = _streamed(own, several, schema)
+            now = shared_table(kept.select(F.col("x").alias("key"), F.col("y").alias("node"), "n", "f", "comp", "met", "common"), "keys")
     return comp
 
 
 def _combinations(index: DataFrame) -> DataFrame:
-    return index.where(F.col("kind") == COMBINATION).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("m").alias("n"), F.col("k").alias("most"))
+    """(key, node, n, f, comp, met, common): each node is a component of its own, and has met itself."""
+    rows = index.where(F.col("kind") == COMBINATION).select(F.col("x").alias("key"), F.col("y").alias("node"), F.col("m").alias("n"), F.col("k").alias("f"))
+    return rows.select("*", F.col("node").alias("comp"), F.col("node").alias("met"), F.col("f").alias("common"))
 
 
 def _of_nodes(pair: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -463,13 +489,14 @@ def _of_nodes(pair: DataFrame, nodes: DataFrame) -> DataFrame:
     return pair.select("a", "b")
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(docs with an id, index, documents (doc, node, n), nodes of documents with an id)."""
+def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, tuple[BitFilter, int]]:
+    """(docs with an id, index, documents (doc, node, n), nodes of documents with an id, classes of tokens)."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    index = shared_table(_index(plain, *frequent_tokens(plain)), "index")
+    classes = frequent_tokens(plain)
+    index = shared_table(_index(plain, *classes), "index")
     own = index.where(F.col("kind") == DOCUMENT).select(F.when(F.col("k") == 1, F.col("x")).alias("doc"), F.col("y").alias("node"), F.col("m").cast("long").alias("n"))
     nodes = own.where("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"))
-    return plain.where("doc_id is not null"), index, own, shared_table(nodes, "nodes")
+    return plain.where("doc_id is not null"), index, own, shared_table(nodes, "nodes"), classes
 
 
 def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -477,9 +504,9 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     Unlike `join` it keeps the links inside a component, so its size is that of the links themselves.
     """
-    plain, index, own, nodes = _prepared(docs, doc_id, text)
-    found = _across(_combinations(index).withColumn("comp", F.col("node"))).union(_candidates(index))
-    near = _verified(shared_table(_of_nodes(found, nodes), "pairs"), plain, nodes)
+    plain, index, own, nodes, classes = _prepared(docs, doc_id, text)
+    found = _across(_combinations(index)).union(_candidates(index)).distinct()
+    near = _verified(shared_table(_of_nodes(found, nodes), "pairs"), plain, nodes, classes).where("linked").select("a", "b")
     both = near.union(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).withColumnsRenamed({"a": "na", "b": "nb"})
     member = shared_table(own.where("n > 0 and doc is not null").select("node", "doc").distinct(), "members")
     both = both.join(member.toDF("na", "a"), "na").join(member.toDF("nb", "b"), "nb").where("a <> b")
@@ -488,8 +515,8 @@ def pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach; null without an id)."""
-    plain, index, own, nodes = _prepared(docs, doc_id, text)
-    found = linked(index, plain, nodes)
+    plain, index, own, nodes, classes = _prepared(docs, doc_id, text)
+    found = linked(index, plain, nodes, classes)
     if found is None:
         named = nodes.select("node", F.col("doc").alias("component_id"))
     else:
