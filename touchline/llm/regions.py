@@ -4,12 +4,17 @@ Every window (of so many words or bytes) picks one anchor inside itself by a rul
 content alone, so equal windows pick equal anchors at equal places. Consecutive windows with one
 pick form a region. All that two documents can share is then decided among regions of one anchor:
 
-1. Tasks emit (anchor, region hash, document, place, windows): a row for about 15 words or 90 bytes.
+1. Tasks emit (anchor, region hash, document, place, windows, times): a row for about 15 words or 90
+   bytes. Equal regions that follow each other at once, as in a run of one word or byte, are one row.
 2. Anchors that occur once drop out (partial aggregation, then a join on the anchor).
 3. Equal regions are decided as a whole. Of each distinct region one representative remains, and
    only anchors with several distinct regions need their windows compared.
-4. Those windows are fetched from the texts and compared: by (anchor, window hash), or by an index
-   that the caller provides for anchors with at most MAX_INDEXED distinct regions.
+4. Those windows are fetched from the texts and compared. The windows of an anchor are one shard of an
+   index that the caller provides; a shard of more than MAX_INDEXED distinct regions is split further, to
+   shards of one window each (anchor, window hash), for which equal keys are equal windows.
+
+A document is known by its id and a hash of its text, so rows of one id with unlike texts stay apart. A
+document without an id counts as one with the largest id.
 
 No key stands for more than its equal regions or windows, groups are aggregated before and after the
 shuffle, and joins on a hot anchor are ordinary sort-merge joins that adaptive execution can split.
@@ -18,36 +23,24 @@ Intermediate tables are written to the shared checkpoint folder, so lost executo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard
+from ..sources.shared import materialised as shared_table
 from .arrays import U64, chunks, mix, odd, signed, window_hash
 
 MAX_INDEXED = 2048
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the session's shared checkpoint folder and read back."""
-    spark = SparkSession.getActiveSession() or df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='touchline-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that `shared_table` wrote, once nothing reads it any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class RangeMin:
@@ -123,9 +116,10 @@ class RangeHash:
 
 
 def regions(symbols: np.ndarray, first: np.ndarray, levels, size: int):
-    """(document, place in the document, windows, anchor, region hash) of each region of a chunk.
+    """(document, place in the document, windows, anchor, region hash, times) of each region of a chunk.
 
-    symbols are the word or byte hashes of all documents, first the offsets of the documents in them.
+    symbols are the word or byte hashes of all documents, first the offsets of the documents in them. A
+    region that is there `times` times in a row has its windows again at each multiple of their number.
     """
     count = np.maximum(np.diff(first) - size + 1, 0)
     total = np.concatenate(([0], np.cumsum(count)))
@@ -135,71 +129,87 @@ def regions(symbols: np.ndarray, first: np.ndarray, levels, size: int):
     new = np.concatenate(([True], (which[1:] != which[:-1]) | (level[1:] != level[:-1]) | (doc[1:] != doc[:-1]))) if len(window) else np.zeros(0, bool)
     head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(window)))
-    start = window[head]
+    start, doc = window[head], doc[head]
     key = np.zeros(len(head), dtype=U64)
     for k, (_, _, keys) in enumerate(levels):
         on = level[head] == k
-        key[on] = mix(keys[which[head][on]] + U64(k))
-    return doc[head], start - first[doc[head]], n, key, RangeHash(symbols).of(start, start + n - 1 + size)
+        # chunks can have different numbers of levels above the same ones
+        key[on] = mix(keys[which[head][on]] + U64(len(levels) - k))
+    content = RangeHash(symbols).of(start, start + n - 1 + size)
+    fresh = np.ones(len(head), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (n[1:] != n[:-1])
+    one = np.flatnonzero(fresh)
+    times = np.diff(np.append(one, len(head)))
+    return doc[one], start[one] - first[doc[one]], n[one], key[one], content[one], times
+
+
+#: What a document is known by.
+OWN = ["doc", "twin"]
+
+
+def known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:
+    """Columns (doc, twin): the id, or the largest long without one, and a hash that tells texts of one id apart."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(text).alias("twin")]
 
 
 def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, indexed=None) -> DataFrame:
-    """(doc_id, start, end): places of repeated windows of docs (doc_id long, text), by words or bytes.
+    """(doc, twin, start, end): places of repeated windows of docs (doc_id long, text), by words or bytes.
 
     parse(chunk) gives (symbols, offsets of documents in them, levels). keep_first: a window repeats when
     a document with a smaller id has it; else when it starts anywhere else. indexed(rows) compares the
-    windows of anchors with few distinct regions; without it all are compared by hash.
+    windows of an anchor; without it all are compared by hash.
     """
+    docs = docs.where(F.col("text").isNotNull()).select(*known(docs), "text")
 
     def emit(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for c in chunks(batch.column(1)):
-                doc, at, n, key, content = regions(*parse(c), size)
+            ids, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for c in chunks(batch.column(2)):
+                doc, at, n, key, content, times = regions(*parse(c), size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array(signed(content)), pa.array(ids[c.first + doc].astype(np.int64)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["anchor", "region", "doc", "at", "n"],
+                    [pa.array(signed(key)), pa.array(signed(content)), pa.array(ids[c.first + doc]), pa.array(twin[c.first + doc]), *[pa.array(x.astype(np.int32)) for x in (at, n, times)]],
+                    names=["anchor", "region", *OWN, "at", "n", "times"],
                 )
 
-    rows = shared_table(docs.where(F.col("text").isNotNull()).mapInArrow(emit, "anchor long, region long, doc long, at int, n int"), f"{unit}-regions")
+    rows = shared_table(docs.mapInArrow(emit, "anchor long, region long, doc long, twin int, at int, n int, times int"), f"{unit}-regions")
     if keep_first:
         often = rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     else:
-        often = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+        often = rows.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1")
     # a table of its own, so that both sides of the join are plain exchanges, which can be split when skewed
     often = shared_table(often.select("anchor"), f"{unit}-often")
     every, rows = rows, shared_table(rows.join(often, "anchor"), f"{unit}-shared")
     discard(every)
-    own = F.min(F.struct("doc", "at", "n")).alias("own")
-    distinct = shared_table(rows.groupBy("anchor", "region").agg(own, F.count("*").alias("c")), f"{unit}-distinct")
+    own = F.min(F.struct(*OWN, "at", "n")).alias("own")
+    distinct = shared_table(rows.groupBy("anchor", "region").agg(own, F.sum("times").alias("c")), f"{unit}-distinct")
     several = shared_table(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), f"{unit}-several")
     # equal regions, as a whole
     if keep_first:
         equal = rows.join(distinct.select("anchor", "region", F.col("own.doc").alias("least")), ["anchor", "region"]).where("doc > least")
         query = rows.join(distinct.select("anchor", "region", F.col("own.doc").alias("least")), ["anchor", "region"]).where("doc = least")
-        query = query.join(several, "anchor").select("anchor", "doc", "at", "n", "k", F.lit(True).alias("ask"))
+        query = query.join(several, "anchor").select("anchor", *OWN, "at", "n", "k", F.lit(True).alias("ask"), (F.col("n") * (F.col("times") - 1)).alias("reach"))
     else:
         equal = rows.join(distinct.where("c > 1").select("anchor", "region"), ["anchor", "region"])
-        query = distinct.join(several, "anchor").select("anchor", "own.doc", "own.at", "own.n", "k", (F.col("c") == 1).alias("ask"))
-    spans = equal.select("doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + size).alias("end"))
+        query = distinct.join(several, "anchor").select("anchor", "own.doc", "own.twin", "own.at", "own.n", "k", (F.col("c") == 1).alias("ask"), F.lit(0).alias("reach"))
+    spans = equal.select(*OWN, F.col("at").alias("start"), (F.col("at") + F.col("n") * F.col("times") - 1 + size).alias("end"))
     # the windows of distinct regions
     query = shared_table(query, f"{unit}-query")
-    places = query.groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "n", "k", "ask")).alias("places"))
-    text = docs.join(places, docs["doc_id"] == places["doc"]).select("doc_id", "text", "places")
+    places = query.groupBy(*OWN).agg(F.collect_list(F.struct("anchor", "at", "n", "k", "ask", "reach")).alias("places"))
+    text = docs.join(places, OWN).select(*OWN, "text", "places")
     limit = MAX_INDEXED if indexed else 0
 
     def fetch(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            for c in chunks(batch.column(1)):
+            ids, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(3)
+            for c in chunks(batch.column(2)):
                 symbols, first, _ = parse(c)
                 hashes = window_hash(symbols, size, 1)
                 part = lists.slice(c.first, c.n)
                 count = part.value_lengths().to_numpy(zero_copy_only=False)
                 flat = part.flatten()
                 doc = np.repeat(np.arange(c.n), count)
-                anchor, at, n, k, ask = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                anchor, at, n, k, ask, reach = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
                 at, n = at.astype(np.int64), n.astype(np.int64)
                 few = k <= limit
                 start = first[doc] + at
@@ -208,19 +218,22 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
                 total = np.concatenate(([0], np.cumsum(n[w])))
                 step = np.arange(total[-1]) - np.repeat(total[:-1], n[w])
                 pick = np.repeat(np.flatnonzero(w), n[w])
+                row = c.first + np.concatenate((doc[few], doc[pick]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate((anchor[few], anchor[pick]))),
-                        pa.array(np.concatenate((ids[c.first + doc[few]], ids[c.first + doc[pick]])).astype(np.int64)),
+                        pa.array(ids[row]),
+                        pa.array(twin[row]),
                         pa.array(np.concatenate((at[few], at[pick] + step)).astype(np.int32)),
                         pa.array(np.concatenate((ask[few], ask[pick])).astype(bool)),
+                        pa.array(np.concatenate((reach[few], reach[pick])).astype(np.int32)),
                         pa.array(np.concatenate((np.zeros(int(few.sum()), np.int64), signed(hashes[start[pick] + step])))),
                         pa.array([*whole, *[None] * len(pick)], pa.binary()),
                     ],
-                    names=["anchor", "doc", "at", "ask", "hash", "content"],
+                    names=["anchor", *OWN, "at", "ask", "reach", "hash", "content"],
                 )
 
-    got = shared_table(text.mapInArrow(fetch, "anchor long, doc long, at int, ask boolean, hash long, content binary"), f"{unit}-windows")
+    got = shared_table(text.mapInArrow(fetch, "anchor long, doc long, twin int, at int, ask boolean, reach int, hash long, content binary"), f"{unit}-windows")
     single = got.where(F.col("content").isNull())
     if keep_first:
         again = single.groupBy("anchor", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
@@ -228,16 +241,19 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
     else:
         again = single.groupBy("anchor", "hash").agg(F.count("*").alias("c")).where("c > 1")
         found = single.join(again, ["anchor", "hash"]).where("ask")
-    spans = spans.unionByName(found.select("doc", F.col("at").alias("start"), (F.col("at") + size).alias("end")))
+    spans = spans.unionByName(found.select(*OWN, F.col("at").alias("start"), (F.col("at") + F.col("reach") + size).alias("end")))
     if indexed:
-        spans = spans.unionByName(indexed(got.where(F.col("content").isNotNull()).drop("hash")))
-    return spans.withColumnRenamed("doc", "doc_id")
+        spans = spans.unionByName(indexed(got.where(F.col("content").isNotNull()).drop("hash", "reach")))
+    return spans
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with an array of (start, end) of each; a document's spans are as many as its regions at most."""
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    return docs.join(own, docs["doc_id"] == own["__doc"], "left").drop("__doc")
+def with_spans(docs: DataFrame, spans: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with an array `out` of (start, end) of each; a document's spans are as many as its regions at most."""
+    keep = docs.columns
+    names = [unused(docs, f"{x}_") for x in OWN]
+    own = spans.groupBy(*OWN).agg(F.collect_list(F.struct("start", "end")).alias(out)).withColumnsRenamed(dict(zip(OWN, names, strict=True)))
+    keyed = docs.withColumns(dict(zip(names, known(docs, doc_id, text), strict=True)))
+    return keyed.join(own, names, "left").select(*keep, out)
 
 
 def covered(lists: pa.Array, first: np.ndarray) -> np.ndarray:

@@ -2,17 +2,23 @@
 
 Rounds name runs and pairs of symbols, beginning with the words. A run of equal symbols gets one
 name. Then every symbol is on the left or right side by its hash, and each left-right pair gets one
-name. A name is the hash of what it names, so all tasks agree on it without a dictionary, and equal
-substrings have equal names inside, up to a margin at their ends. For every symbol the stretch of words
-that fixes its name is kept: its own words and its neighbours'. A window of WINDOW words picks the highest
-symbol whose stretch lies inside it (of that level, the smallest hash of a stretch: about 16 words, which
-texts rarely share by chance), and windows that share a high-level symbol are verified, see `regions`.
+name. A name is the hash of what it names, so it is global without a dictionary or a round trip, and
+equal substrings have equal names inside, up to a margin at their ends. For every symbol the stretch of
+words that fixes its name is kept. Rounds go on until no stretch is short enough for a window.
+
+A window of WINDOW words picks the highest symbol whose stretch lies inside it; of one level, that with
+the smallest hash of its name and its neighbours' names one level below. Spark brings together the
+windows that picked one name: a name that is in one document alone ends the search for all its windows, a
+shared one reveals a repeat, and the windows around it are verified by their words, see `regions`.
 
 A word goes when a window over it also starts in a document with a smaller id; windows are judged on
-the input. Of rows with equal ids and texts none has a smaller id, so none loses words to the other.
+the input. Of rows with equal ids none has a smaller id, so none loses words to the other; a row without
+an id counts as one with the largest id.
 
 Defined cases: null, empty or short texts keep all their words; overlapping windows are united; one
-word repeated many times is a run; an empty table gives an empty table; `clean` keeps other columns.
+word repeated many times is a run, however long; rows of one id with unlike texts are judged each by its
+own text; very long texts are read whole, one at a time in a task; an empty table gives an empty table;
+`clean` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,29 +30,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import SPACED, U64, Chunk, chunks, joined_words, mix, odd, words
-from .regions import RangeHash, covered, repeats, with_spans
+from .regions import covered, repeats, unused, with_spans
 
 WINDOW = 50
-ROUNDS = 4
 _A, _B, _C = odd(301, 3)
 
 
-def recompress(symbol: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(from, to, name) of the symbols of each level whose stretch is known, highest level first.
+def recompress(symbol: np.ndarray, doc: np.ndarray, longest: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, key) of the symbols of each level whose stretch has at most `longest` words, highest level first.
 
-    from:to are the words that fix a symbol's name; those at the ends of a document have none.
+    from:to are the words that fix a symbol's name; those at the ends of a document have none. The key is
+    the hash of the name and of the names beside it one level below.
     """
     n = len(symbol)
     start, end = np.arange(n), np.arange(1, n + 1)
     known = np.ones(n, dtype=bool)
     out = [(start, end, symbol)]
-    for r in range(rounds):
-        if len(symbol) < 2:
-            break
-        same_doc = doc[1:] == doc[:-1]
-        equal = same_doc & (symbol[1:] == symbol[:-1])
+    r = 0
+    while len(symbol) > 1:
+        r += 1
+        equal = (doc[1:] == doc[:-1]) & (symbol[1:] == symbol[:-1])
         # the side of a run is that of its symbol, so that it depends on no more than one neighbour
-        left = (mix(symbol + U64(0x51ED * (r + 1))) & U64(1)).astype(bool)
+        left = (mix(symbol + U64(0x51ED * r)) & U64(1)).astype(bool)
         head = np.flatnonzero(np.concatenate(([True], ~equal)))
         tail = np.append(head[1:], len(symbol)) - 1
         with np.errstate(over="ignore"):
@@ -65,21 +70,30 @@ def recompress(symbol: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> lis
         before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(symbol) - 1)
         inside &= (doc[before] == doc[first]) & (doc[after] == doc[first])
         known_next = inside & known[before] & known[after]
+        with np.errstate(over="ignore"):
+            key = mix(symbol[before] * _A + name * _B + symbol[after] * _C)
         start, end, symbol, doc, known = start[before], end[after], name, doc[first], known_next
-        out.append((start[known], end[known], symbol[known]))
+        fits = known & (end - start <= longest)
+        if not fits.any():
+            break
+        out.append((start[fits], end[fits], key[fits]))
     return out[::-1]
 
 
-def parse(c: Chunk):
-    w = words(c, SPACED)
-    text = RangeHash(w.hash)
-    return w.hash, w.first, [(a, b, text.of(a, b)) for a, b, _ in recompress(w.hash, w.doc)]
+def parser(window: int):
+    """Words, offsets and levels of symbols for windows of so many words."""
+
+    def parse(c: Chunk):
+        w = words(c, SPACED)
+        return w.hash, w.first, recompress(w.hash, w.doc, window)
+
+    return parse
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, end): word ranges to remove, they may overlap."""
+    """(doc, twin, start, end): word ranges to remove, they may overlap; see `regions.known`."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return repeats(plain, parse, window, True, "words")
+    return repeats(plain, parser(window), window, True, "words")
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -106,18 +120,18 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    return with_spans(plain, spans(plain, window=window)).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(plain, spans(plain, window=window), "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, any other columns) with the removed words cut from the text."""
-    keep = docs.columns
-    found = with_spans(docs, spans(docs, window=window))
+    keep, added = docs.columns, unused(docs, "spans_")
+    found = with_spans(docs, spans(docs, window=window), added)
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
-            lists = batch.column(batch.schema.get_field_index("__spans"))
+            lists = batch.column(batch.schema.get_field_index(added))
             for c in chunks(column):
                 w = words(c, SPACED)
                 gone = np.flatnonzero(covered(lists.slice(c.first, c.n), w.first))

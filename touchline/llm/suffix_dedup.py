@@ -10,11 +10,14 @@ length that a suffix shares with its predecessor in that order is computed at ru
 successor at run tails: these are the samples. Between samples it falls by one for each byte, which
 streams the matching statistics along the text. Where they reach WINDOW the window is repeated.
 
-Anchors with more than MAX_INDEXED distinct regions (a passage in very many surroundings) are compared by
-(anchor, hash of the window) instead, so no shard grows with such a group.
+The shard of an anchor with very many distinct regions (a passage in very many surroundings) is split to
+one shard for each window, so no task holds such a group; its key, anchor and hash of the window, is then
+all that an index could tell. Equal regions are one text of the index, and repeats of each other.
 
 Defined cases: null and short texts lose nothing; equal rows are repeats of each other; a text of one
-repeated byte is a repeat of itself; an empty table gives an empty table; other columns are dropped.
+repeated byte is a repeat of itself, however long; rows of one id with unlike texts are judged each by its
+own text, and so are rows without an id; very long texts are read whole, one at a time in a task; an
+empty table gives an empty table; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -107,7 +110,7 @@ class RunLengthIndex:
 
 
 def _indexed(rows: DataFrame) -> DataFrame:
-    """(doc, start, end) of repeated windows among rows (anchor, doc, at, ask, content), an anchor in one task."""
+    """(doc, twin, start, end) of repeated windows among rows (anchor, doc, twin, at, ask, content), an anchor in one task."""
 
     def search(part: pa.Table):
         text = part.column("content").to_pylist()
@@ -123,8 +126,8 @@ def _indexed(rows: DataFrame) -> DataFrame:
         tail = np.append(head[1:], len(place))[: len(head)] - 1
         doc, at = part.column("doc").to_numpy(), part.column("at").to_numpy().astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[owner[head]]), pa.array((at[owner[head]] + step[head]).astype(np.int32)), pa.array((at[owner[head]] + step[tail] + WINDOW).astype(np.int32))],
-            names=["doc", "start", "end"],
+            [pa.array(doc[owner[head]]), pa.array(part.column("twin").to_numpy()[owner[head]]), pa.array((at[owner[head]] + step[head]).astype(np.int32)), pa.array((at[owner[head]] + step[tail] + WINDOW).astype(np.int32))],
+            names=["doc", "twin", "start", "end"],
         )
 
     def run(batches):
@@ -159,11 +162,11 @@ def _indexed(rows: DataFrame) -> DataFrame:
             at = to
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc long, start int, end int")
+    return dealt.mapInArrow(run, "doc long, twin int, start int, end int")
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, start, end): byte ranges to remove, they may overlap."""
+    """(doc, twin, start, end): byte ranges to remove, they may overlap; see `regions.known`."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return repeats(plain, parse, WINDOW, False, "bytes", _indexed)
 
@@ -194,4 +197,4 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    return with_spans(plain, spans(plain)).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(plain, spans(plain), "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
