@@ -8,14 +8,15 @@ the first-column counts and suffix positions sampled every SAMPLE places. All ph
 backward together; occurrences are located by walking to the next sampled position; their word
 ranges are merged into removal spans.
 
-The benchmark travels with the tasks up to MAX_BENCHMARK_BYTES; a larger one is split into blocks by
-item, each block scans the documents, and the spans of all blocks are merged by row. For that each row
-gets a key of its own, so equal ids stay apart.
+The benchmark travels with the tasks in blocks of whole items of about MAX_BENCHMARK_BYTES, which give
+arrays of at most 20 bytes a byte of text. Each block scans the documents; the findings of several blocks
+are written one after the other, so that one block at a time is on the driver, and merged by row. For
+that each row gets a key of its own, so equal ids stay apart.
 
 Defined cases: null texts have no words and no hits; an item without words has no window; windows
-shared by several items count for each of them; overlapping spans are merged; repeated rows give
-repeated results; an empty benchmark or table gives no hits or no rows; other columns are kept by
-`clean` and dropped by `find`.
+shared by several items count for each of them; overlapping spans are merged; repeated rows, and rows of one
+id with unlike texts, give a result each; very long texts are a shard of their own; an empty benchmark or
+table gives no hits or no rows; other columns are kept by `clean`, whatever their names, and dropped by `find`.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import ALNUM, LOWER, Chunk, chunks, words
-from .regions import shared_table
+from .regions import shared_table, unused
 
 WINDOW = 10
 SAMPLE = 8
-MAX_BENCHMARK_BYTES = 32 << 20
+MAX_BENCHMARK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 
 
@@ -121,20 +122,28 @@ class Phrases:
         data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         w = words(Chunk(data, np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64), None, 0), ALNUM, LOWER[data])
         self.vocabulary = np.unique(w.hash)
-        number = np.searchsorted(self.vocabulary, w.hash) + 1
-        found: dict[tuple[int, ...], list[int]] = {}
-        for k, (item, _) in enumerate(items):
-            own = number[w.first[k] : w.first[k + 1]].tolist()
-            for at in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[at : at + window]), []).append(item)
-        self.items = [sorted(set(x)) for x in found.values()]
-        self.size = np.array([len(x) for x in found], dtype=np.int64)
-        self.rows = np.zeros((len(found), int(self.size.max()) if found else 0), dtype=np.int64)
-        for k, x in enumerate(found):
-            self.rows[k, : len(x)] = x
-        self.least = int(self.size.min()) if found else 0
+        number = (np.searchsorted(self.vocabulary, w.hash) + 1).astype(np.int32)
+        count = np.diff(w.first)
+        many = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        owner = np.repeat(np.arange(len(items)), many)
+        start = np.repeat(w.first[:-1], many) + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        size = np.minimum(count, window)[owner]
+        # windows of fewer words are filled up with 0, which is no word
+        place = start[:, None] + np.arange(window)
+        rows = np.where(np.arange(window) < size[:, None], np.append(number, 0)[np.minimum(place, len(number))], 0).astype(np.int32)
+        if len(rows):
+            self.rows, first, phrase = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+            self.size = size[first]
+            pair = np.unique(np.stack((phrase.reshape(-1), np.array([i for i, _ in items], dtype=np.int64)[owner]), axis=1), axis=0)
+            self.item_ids, self.item_offs = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(self.rows) + 1))
+        else:
+            self.rows, self.size, self.item_ids, self.item_offs = rows, size, np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.least = int(self.size.min()) if len(self.size) else 0
         self.symbols = len(self.vocabulary) + 1
 
+    def items_of(self, phrase: int) -> list[int]:
+        return self.item_ids[self.item_offs[phrase] : self.item_offs[phrase + 1]].tolist()
+
     def hits(self, c: Chunk):
         """(words of the chunk, document and word range of every occurrence, its phrase)."""
         w = words(c, ALNUM, LOWER[c.data])
@@ -174,11 +183,16 @@ def _spans(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SPAN = "array<struct<start:long,end:long,first:long,last:long>>"
-_ADDED = {"__n_words": "long", "__spans": _SPAN, "__items": "array<long>"}
+_ADDED = {"n_words": "long", "spans": _SPAN, "items": "array<long>"}
+
 
+def _added(docs: DataFrame) -> list[str]:
+    """Names of the columns of _ADDED that docs has no column of."""
+    return [unused(docs, k) for k in _ADDED]
 
-def _scanned(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
-    """docs with n_words, spans and items of their own rows under the names of _ADDED."""
+
+def _scanned(docs: DataFrame, phrases: Phrases, text: str, added: list[str]) -> DataFrame:
+    """docs with n_words, spans and items of their own rows under the names `added`."""
     keep = docs.columns
 
     def run(batches):
@@ -188,7 +202,7 @@ def _scanned(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
                 items: list[set[int]] = [set() for _ in range(c.n)]
                 pair = np.unique(w.doc[start] * max(1, len(phrases.size)) + phrase) if len(start) else start
                 for k in pair.tolist():
-                    items[k // len(phrases.size)].update(phrases.items[k % len(phrases.size)])
+                    items[k // len(phrases.size)].update(phrases.items_of(k % len(phrases.size)))
                 spans: list[list[dict]] = [[] for _ in range(c.n)]
                 mask = _merged(start, end, len(w.hash))
                 # spans end at document ends, as occurrences never cross them
@@ -208,15 +222,15 @@ def _scanned(docs: DataFrame, phrases: Phrases, text: str) -> DataFrame:
                         pa.array(spans, pa.list_(pa.struct([(f, pa.int64()) for f in ("start", "end", "first", "last")]))),
                         pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
                     ],
-                    names=[*keep, *_ADDED],
+                    names=[*keep, *added],
                 )
 
-    added = [T.StructField(k, T._parse_datatype_string(kind)) for k, kind in _ADDED.items()]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    fields = [T.StructField(k, T._parse_datatype_string(kind)) for k, kind in zip(added, _ADDED.values(), strict=True)]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
-def _with_spans(docs: DataFrame, bench: DataFrame, text: str, window: int, block_bytes: int) -> DataFrame:
-    """docs with the columns of _ADDED, merged over all blocks of the benchmark (item_id, text)."""
+def _with_spans(docs: DataFrame, bench: DataFrame, text: str, window: int, block_bytes: int, added: list[str]) -> DataFrame:
+    """docs with the columns of _ADDED under the names `added`, merged over all blocks of the benchmark (item_id, text)."""
     size = bench.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
 
@@ -225,21 +239,22 @@ def _with_spans(docs: DataFrame, bench: DataFrame, text: str, window: int, block
         return Phrases([(r["item_id"], r["text"]) for r in part.collect()], window)
 
     if blocks == 1:
-        return _scanned(docs, phrases(0), text)
+        return _scanned(docs, phrases(0), text, added)
     # the rows' own keys are written once, so that all blocks and the join see the same ones
-    keyed = shared_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = None
+    row = unused(docs, "row_")
+    keyed = shared_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts, found = keyed.select(F.col(row).alias("row"), F.col(text).alias("text")), None
     for block in range(blocks):
-        part = _scanned(keyed.select("__row", text), phrases(block), text).drop(text)
+        part = shared_table(_scanned(texts, phrases(block), "text", list(_ADDED)).drop("text"), "block")
         found = part if found is None else found.unionByName(part)
     # one row for each row of docs and block: a bounded group
-    found = found.groupBy("__row").agg(
-        F.max("__n_words").alias("__n_words"),
-        F.array_sort(F.flatten(F.collect_list("__spans"))).alias("__spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"),
+    found = found.groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     joined = F.aggregate(
-        "__spans",
+        "spans",
         F.array().cast(_SPAN),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= x["first"]),
@@ -256,7 +271,8 @@ def _with_spans(docs: DataFrame, bench: DataFrame, text: str, window: int, block
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return keyed.join(found.withColumn("__spans", joined), "__row").select(*docs.columns, *_ADDED)
+    found = found.withColumn("spans", joined).withColumnsRenamed({"row": row, **dict(zip(_ADDED, added, strict=True))})
+    return keyed.join(found, row).select(*docs.columns, *added)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
@@ -266,7 +282,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    return _with_spans(plain, bench, "text", window, block_bytes).select("doc_id", *[F.col(k).alias(k[2:]) for k in _ADDED])
+    return _with_spans(plain, bench, "text", window, block_bytes, list(_ADDED)).drop("text")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
@@ -286,12 +302,12 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """docs with the removal spans of `find` cut from the text, each with the gap before the next word."""
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    keep = docs.columns
+    keep, added = docs.columns, _added(docs)
 
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            lists = batch.column(batch.schema.get_field_index("__spans"))
+            lists = batch.column(batch.schema.get_field_index(added[1]))
             for c in chunks(column, SHARD_BYTES):
                 out = column.slice(c.first, c.n).cast(pa.string())
                 own = lists.slice(c.first, c.n)
@@ -313,5 +329,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
                 rows = batch.slice(c.first, c.n)
                 yield pa.RecordBatch.from_arrays([out if k == text else rows.column(rows.schema.get_field_index(k)) for k in keep], names=keep)
 
-    found = _with_spans(docs, bench, text, window, block_bytes).drop("__n_words", "__items")
+    found = _with_spans(docs, bench, text, window, block_bytes, added)
     return found.mapInArrow(run, T.StructType(docs.schema.fields))
