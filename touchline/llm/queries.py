@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
+from . import decontamination, jaccard_join, language_id, path_tree, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
 
 
 def tokenizer_path() -> str:
@@ -42,6 +42,10 @@ def op6_toxicity(spark, sf_dir):
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_path_template_tree(spark, sf_dir):
+    return path_tree.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_url_templates(spark, sf_dir):
     return url_templates.judge(table(spark, sf_dir, "pages"))
 
@@ -78,6 +82,7 @@ QUERIES = {
         op4_quality_rules,
         op5_sentencepiece,
         op6_toxicity,
+        op7_path_template_tree,
         op7_url_templates,
         op7_url_templates_by_host,
         op8_suffix_dedup,
@@ -132,9 +137,49 @@ from ruled join t on ruled.host = t.host and ruled.shape = t.shape
   join judged on t.host = judged.host and t.template = judged.template"""
 
 
+def _tree_sql() -> str:
+    t = path_tree
+    share = lambda base, n, b: f"({b} + {t.WEIGHT} * {base}) / ({n} + {t.WEIGHT})"
+    return f"""
+with recursive base as (
+  select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+ruled as (
+  select *, regexp_replace(path, '[0-9]+', '#', 'g') as shape,
+         case {" ".join(f"when {f} then '{h + p}'" for f, (_, h, p) in zip(_FIT, _RULES, strict=True))} end as rule,
+         case {" ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(_FIT, _RULES, strict=True))} end as said
+  from base),
+leaves as (
+  select host, shape, count(distinct path) as n, count(said) as labelled, count(*) filter (where said = 'block') as blocked
+  from ruled group by host, shape),
+grown as (
+  select host, shape, n, labelled, blocked, string_split(shape, '/') as part, 0 as d, string_split(shape, '/')[1] as node from leaves
+  union all
+  select g.host, g.shape, g.n, g.labelled, g.blocked, g.part, g.d + 1, g.node || '/' || case when w.host is null then g.part[g.d + 2] else '*' end
+  from grown g left join (
+    select host, node from (select host, node, part[d + 2] as own, sum(n) as n from grown where len(part) > d + 1 group by all) c
+    group by host, node having count(*) >= {t.MIN_CHILDREN} and count(*) >= {t.MIN_NEW_SHARE} * sum(n)) w on w.host = g.host and w.node = g.node
+  where len(g.part) > g.d + 1),
+total as (select (coalesce(sum(blocked), 0) + 1)::double / (coalesce(sum(labelled), 0) + 2) as share from leaves),
+hosts as (select host, sum(labelled) as l, sum(blocked) as b from leaves group by host),
+nodes as (select host, node, sum(labelled) as l, sum(blocked) as b from grown group by host, node),
+way as (
+  select h.host, null::varchar as shape, -1 as d, {share("total.share", "h.l", "h.b")} as share, h.l as l from hosts h, total
+  union all
+  select w.host, g.shape, g.d,
+    case when n.l > 0 and abs(n.b / n.l - w.share) > {t.Z} * sqrt(w.share * (1 - w.share) / n.l) then {share("w.share", "n.l", "n.b")} else w.share end,
+    case when n.l > 0 and abs(n.b / n.l - w.share) > {t.Z} * sqrt(w.share * (1 - w.share) / n.l) then n.l else w.l end
+  from way w join grown g on g.host = w.host and g.d = w.d + 1 and (w.shape is null or w.shape = g.shape) join nodes n on n.host = g.host and n.node = g.node),
+ends as (select w.host, w.shape, w.share, w.l from way w join leaves s on s.host = w.host and s.shape = w.shape where w.d = len(string_split(w.shape, '/')) - 1)
+select page_id, r.host, path, rule, coalesce(said, case when e.l >= {t.MIN_LABELLED} and e.share >= {t.MIN_PURITY} then 'block' else 'allow' end) as verdict
+from ruled r join ends e on e.host = r.host and e.shape = r.shape"""
+
+
 _STOP = ", ".join(f"'{form}'" for w in quality_rules.STOP_WORDS for form in dict.fromkeys((w, w.capitalize())))
 
 ORACLE = {
+    "op7_path_template_tree": _tree_sql(),
     "op7_url_templates": _url_sql(),
     "op7_url_templates_by_host": _url_sql(by_host=True),
     "op4_quality_rules": f"""
