@@ -5,8 +5,14 @@ doc_id of each group of near copies, and all documents without a doc_id. Substri
 Decontamination cuts benchmark passages. The last stage encodes what is left and decodes it again.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Rows with null texts stay: nothing in them is toxic, repeated or contaminated. n_chars
-is the length of the text as it is after a stage that cuts.
+documents. n_chars is the length of the text as it is after a stage that cuts.
+
+Defined cases: rows with null texts stay, nothing in them is toxic, repeated or contaminated; an empty
+table gives an empty table at each stage; very long texts are read whole, one at a time in a task; repeated
+rows of one id are one document for the join and stay together, and of two rows with one id and unlike
+texts both stay when their id is the smallest of its group; a tie in score at the threshold is toxic;
+columns of documents keep their values whatever their names, and what a stage adds for itself has a name
+that no column has; the last stage adds ids, decoded and n_tokens, which replace columns of these names.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm import decontamination, jaccard_join, sentencepiece_bpe, substring_dedup, toxicity
 from touchline.llm.queries import table, tokenizer_path
-from touchline.llm.regions import shared_table
+from touchline.llm.regions import shared_table, unused
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -25,14 +31,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="__toxic")
-    return scored.where(F.col("__toxic") < toxicity.THRESHOLD).drop("__toxic")
+    score = unused(docs, "toxicity")
+    return toxicity.score(docs, model, out=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.join(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = unused(docs, "kept")
+    chosen = jaccard_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias(kept))
+    return docs.join(chosen, F.col("doc_id") == F.col(kept), "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
