@@ -1,4 +1,3 @@
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,11 +64,14 @@ def test_strict_json(spark):
     assert got == [True, False, False, False, True, True]
 
 
+TRANSITIONS = "session string, kind string, player_id long, other_id long, period int, at double, index long, permanent boolean, card string"
+
+
 def session(moves):
     rows = [("s", "Starter", p, None, 1, 0.0, 0, False, None) for p in range(1, 12)]
     rows += [("s", "Period End", -1, None, p, e, 0, False, None) for p, e in ((1, 3000.0), (2, 3300.0))]
     rows += [("s", k, p, o, per, at, i, perm, card) for i, (k, p, o, per, at, perm, card) in enumerate(moves)]
-    return pd.DataFrame(rows, columns=["session", "kind", "player_id", "other_id", "period", "at", "index", "permanent", "card"])
+    return rows
 
 
 @pytest.mark.parametrize(
@@ -83,14 +85,14 @@ def session(moves):
         ([("Player Off", 1, None, 1, 60.0, True, None)], 1, 60.0),
     ],
 )
-def test_presence(moves, player, seconds):
-    got = Pr.fold(session(moves))
+def test_presence(spark, moves, player, seconds):
+    got = Pr.presence(spark.createDataFrame(session(moves), TRANSITIONS)).toPandas()
     own = got[got.player_id == player]
     assert (own.end - own.start).sum() == pytest.approx(seconds)
     assert got.issue.isna().all()
 
 
-def test_presence_refuses_and_cascades():
+def test_presence_refuses_and_cascades(spark):
     moves = [("Substitution", 99, 12, 1, 10.0, False, None), ("Substitution", 12, 13, 1, 20.0, False, None), ("Player On", 1, None, 1, 30.0, False, None)]
-    got = Pr.fold(session(moves))
+    got = Pr.presence(spark.createDataFrame(session(moves), TRANSITIONS)).toPandas()
     assert got.issue.dropna().tolist() == ["INVALID_SUBSTITUTION_STATE"] * 4 + ["PLAYER_ON_WITHOUT_TEMPORARY_EXIT"]

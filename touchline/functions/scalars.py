@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .. import settings as S
 
 ID_PATTERN = r"^[a-z0-9_]+:[a-z_]+:[^:\s][^:]*$"
-# Nominal start of each period in seconds on the line-up clock.
-PERIOD_BASE = {1: 0, 2: 2700, 3: 5400, 4: 6300}
 
 
 def namespaced_id(provider: str, kind: str, native: Column) -> Column:
@@ -36,7 +34,7 @@ def lineup_seconds(text: Column, period: Column) -> Column:
     """Seconds since the nominal start of the period of MM:SS; NULL when malformed, before it, or in no known period."""
     part = F.split(text, ":")
     at = lambda i: F.try_element_at(part, F.lit(i)).try_cast("double")
-    base = F.coalesce(*[F.when(period == p, F.lit(float(b))) for p, b in PERIOD_BASE.items()])
+    base = F.coalesce(*[F.when(period == p, F.lit(float(b))) for p, b in S.PERIOD_BASE.items()])
     seconds = at(1) * 60 + at(2) - base
     return F.when(text.rlike(r"^\d+:[0-5]\d$") & (seconds >= 0), seconds)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.scalars import eligibility
 
-BUCKETS = 256
+#: Buckets of a group; two tables of a row for each group or bucket are sent with the tasks.
+BUCKETS = 64
 
 
 def dominant_role(role_time: DataFrame, keys: list[str], at_least: float = S.MIN_SHARE) -> DataFrame:
@@ -34,23 +35,27 @@ def mid_rank(rows: DataFrame, group: list[str], value: str = "v", ref: str = "in
     """rows with n (size of the reference) and pct = 100 (less + equal / 2) / n within the group.
 
     Only rows flagged ref form the reference; others are ranked against it. Distinct values are
-    counted first. They fall into buckets by their place between the group's least and greatest
-    value; bucket totals are summed in order, then values within each bucket. So no window holds more
+    counted first and dealt into buckets at quantiles of the group, so that skewed values fill them
+    evenly; bucket totals are summed in order, then values within each bucket. So no window holds more
     than the distinct values of one bucket, and a group with most rows is dealt over many tasks.
+
+    Rows meet the rank of their value by the value itself, which must not depend on how it is computed:
+    values come from sums of whole numbers (see `statistics`).
     """
     v, r = F.col(value), F.col(ref) & F.col(value).isNotNull()
     counted = rows.where(v.isNotNull()).groupBy(*group, value).agg(F.count_if(r).alias("__eq"))
+    # a row for each group, which are as many as roles, metrics and sets of the configuration
     span = counted.groupBy(*group).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__eq").alias("n"),
+        F.percentile_approx(value, F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)]), F.lit(10 * BUCKETS)).alias("__cuts"),
+        F.sum("__eq").alias("n"),
         F.min(F.when(F.col("__eq") > 0, v)).alias("ref_lo"), F.max(F.when(F.col("__eq") > 0, v)).alias("ref_hi"),
     )
-    place = F.coalesce(F.floor(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")) * BUCKETS), F.lit(0))
-    dealt = counted.join(span, group).withColumn("__b", place)
+    dealt = counted.join(F.broadcast(span), group).withColumn("__b", F.size(F.filter("__cuts", lambda c: c <= v))).drop("__cuts")
     total = dealt.groupBy(*group, "__b").agg(F.sum("__eq").alias("__t"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     total = total.withColumn("__before", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
     inside = Window.partitionBy(*group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = dealt.join(total, [*group, "__b"]).withColumn("__less", F.col("__before") + F.coalesce(F.sum("__eq").over(inside), F.lit(0)))
+    ranked = dealt.join(F.broadcast(total), [*group, "__b"]).withColumn("__less", F.col("__before") + F.coalesce(F.sum("__eq").over(inside), F.lit(0)))
     pct = F.when((F.col("n") > 0) & (F.col("ref_lo") < F.col("ref_hi")), (F.col("__less") + F.col("__eq") * 0.5) * 100 / F.col("n"))
     ranked = ranked.select(*group, value, "n", pct.alias("pct"))
     return rows.join(ranked, [*group, value], "left")

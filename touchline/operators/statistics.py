@@ -2,6 +2,9 @@
 
 A statistic is (numerator, samples, missing). Partial sums are merged by plain addition, so both
 levels are ordinary aggregations with map-side combine; rates are computed from sums, never averaged.
+All sums are of whole numbers (fractional values in steps of 1 / STEP), so that they do not depend on the
+order of the rows: a value that is planned or computed twice is the same, and ties stay ties.
+A level is one wide row (three columns a metric) and is unpivoted last.
 """
 
 from __future__ import annotations
@@ -13,6 +16,11 @@ from .. import settings as S
 from ..functions.scalars import in_box, progressive, rank_value, rates
 
 
+#: Fractional values are summed in steps of so many to one.
+STEP = 1_000_000_000
+FRACTIONAL = frozenset(S.SUMS + S.MEANS)
+
+
 def disposition(events: DataFrame) -> DataFrame:
     """events with `disposition`; each rule applies to what the rules before left."""
     return events.withColumn(
@@ -108,29 +116,44 @@ def metric_values() -> dict[str, tuple[Column, Column]]:
     }
 
 
+def metric_sums(metrics: list[str] | None = None, counted: Column | None = None) -> list[Column]:
+    """Three sums of each metric (m__n in steps of 1 / STEP or whole, m__s, m__m) over the events that are counted."""
+    sums = []
+    for m, (applies, value) in metric_values().items():
+        if metrics is not None and m not in metrics:
+            continue
+        on = applies if counted is None else applies & counted
+        amount = F.round(value * STEP) if m in FRACTIONAL else value
+        sums += [
+            F.sum(F.when(on, F.coalesce(amount, F.lit(0.0)).cast("long"))).alias(f"{m}__n"),
+            F.count_if(on).alias(f"{m}__s"),
+            F.count_if(on & value.isNull()).alias(f"{m}__m"),
+        ]
+    return sums
+
+
 def sufficient(events: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:
     """keys, metric, numerator, samples, missing: one pass, one shuffle.
 
     The sums of all metrics are columns of one aggregation, so an event is one row up to the shuffle;
     only the aggregated rows are unpivoted. Every metric has a row, also without samples.
     """
-    values = {m: v for m, v in metric_values().items() if metrics is None or m in metrics}
-    sums = []
-    for m, (applies, value) in values.items():
-        sums += [
-            F.sum(F.when(applies, F.coalesce(value, F.lit(0.0)))).alias(f"{m}__n"),
-            F.count_if(applies).alias(f"{m}__s"),
-            F.count_if(applies & value.isNull()).alias(f"{m}__m"),
-        ]
-    wide = events.groupBy(*keys).agg(*sums)
-    return unpivoted(wide, keys, list(values))
+    wide = events.groupBy(*keys).agg(*metric_sums(metrics))
+    return unpivoted(wide, keys, [m for m in metric_values() if metrics is None or m in metrics])
+
+
+def rolled_up(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """Wide sums over fewer keys; one row a key crosses the shuffle."""
+    columns = [c for c in wide.columns if c.endswith(("__n", "__s", "__m"))]
+    return wide.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def unpivoted(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """A row of every metric for every row of wide, zero where it has no samples."""
     parts = [
         F.struct(
             F.lit(m).alias("metric"),
-            F.coalesce(f"{m}__n", F.lit(0.0)).alias("numerator"),
+            (F.coalesce(f"{m}__n", F.lit(0)) / (STEP if m in FRACTIONAL else 1)).alias("numerator"),
             F.coalesce(f"{m}__s", F.lit(0)).cast("long").alias("samples"),
             F.coalesce(f"{m}__m", F.lit(0)).cast("long").alias("missing"),
         )
@@ -139,18 +162,6 @@ def unpivoted(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
     return wide.select(*keys, F.explode(F.array(*parts)).alias("s")).select(*keys, "s.*")
 
 
-def zero_filled(sessions: DataFrame, stats: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """A row of every metric for every session, zero where it has no statistics."""
-    full = sessions.select(*keys, F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
-    out = full.join(stats, [*keys, "metric"], "left")
-    return out.select(*keys, "metric", F.coalesce("numerator", F.lit(0.0)).alias("numerator"), F.coalesce("samples", F.lit(0)).alias("samples"), F.coalesce("missing", F.lit(0)).alias("missing"))
-
-
-def rolled_up(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of statistics over fewer keys."""
-    return stats.groupBy(*keys, "metric").agg(F.sum("numerator").alias("numerator"), F.sum("samples").alias("samples"), F.sum("missing").alias("missing"))
-
-
 def rated(stats: DataFrame, minutes: str = "minutes") -> DataFrame:
     """stats with value, per90, coverage and v, the value that ranks a metric."""
     value, per90, coverage = rates(F.col("metric"), F.col("numerator"), F.col("samples"), F.col("missing"), F.col(minutes))

@@ -76,7 +76,8 @@ def actions(spark, sf_dir: str) -> DataFrame:
             "assist": (kd == "Pass") & (k % 5 == 0),
         }
     )
-    ahead = Window.partitionBy("team_id", "match_id", "period").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    # the next shot: the least id of those seen when going back from the end, a running minimum
+    ahead = Window.partitionBy("team_id", "match_id", "period").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     link = F.min(when(kd == "Shot", F.col("event_id"))).over(ahead)
     return a.withColumn("link", when(F.col("assist"), link))
 

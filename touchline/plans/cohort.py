@@ -1,4 +1,8 @@
-"""The stages from actions to profiles as one lazy plan per call, and the same stages in SQL for checks."""
+"""The stages from actions to profiles, and the same stages in SQL for checks.
+
+Actions are aggregated once, to one wide row for each session and role (exposure and the sums of all
+metrics). That table is written to the shared folder; all later stages read it, not the events.
+"""
 
 from __future__ import annotations
 
@@ -24,11 +28,6 @@ class Cohort:
     sf_dir: str
     min_minutes: float = S.MIN_MINUTES
     min_peers: int = S.MIN_PEERS
-    #: Write spells and season rows once where many plans read them.
-    cut: bool = False
-
-    def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        return materialised(df, name) if self.cut else df
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -42,16 +41,25 @@ class Cohort:
     def included(self) -> DataFrame:
         return self.events.where("disposition = 'included'")
 
+    @cached_property
+    def base(self) -> DataFrame:
+        """A wide row for each session and role."""
+        exposure = [F.sum("dur").alias("us"), F.bool_and("valid").alias("valid"), F.count("*").alias("n_events")]
+        wide = self.events.groupBy(*SESSION, "role").agg(*exposure, *St.metric_sums(counted=F.col("disposition") == "included"))
+        return materialised(wide, "sessions")
+
     @cached_property
     def appearances(self) -> DataFrame:
         """Sessions of an entity with exposure and validity."""
-        e = exposed(self.actions)
-        return e.groupBy(*SESSION).agg(F.sum("dur").alias("us"), F.bool_and("valid").alias("valid"), F.count("*").alias("n_events"))
+        return self.base.groupBy(*SESSION).agg(F.sum("us").alias("us"), F.bool_and("valid").alias("valid"), F.sum("n_events").alias("n_events"))
 
     @cached_property
     def session_stats(self) -> DataFrame:
-        stats = St.sufficient(self.included, SESSION)
-        return St.zero_filled(self.appearances.where("valid"), stats, SESSION, S.METRICS)
+        return St.unpivoted(St.rolled_up(self.base.where("valid"), SESSION), SESSION, S.METRICS)
+
+    @cached_property
+    def season_stats(self) -> DataFrame:
+        return St.unpivoted(St.rolled_up(self.base.where("valid"), SPELL), SPELL, S.METRICS)
 
     @cached_property
     def exposure(self) -> DataFrame:
@@ -64,18 +72,18 @@ class Cohort:
 
     @cached_property
     def role_time(self) -> DataFrame:
-        return exposed(self.actions).where("valid").groupBy(*SPELL, "role").agg(F.sum("dur").alias("time"))
+        return self.base.where("valid").groupBy(*SPELL, "role").agg(F.sum("us").alias("time"))
 
     @cached_property
     def spells(self) -> DataFrame:
         """One row per entity and group with exposure, role, reasons, eligibility and reference flag."""
         base = self.exposure.where("us > 0").join(P.dominant_role(self.role_time, SPELL), SPELL, "left")
-        return self._kept(P.with_eligibility(base, self.min_minutes), "spells")
+        return materialised(P.with_eligibility(base, self.min_minutes), "spells")
 
     @cached_property
     def season(self) -> DataFrame:
-        stats = St.rolled_up(self.session_stats, SPELL)
-        return self._kept(St.rated(stats.join(self.exposure.where("us > 0").select(*SPELL, "minutes"), SPELL)), "season")
+        minutes = self.exposure.where("us > 0").select(*SPELL, "minutes")
+        return materialised(St.rated(self.season_stats.join(minutes, SPELL)), "season")
 
     @cached_property
     def long(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import intervals as I
 from ..operators import presence as Pr
+from ..operators import quality as Q
 from ..operators.profiles import top_of_each
 from ..sources.shared import materialised
 from .binding import ACTIONS_SQL, HALF, actions, exposed, table
@@ -289,11 +290,7 @@ def interval_union(spark, d):
 run as (select *, sum(c) over (partition by match_id, team_id, period order by t, c rows between unbounded preceding and current row) as open from ev)
 select match_id, team_id, period, cast(max(open) as bigint) as most, cast(min(open) as bigint) as least from run group by all""")
 def capacity_sweep(spark, d):
-    rows = I.steps(_spans(spark, d)[0], ["match_id", "team_id", "period"])
-    # equal ends are one step; the last start of a place has the greatest count
-    w = Window.partitionBy("match_id", "team_id", "period").orderBy("t", "change").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("open", F.sum("delta").over(w)).groupBy("match_id", "team_id", "period")
-    return out.agg(F.max("open").alias("most"), F.min("open").alias("least"))
+    return I.capacity(_spans(spark, d)[0], ["match_id", "team_id", "period"])
 
 
 @query(SPANS + """select player_id, match_id, period, count(*) as n from (
@@ -340,10 +337,51 @@ def presence_toggle(spark, d):
     return t.select("event_id", "event_type", ok.alias("valid"))
 
 
-@query(None)
-def presence_fold(spark, d):
-    """A session is a team's day within a block of users, of whom eleven are of the team, besides those that come from another one."""
-    a = actions(spark, d).withColumn("session", F.concat_ws(":", "date", "team_id", F.floor(F.col("player_id") / 132)))
+FOLD_SQL = A.replace("with ", "with recursive ", 1) + """,
+sess as (select a.*, strftime(cast(e.ts as date), '%Y-%m-%d') || ':' || a.team_id || ':' || (a.player_id // 132) as session from actions a join events e on a.event_id = e.event_id),
+moves as (
+  select session, period, 0 as over_, us / 1000000e0 as clock, event_id as idx, player_id as p, case when event_type = 'purchase' then player_id + 12 end as other,
+    case event_type when 'error' then case when k % 7 = 0 then 'permanent_exit' else 'temporary_exit' end when 'signup' then 'return' when 'purchase' then 'substitution' end as move
+  from sess where event_type in ('error', 'signup') or event_type = 'purchase' and k % 10 = 0
+  union all select distinct session, u.period, 1, 43200e0, 0, -1, null, 'end' from sess, (select unnest([1, 2]) as period) u),
+tr as (select *, row_number() over (partition by session order by period, over_, clock, idx) as seq from moves),
+run as (
+  select session, cast(0 as bigint) as seq, list(distinct player_id) as active, []::bigint[] as away, list(distinct player_id) as known, true as ok from sess group by session
+  union all
+  select session, seq,
+    case when not valid or move = 'end' then active when move = 'substitution' then list_append(list_filter(active, lambda x: x <> p), other) when move = 'return' then list_append(active, p) else list_filter(active, lambda x: x <> p) end,
+    case when not valid or move in ('end', 'permanent_exit') then away when move = 'temporary_exit' then list_append(away, p) else list_filter(away, lambda x: x <> p) end,
+    case when valid and move = 'substitution' then list_append(known, other) else known end, valid
+  from (select t.*, r.active, r.away, r.known,
+      case move when 'substitution' then (list_contains(r.active, t.p) or list_contains(r.away, t.p)) and not list_contains(r.known, t.other) when 'return' then list_contains(r.away, t.p)
+        when 'end' then true else list_contains(r.active, t.p) end as valid
+    from run r join tr t on t.session = r.session and t.seq = r.seq + 1) x),
+steps as (select t.*, cur.ok, prev.active as before from tr t join run cur on cur.session = t.session and cur.seq = t.seq join run prev on prev.session = t.session and prev.seq = t.seq - 1),
+enter as (
+  select session, period, player_id, cast(0 as double) as clock, seq - 0.5 as seq, 'period_start' as opened from (
+    select session, period, unnest(before) as player_id, seq from (select * from steps qualify seq = min(seq) over (partition by session, period)) y) x
+  union all select session, period, case move when 'return' then p else other end, clock, seq, move from steps where ok and move in ('return', 'substitution')),
+leave as (
+  select session, period, p as player_id, clock, seq, move as closed from steps where ok and move in ('substitution', 'permanent_exit', 'temporary_exit') and list_contains(before, p)
+  union all select session, period, unnest(before), clock, seq, 'period_end' from steps where move = 'end'),
+e as (select *, row_number() over (partition by session, period, player_id order by seq) as n from enter),
+l as (select *, row_number() over (partition by session, period, player_id order by seq) as n from leave),
+spans as (select e.session, e.player_id, e.period, e.clock as start, l.clock as "end", opened, closed from e join l on l.session = e.session and l.period = e.period and l.player_id = e.player_id and l.n = e.n where l.clock > e.clock),
+refused as (
+  select session, p as player_id, period, clock, move from steps where not ok
+  union all select session, other, period, clock, move from steps where not ok and move = 'substitution'
+  union all select session, -1, period, clock, 'end' from steps where move = 'end' and len(before) > 11),
+codes as (
+  select *, case move when 'substitution' then 'INVALID_SUBSTITUTION_STATE' when 'return' then 'PLAYER_ON_WITHOUT_TEMPORARY_EXIT' when 'end' then 'TEAM_CAPACITY_EXCEEDED' else 'PLAYER_OFF_NOT_ACTIVE' end as issue from refused)
+"""
+
+
+def _sessions(spark, d):
+    """Actions with their session: a team's day within a block of users, of whom eleven are of the team, besides those that come from another one."""
+    return actions(spark, d).withColumn("session", F.concat_ws(":", "date", "team_id", F.floor(F.col("player_id") / 132)))
+
+
+def _folded(a):
     none = F.lit(None)
     move = F.when(F.col("event_type") == "error", "Player Off").when(F.col("event_type") == "signup", "Player On").when((F.col("event_type") == "purchase") & (F.col("k") % 10 == 0), "Substitution")
     cols = ["session", "kind", "player_id", "other_id", "period", "at", "index", "permanent", "card"]
@@ -355,6 +393,37 @@ def presence_fold(spark, d):
     return Pr.presence(moves.select(cols).unionByName(starters).unionByName(ends))
 
 
+@query(FOLD_SQL + """select session, player_id, period, start, "end", opened, closed, null::varchar as issue from spans
+union all select session, player_id, period, clock, clock, null, null, issue from codes""")
+def presence_fold(spark, d):
+    return _folded(_sessions(spark, d))
+
+
+@query(FOLD_SQL + """,
+acts as (select *, us / 1000000e0 as clock from sess where event_type in ('view', 'click')),
+lost as (select session, player_id from acts a where not exists (select 1 from spans s where s.session = a.session and s.player_id = a.player_id and s.period = a.period and a.clock >= s.start - 1e-6 and a.clock <= s."end" + 1e-6)),
+found as (select session, player_id, issue from codes where player_id >= 0 union select session, player_id, 'ACTION_OUTSIDE_RECONSTRUCTED_PRESENCE' from lost union
+  select p.session, p.player_id, issue from (select distinct session, player_id from sess) p join codes c on c.session = p.session and c.player_id < 0),
+total as (select session, player_id, sum("end" - start) as seconds from spans group by all)
+select p.session, p.player_id, coalesce(array_to_string(flags, ','), '') as quality_flags,
+  case when flags is not null then 'NEEDS_REVIEW' when coalesce(seconds, 0) <= 0 then 'EXCLUDED' else 'VALIDATED' end as quality_status,
+  case when flags is null and seconds > 0 then round(seconds, 6) end as playing_seconds
+from (select distinct session, player_id from sess) p left join (select session, player_id, list_sort(list(distinct issue)) as flags from found group by all) f on f.session = p.session and f.player_id = p.player_id
+  left join total t on t.session = p.session and t.player_id = p.player_id""")
+def presence_quality(spark, d):
+    """Decision on every player of a session from refused moves, its capacity, and actions outside of presence."""
+    a = materialised(_sessions(spark, d).select("session", "event_id", "event_type", "player_id", "team_id", "period", "us", "k", "date"), "sessions")
+    folded = materialised(_folded(a).withColumnRenamed("session", "match_id"), "folded")
+    people = a.groupBy(F.col("session").alias("match_id"), "player_id").agg(F.lit(True).alias("introduced"), F.lit(0).alias("observed"))
+    spans = folded.where("issue is null")
+    acts = a.where(F.col("event_type").isin("view", "click")).select(F.col("session").alias("match_id"), "player_id", "period", (F.col("us") / 1e6).alias("elapsed"))
+    lost = I.within(acts, spans, Q.BY_PERIOD, "elapsed", 1e-6, "left_anti")
+    own = folded.where("issue is not null").select("match_id", F.when(F.col("player_id") >= 0, F.col("player_id")).alias("player_id"), F.col("issue").alias("code"))
+    issues = own.unionByName(lost.select("match_id", "player_id", F.lit("ACTION_OUTSIDE_RECONSTRUCTED_PRESENCE").alias("code"))).withColumn("severity", F.lit("error"))
+    rows = Q.decided(people, issues, spans)
+    return rows.select(F.col("match_id").alias("session"), "player_id", F.array_join("quality_flags", ",").alias("quality_flags"), "quality_status", F.round("playing_seconds", 6).alias("playing_seconds"))
+
+
 @query(A + """, o as (select player_id, match_id, min(period) as p0, arg_min(us, event_id) as a, max(period) as p1, arg_max(us, event_id) as b from actions group by all),
 s as (select *, unnest(generate_series(p0, p1)) as period from o)
 select player_id, match_id, period, "from", "to" from (select *, case when period = p0 then a else 0 end as "from", case when period = p1 then b else 43200000000 end as "to" from s) x where "from" < "to" """)

@@ -55,7 +55,7 @@ def sufficient_stats(c):
 
 @query("select player_id, team_id, metric, round(numerator, 6) as numerator, samples, missing from season_stats")
 def season_rollup(c):
-    return St.rolled_up(c.session_stats, SPELL).select(*SPELL, "metric", point(F.col("numerator")).alias("numerator"), "samples", "missing")
+    return c.season_stats.select(*SPELL, "metric", point(F.col("numerator")).alias("numerator"), "samples", "missing")
 
 
 @query("select player_id, team_id, us, appearances, excluded, partial, round(minutes, 6) as minutes from exposure")
@@ -75,7 +75,7 @@ def rate_per90(c):
 
 @query("select metric, count(*) filter (where missing > 0) as spells_with_missing, count(*) as spells from season_stats group by metric")
 def missing_metric_census(c):
-    return St.rolled_up(c.session_stats, SPELL).groupBy("metric").agg(F.count_if(F.col("missing") > 0).alias("spells_with_missing"), F.count("*").alias("spells"))
+    return c.season_stats.groupBy("metric").agg(F.count_if(F.col("missing") > 0).alias("spells_with_missing"), F.count("*").alias("spells"))
 
 
 @query("select player_id, team_id, largest, round(share, 9) as share, role from dominant")
