@@ -103,13 +103,14 @@ def match_issues(events: DataFrame, roster: DataFrame, halves: DataFrame, xis: D
 
 
 def transitions(events: DataFrame, halves: DataFrame, xis: DataFrame) -> DataFrame:
-    """Rows for `presence`, a session for each match."""
+    """Rows for `presence`, a session (team|match) for each team of a match."""
     none = F.lit(None)
-    head = lambda kind, player, period, at: [F.col("match_id").alias("session"), F.lit(kind).alias("kind"), player.alias("player_id"), none.cast("long").alias("other_id"), period.alias("period"), at.alias("at"), F.lit(0).cast("long").alias("index"), F.lit(False).alias("permanent"), none.cast("string").alias("card")]
-    starters = xis.where("code is null").select("match_id", F.explode("players").alias("p")).select(*head("Starter", F.col("p.player_id"), F.lit(1), F.lit(0.0)))
-    ends = halves.select(*head("Period End", F.lit(-1).cast("long"), F.col("period"), F.col("duration")))
+    session = F.concat_ws("|", "team_id", "match_id").alias("session")
+    head = lambda kind, player, period, at: [session, F.lit(kind).alias("kind"), player.alias("player_id"), none.cast("long").alias("other_id"), period.alias("period"), at.alias("at"), F.lit(0).cast("long").alias("index"), F.lit(False).alias("permanent"), none.cast("string").alias("card")]
+    starters = xis.where("code is null").select("match_id", "team_id", F.explode("players").alias("p")).select(*head("Starter", F.col("p.player_id"), F.lit(1), F.lit(0.0)))
+    ends = halves.join(xis.select("match_id", "team_id"), "match_id").select(*head("Period End", F.lit(-1).cast("long"), F.col("period"), F.col("duration")))
     moves = events.where(move_of(F.col("event_type"), F.col("permanent"), F.col("card")).isNotNull() & F.col("player_id").isNotNull())
-    moves = moves.select(F.col("match_id").alias("session"), F.col("event_type").alias("kind"), "player_id", F.col("replacement_id").alias("other_id"), "period", F.col("elapsed").alias("at"), F.col("index").cast("long").alias("index"), "permanent", "card")
+    moves = moves.select(session, F.col("event_type").alias("kind"), "player_id", F.col("replacement_id").alias("other_id"), "period", F.col("elapsed").alias("at"), F.col("index").cast("long").alias("index"), "permanent", "card")
     return moves.unionByName(starters).unionByName(ends)
 
 
@@ -230,7 +231,9 @@ def reconcile(events: DataFrame, roster: DataFrame, positions: DataFrame, cards:
     good = lambda rows: rows.join(broken, "match_id", "left_anti")
     starters = xis.where("code is null").select("match_id", F.explode("players").alias("p")).select("match_id", F.col("p.player_id").alias("player_id"), F.col("p.position_name").alias("starting_position"))
     seen = positions.groupBy(*PLAYER).agg(F.count("*").alias("observed"))
-    folded = materialised(presence(transitions(good(events), good(halves), good(xis))).withColumnRenamed("session", "match_id"), "folded")
+    folded = materialised(presence(transitions(good(events), good(halves), good(xis))), "folded")
+    cut = F.instr("session", "|")
+    folded = folded.withColumns({"team_id": F.substring("session", F.lit(1), cut - 1).cast("long"), "match_id": F.substring("session", cut + 1, F.length("session"))}).drop("session")
     rows = folded.where("issue is null")
     came = folded.where("issue is null and player_id >= 0").select(*PLAYER).distinct().withColumn("on", F.lit(True))
     people = roster.join(starters, PLAYER, "left").join(seen, PLAYER, "left").join(came, PLAYER, "left")
