@@ -64,8 +64,8 @@ STAR_ROUNDS = 2
 PARTNERS_PER_TASK = 2000
 MAX_RUN = 2_000_000
 #: Tokens that a task holds before it sends them to be counted, and tokens counted at once.
-HELD_TOKENS = 2_000_000
-BLOCK_TOKENS = 4_000_000
+HELD_TOKENS = 1_000_000
+BLOCK_TOKENS = 2_000_000
 _A, _B = odd(401, 2)
 #: Kinds of the rows of the index: (x, y, m, k) is
 #: for a document (doc, node, size, whether it has an id),

@@ -256,7 +256,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
     def run(batches):
         m = model(path)
         for batch in batches:
-            for c in chunks(batch.column(batch.schema.get_field_index(text)), CHUNK_BYTES // 2):
+            for c in chunks(batch.column(batch.schema.get_field_index(text)), CHUNK_BYTES):
                 rows = batch.slice(c.first, c.n)
                 got, count = m.encode([t or "" for t in rows.column(rows.schema.get_field_index(text)).to_pylist()])
                 offs = np.concatenate(([0], np.cumsum(count)))
