@@ -86,12 +86,15 @@ def metric_percentiles(long: DataFrame, min_peers: int = S.MIN_PEERS) -> DataFra
 def common_percentiles(long: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     """Percentiles of each set's metrics on the set's own population, complete in all of its metrics.
 
-    sets: columns `set`, `metric` (a few rows of configuration) and optionally `set_role`.
+    sets: columns `set`, `metric` (a few rows of configuration) and optionally `set_role`, or `keeper` for sets
+    of keepers (true) or of all others.
     Result: keys, set, metric, v, is_ref, complete, in_ref, n, pct.
     """
     on = long["metric"] == sets["metric"]
     if "set_role" in sets.columns:
         on = on & (long["role"] == sets["set_role"])
+    if "keeper" in sets.columns:
+        on = on & (F.coalesce(long["role"] == "GK", F.lit(False)) == sets["keeper"])
     rows = long.join(F.broadcast(sets), on).drop(sets["metric"])
     whole = rows.groupBy(*keys, "set").agg((F.count("v") == F.count("*")).alias("complete"))
     rows = rows.join(whole, [*keys, "set"])
@@ -100,13 +103,17 @@ def common_percentiles(long: DataFrame, sets: DataFrame, keys: list[str]) -> Dat
 
 
 def category_scores(long: DataFrame, spark, min_peers: int = S.MIN_PEERS) -> DataFrame:
-    """player, team, category, score, peer_count, status."""
+    """player, team, category, score, peer_count, status; keepers have categories of their own.
+
+    A category without metrics has no data for it (UNSUPPORTED_DATA), whoever it is asked for.
+    """
     keys = ["player_id", "team_id"]
-    sets = spark.createDataFrame([(c, m, len(ms)) for c, ms in S.CATEGORIES.items() for m in ms], "set string, metric string, parts int")
+    both = [(c, ms, k) for group, k in ((S.CATEGORIES, False), (S.KEEPER_CATEGORIES, True)) for c, ms in group.items()]
+    sets = spark.createDataFrame([(c, m, len(ms), k) for c, ms, k in both for m in ms], "set string, metric string, parts int, keeper boolean")
     rows = common_percentiles(long, sets, keys)
     pct = directed(F.col("metric"), F.col("pct"))
     # components are added in their configured order, which fixes the float sum
-    order = F.coalesce(*[F.when(F.col("set") == c, F.array_position(F.array(*map(F.lit, ms)), F.col("metric"))) for c, ms in S.CATEGORIES.items()])
+    order = F.coalesce(*[F.when(F.col("set") == c, F.array_position(F.array(*map(F.lit, ms)), F.col("metric"))) for c, ms, _ in both if ms])
     agg = rows.groupBy("player_id", "team_id", "set").agg(
         F.first("role").alias("role"),
         F.first("eligible").alias("eligible"),
@@ -125,7 +132,7 @@ def category_scores(long: DataFrame, spark, min_peers: int = S.MIN_PEERS) -> Dat
         .otherwise("AVAILABLE")
     )
     agg = agg.withColumn("status", status)
-    return agg.select(
+    scored = agg.select(
         "player_id",
         "team_id",
         F.col("set").alias("category"),
@@ -133,6 +140,11 @@ def category_scores(long: DataFrame, spark, min_peers: int = S.MIN_PEERS) -> Dat
         F.when(F.col("status").isin("INELIGIBLE_PROFILE", "MISSING_COMPONENT"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("peer_count"),
         "status",
     )
+    spells = long.select(*keys, (F.coalesce(F.col("role") == "GK", F.lit(False))).alias("keeper")).distinct()
+    names = spark.createDataFrame([(c, k) for c, ms, k in both if not ms], "category string, keeper boolean")
+    without = spells.join(F.broadcast(names), "keeper")
+    empty = without.select(*keys, "category", F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("peer_count"), F.lit("UNSUPPORTED_DATA").alias("status"))
+    return scored.unionByName(empty)
 
 
 def top_of_each(rows: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

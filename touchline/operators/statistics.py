@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.scalars import in_box, progressive, rank_value, rates
+from .intervals import within
 
 
 #: Fractional values are summed in steps of so many to one.
@@ -32,6 +33,24 @@ def disposition(events: DataFrame) -> DataFrame:
     )
 
 
+def disposition_errors(events: DataFrame, presence: DataFrame, appearances: DataFrame) -> DataFrame:
+    """Included events that contradict their sources, with a code; they go to quarantine and must be none.
+
+    presence: match_id, player_id, period, start, end; appearances: match_id, player_id, team_id of validated ones.
+    events as `disposition` gives them, with elapsed and quality_flags.
+    """
+    rows = events.where("disposition = 'included'")
+    team = appearances.select("match_id", "player_id", F.col("team_id").alias("valid_team"))
+    wrong = rows.join(team, ["match_id", "player_id"], "left").where(~F.coalesce(F.col("team_id") == F.col("valid_team"), F.lit(False))).select(rows.columns)
+    outside = within(rows, presence, ["match_id", "player_id", "period"], "elapsed", S.EDGE, "left_anti")
+    odd = rows.where(F.size(F.array_except("quality_flags", F.array(F.lit("UNMAPPED_PASS_OUTCOME")))) > 0)
+    parts = ((wrong, "WRONG_TEAM"), (outside, "OUTSIDE_PRESENCE"), (odd, "UNREVIEWED_FLAGS"))
+    first, *rest = [part.select("match_id", "event_id", F.lit(code).alias("code")) for part, code in parts]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
 def unique_links(events: DataFrame) -> DataFrame:
     """events with link_valid and link_xg: a claimed shot exists, fits, and is claimed by no valid pass before.
 

@@ -28,8 +28,9 @@ LINEUPS = (
 def accepted(raw: Column) -> Column:
     """Valid JSON without repeated keys, NaN or Infinity and without a number beyond the double range."""
     parsed = F.try_parse_json(raw)
-    # numbers in exponent form are the only ones that can overflow; their value is checked where they occur
-    big = F.exists(F.regexp_extract_all(raw, F.lit(r"(?<![\w\"])-?\d+(?:\.\d+)?[eE]\+?\d+"), 0), lambda x: F.abs(x.try_cast("double")) == float("inf"))
+    # only numbers in exponent form or of very many digits can overflow; their value is checked where they occur
+    long = r"(?<![\w\"])-?(?:\d+(?:\.\d+)?[eE]\+?\d+|\d{309,}(?:\.\d+)?)"
+    big = F.exists(F.regexp_extract_all(raw, F.lit(long), 0), lambda x: F.abs(x.try_cast("double")) == float("inf"))
     return parsed.isNotNull() & ~F.coalesce(big, F.lit(False))
 
 
