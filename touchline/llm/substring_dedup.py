@@ -4,7 +4,8 @@ Rounds name runs and pairs of symbols, beginning with the words. A run of equal
 name. Then every symbol is on the left or right side by its hash, and each left-right pair gets one
 name. A name is the hash of what it names, so it is global without a dictionary or a round trip, and
 equal substrings have equal names inside, up to a margin at their ends. For every symbol the stretch of
-words that fixes its name is kept. Rounds go on until no stretch is short enough for a window.
+words that fixes its name is kept. Rounds go on until no stretch is shorter than a third of a window, so
+that most windows around a symbol can pick it.
 
 A window of WINDOW words picks the highest symbol whose stretch lies inside it; of one level, that with
 the smallest hash of its name and its neighbours' names one level below. Spark brings together the
@@ -85,7 +86,7 @@ def parser(window: int):
 
     def parse(c: Chunk):
         w = words(c, SPACED)
-        return w.hash, w.first, recompress(w.hash, w.doc, window)
+        return w.hash, w.first, recompress(w.hash, w.doc, max(1, window // 3))
 
     return parse
 
