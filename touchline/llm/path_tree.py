@@ -3,17 +3,17 @@
 Rules (host and all its subdomains, beginning of the path) decide first, the longest one wins; the
 pages that they decide are the labelled examples of the rest.
 
-1. Pages are counted by (host, shape): the path with '#' for runs of digits. Counts of distinct paths make
-   repeated rows and larger tables give the same tree, and a host or shape with a third of all rows is
-   one row of it.
+1. Paths are counted by (host, shape): the path with '#' for runs of digits. Counts, also of labels, are of
+   distinct paths, so that repeated rows change nothing, and a host or shape with a third of all rows is
+   one row of the tree.
 2. From the root down, the children of a node become one wildcard '*' when there are at least
    MIN_CHILDREN of them and they are at least MIN_NEW_SHARE of the paths below it: most are seen once.
-3. Each node has the labelled pages below it and how many of them are blocked. Down the tree a node is
+3. Each node has the labelled paths below it and how many of them are blocked. Down the tree a node is
    merged with its parent when its share is no further from the parent's than Z standard errors of a
    binomial share; a node without labels always is. Else it stands for itself, with its share smoothed
-   by WEIGHT pages of the parent's. A host starts from the share of all hosts in the same way.
+   by WEIGHT paths of the parent's. A host starts from the share of all hosts in the same way.
 4. A page goes by the lowest node of its template that stands for itself, and is blocked when that has
-   at least MIN_LABELLED labelled pages and a smoothed share of MIN_PURITY or more.
+   at least MIN_LABELLED labelled paths and a smoothed share of MIN_PURITY or more.
 
 So a template without labels goes by its siblings under one parent, and by the host when these have
 none. Levels are Spark jobs as deep as the deepest path; the shares of one template are folded in one
@@ -47,8 +47,9 @@ def ruled(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
 
 def leaves(pages: DataFrame) -> DataFrame:
     """host, shape, n (distinct paths), labelled, blocked of pages as `ruled` gives them."""
-    paths = pages.groupBy(*KEYS, "path").agg(F.count("said").alias("l"), F.count_if(F.col("said") == "block").alias("b"))
-    return paths.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum("l").alias("labelled"), F.sum("b").alias("blocked"))
+    # a rule says the same of all pages of a path
+    paths = pages.groupBy(*KEYS, "path").agg(F.max("said").alias("said"))
+    return paths.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count("said").alias("labelled"), F.count_if(F.col("said") == "block").alias("blocked"))
 
 
 def templates(leaf: DataFrame) -> DataFrame:

@@ -151,8 +151,8 @@ ruled as (
          case {" ".join(f"when {f} then '{v}'" for f, (v, _, _) in zip(_FIT, _RULES, strict=True))} end as said
   from base),
 leaves as (
-  select host, shape, count(distinct path) as n, count(said) as labelled, count(*) filter (where said = 'block') as blocked
-  from ruled group by host, shape),
+  select host, shape, count(*) as n, count(said) as labelled, count(*) filter (where said = 'block') as blocked
+  from (select distinct host, path, shape, said from ruled) x group by host, shape),
 grown as (
   select host, shape, n, labelled, blocked, string_split(shape, '/') as part, 0 as d, string_split(shape, '/')[1] as node from leaves
   union all
