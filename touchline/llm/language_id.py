@@ -11,7 +11,8 @@ Prediction reads every whole text, row by row, without a shuffle.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no learned language
 every text is `und`; ties go to the alphabetically first language, equal counts to the smaller
-n-gram; repeated rows are predicted alike; other columns are dropped.
+n-gram; repeated rows are predicted alike, and rows of one id each by its own text; very long texts are read
+whole, one at a time in a task; an empty table gives an empty table; other columns are dropped.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ Repeated three-word windows are found inside the row by sorting their 64-bit has
 O(n log n) for a text of n words and needs no shuffle.
 
 Defined cases: a null, empty or blank text has zero words, fails the base rule and is not kept;
-repeated rows are judged alike; other columns are dropped by `judge` and kept by `annotate`.
+repeated rows are judged alike, and rows of one id each by its own text; a very long text is one row of
+arrays; a ratio on the edge of its range passes; an empty table gives an empty table; other columns are
+dropped by `judge` and kept by `annotate`, but for those named like a count.
 """
 
 from __future__ import annotations
