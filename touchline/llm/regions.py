@@ -82,7 +82,12 @@ def picks(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], window: np.nd
         if some.any():
             on = left[some]
             lo, hi = lo[some], hi[some]
-            which[on] = RangeMin(key, int((hi - lo).max())).query(lo, hi)
+            # only the candidates that a window asks for
+            change = np.bincount(lo, minlength=len(key) + 1)[: len(key)] - np.bincount(hi, minlength=len(key) + 1)[: len(key)]
+            asked = np.cumsum(change) > 0
+            own = np.flatnonzero(asked)
+            place = np.concatenate(([0], np.cumsum(asked)))
+            which[on] = own[RangeMin(key[own], int((hi - lo).max())).query(place[lo], place[hi])]
             level[on] = k
             left = left[~some]
     return level, which

@@ -45,7 +45,7 @@ def parse(c: Chunk):
     symbols = _BYTE[c.data]
     h = window_hash(symbols, GRAM)
     at = np.arange(len(h))
-    doc = np.searchsorted(c.offs, at, side="right") - 1
+    doc = np.repeat(np.arange(c.n), np.diff(c.offs))[: len(h)]
     inside = at + GRAM <= c.offs[doc + 1]
     at, h = at[inside], h[inside]
     sampled = (h & U64(SAMPLED - 1)) == 0
