@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, language_id, path_tree, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
+from . import alignment, decontamination, jaccard_join, language_id, packing, path_tree, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
 
 
-def tokenizer_path() -> str:
-    """File of the public 32k BPE model; a parameter of the operators, never copied."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """File of a public tokenizer, by default the 32k BPE model; a parameter of the operators, never copied."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def table(spark, sf_dir, name):
@@ -67,6 +67,14 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    return packing.report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_tokenizer_alignment(spark, sf_dir):
+    return alignment.report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -88,6 +96,8 @@ QUERIES = {
         op8_suffix_dedup,
         op9_quality_neighbours,
         op10_jaccard_join,
+        op11_best_fit_packing,
+        op12_tokenizer_alignment,
         pipeline,
     )
 }
