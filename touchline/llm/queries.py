@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontamination, jaccard_join, language_id, packing, path_tree, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
+from . import alignment, collocations, decontamination, jaccard_join, language_id, packing, path_tree, quality_neighbours, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, toxicity, url_templates
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -75,6 +75,10 @@ def op12_tokenizer_alignment(spark, sf_dir):
     return alignment.report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -98,6 +102,7 @@ QUERIES = {
         op10_jaccard_join,
         op11_best_fit_packing,
         op12_tokenizer_alignment,
+        op13_collocations,
         pipeline,
     )
 }
@@ -188,7 +193,35 @@ from ruled r join ends e on e.host = r.host and e.shape = r.shape"""
 
 _STOP = ", ".join(f"'{form}'" for w in quality_rules.STOP_WORDS for form in dict.fromkeys((w, w.capitalize())))
 
+
+
+def _collocation_sql() -> str:
+    c = collocations
+    cut = lambda a, b: f"array_to_string(string_split(phrase, ' ')[{a}:{b}], ' ')"
+    return f"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\\x0A-\\x0D]+')) as piece
+  from documents),
+split as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+total as (select lang, sum(len(w))::hugeint as n from split group by lang),
+grams as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from split, (select unnest(range(1, {c.LONGEST + 1})) as k) s where len(w) >= k) x),
+counts as (select lang, k, phrase, count(*) as a from grams group by all having count(*) >= {c.MIN_COUNT}),
+cuts as (select lang, phrase, k, a, j, {cut("1", "j")} as head, {cut("j + 1", "k")} as rest
+  from (select *, unnest(range(1, k)) as j from counts where k > 1) x),
+scores as (select c.lang, c.phrase, c.k, c.a, c.j, l.a as l, r.a as r, t.n, (1000::hugeint * c.a * t.n) // (l.a::hugeint * r.a) as score
+  from cuts c join counts l on l.lang = c.lang and l.phrase = c.head join counts r on r.lang = c.lang and r.phrase = c.rest join total t on t.lang = c.lang),
+lowest as (select * from (select *, row_number() over (partition by lang, phrase order by score, j) as o from scores) x where o = 1),
+inside as (select lang, {cut("s", "s + m - 1")} as phrase, max(a) as longer
+  from (select *, unnest(range(1, k - m + 2)) as s from (select *, unnest(range(2, k)) as m from counts where k > 2) x) y group by all),
+kept as (select w.* from lowest w left join inside i on i.lang = w.lang and i.phrase = w.phrase where i.longer is null or 100 * i.longer < {c.CONTAINED} * w.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked where rank <= {c.TOP}"""
+
+
 ORACLE = {
+    "op13_collocations": _collocation_sql(),
     "op7_path_template_tree": _tree_sql(),
     "op7_url_templates": _url_sql(),
     "op7_url_templates_by_host": _url_sql(by_host=True),
