@@ -50,13 +50,12 @@ class Aligner:
                 of_b[raw[at : at + n]] = i
         self.identity = np.array([of_b.get(t, -1) for t in self.a.text], dtype=np.int64)
 
-    def tokens(self, texts: list[str]):
+    def tokens(self, data: np.ndarray, offs: np.ndarray, texts: list[str]):
         """(A ids, A ends, B ids, B ends, document edges) in bytes of the texts that both reproduce; others have no bytes."""
-        a, na = self.a.encode([" " + t if t else "" for t in texts])
+        data, offs = byte_bpe.spaced(data, offs)
+        a, na = self.a.encode(data, offs)
         b, nb = self.b.encode(texts)
-        want = [(" " + t).encode() if t else b"" for t in texts]
-        sizes = np.array([len(w) for w in want], dtype=np.int64)
-        data = np.frombuffer(b"".join(want), dtype=np.uint8)
+        sizes = np.diff(offs)
         good = sizes > 0
         sides = []
         for m, ids, n in ((self.a, a, na), (self.b, b, nb)):
@@ -88,8 +87,8 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 class Links:
     """Groups and links of a chunk, as arrays over bytes, tokens and links in order."""
 
-    def __init__(self, al: Aligner, texts: list[str]):
-        self.a, a_end, self.b, b_end, self.edge = al.tokens(texts)
+    def __init__(self, al: Aligner, data: np.ndarray, offs: np.ndarray, texts: list[str]):
+        self.a, a_end, self.b, b_end, self.edge = al.tokens(data, offs, texts)
         n = int(self.edge[-1])
         in_a, in_b = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
         in_a[a_end], in_b[b_end] = True, True
@@ -163,7 +162,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
         for batch in batches:
             for c in chunks(batch.column(1)):
                 rows = batch.slice(c.first, c.n)
-                x = Links(al, [t or "" for t in rows.column(1).to_pylist()])
+                x = Links(al, c.data, c.offs, [t or "" for t in rows.column(1).to_pylist()])
                 of = lambda d, n=c.n: np.bincount(d, minlength=n)
                 text, cut = x.written()
                 raw = text.tobytes()

@@ -146,6 +146,17 @@ def words(c: Chunk, table: np.ndarray, data: np.ndarray | None = None, prefixes:
     return Words(start, end, doc, h, first, cut, sums)
 
 
+def run_hash(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Content hash of each of consecutive runs that cover all bytes."""
+    place = np.arange(len(data))
+    place -= np.repeat(start, size)
+    with np.errstate(over="ignore"):
+        v = data.astype(U64)
+        v += U64(1)
+        v *= _multipliers(int(size.max()))[place]
+        return mix(np.add.reduceat(v, start) + size.astype(U64) * _BASE)
+
+
 def window_hash(h: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of `length` consecutive hashes: len(h) - length + 1 values, by doubling."""
     n = len(h) - length + 1

@@ -44,6 +44,7 @@ WIDTH = 2048
 #: (share, groups): lengths above width / share are large, and are dealt into so many groups.
 SETTINGS = ((3, 512), (8, 96))
 CLOSING_ID = 0
+CHUNK = 1 << 20
 _EPS = 1e-9
 
 
@@ -265,9 +266,9 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", width: int = WIDTH
         m = model(path, False)
         own, seen = TaskContext.get().partitionId(), np.zeros(width + 1, dtype=np.int64)
         for batch in batches:
-            for c in chunks(batch.column(len(keep))):
+            for c in chunks(batch.column(len(keep)), CHUNK):
                 rows = batch.slice(c.first, c.n)
-                ids, count = m.encode([t or "" for t in rows.column(len(keep)).to_pylist()])
+                ids, count = m.encode(c.data, c.offs)
                 total = np.concatenate(([0], np.cumsum(count + 1)))
                 flat = np.full(total[-1], CLOSING_ID, dtype=np.uint32)
                 flat[np.arange(len(ids)) + np.repeat(np.arange(c.n), count)] = ids
