@@ -25,9 +25,9 @@ def with_eligibility(spells: DataFrame, at_least: float = S.MIN_MINUTES) -> Data
     return longest_spell(out.withColumn("eligible", F.size("reasons") == 0))
 
 
-def longest_spell(spells: DataFrame) -> DataFrame:
+def longest_spell(spells: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """is_ref: most minutes, then the smallest group, among the eligible spells of an entity in a role."""
-    order = Window.partitionBy("role", "player_id").orderBy(F.desc("eligible"), F.desc("minutes"), "team_id")
+    order = Window.partitionBy(*within, "role", "player_id").orderBy(F.desc("eligible"), F.desc("minutes"), "team_id")
     return spells.withColumn("is_ref", F.col("eligible") & (F.row_number().over(order) == 1))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..sources.shared import materialised
+from .order import ranked as by_order
 from .profiles import common_percentiles, directed
 
 REQUIREMENT_SCHEMA = "set string, set_role string, metric string, weight double, place int, parts int, min_minutes double, top_k int, excluded array<long>"
@@ -28,10 +30,32 @@ def components(long: DataFrame, requirements: DataFrame) -> DataFrame:
     return rows.withColumn("percentile", pct).withColumn("contribution", F.col("weight") * F.col("percentile"))
 
 
-def ranked(long: DataFrame, requirements: DataFrame, min_peers: int = S.MIN_PEERS) -> tuple[DataFrame, DataFrame]:
-    """(status of each requirement, candidates with score and rank, uncut).
+def check_requirement(requirement: dict) -> None:
+    """Errors of a requirement: weights, minutes and top_k that cannot be meant, unknown metrics or role."""
+    S.normalized(requirement["weights"])
+    role, metrics = requirement["role"], set(requirement["weights"])
+    if role not in S.ROLES:
+        raise ValueError(f"there is no role {role}")
+    if wrong := sorted(metrics - set(rankable(role))):
+        raise ValueError(f"not ranked for {role}: {', '.join(wrong)}")
+    if not 0 <= requirement.get("min_minutes", S.MIN_MINUTES) < float("inf"):
+        raise ValueError("minutes must be finite and not negative")
+    top_k = requirement.get("top_k", S.TOP_K)
+    if isinstance(top_k, bool) or not isinstance(top_k, int) or not 1 <= top_k <= 100:
+        raise ValueError("top_k must be an integer from 1 to 100")
 
-    Percentiles come from the reference; minutes and teams filter candidates afterwards.
+
+def rankable(role: str) -> list[str]:
+    """Metrics that a role can be ranked by: no mean positions, and for keepers only their own."""
+    return [m for m in S.METRICS if m not in S.MEANS and (role != "GK" or m in S.KEEPER_METRICS)]
+
+
+def ranked(long: DataFrame, requirements: DataFrame, min_peers: int = S.MIN_PEERS, cut: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(status of each requirement, candidates with score and rank; with cut only the first top_k of each).
+
+    Percentiles come from the reference; minutes and teams filter candidates afterwards. Ranks come from buckets of scores
+    with counts before them, so no window holds the candidates of a requirement; with cut, buckets that begin behind the
+    top_k of their requirement are left out before anything is sorted.
     """
     parts = components(long, requirements)
     each = parts.groupBy("set", "player_id", "team_id").agg(
@@ -47,6 +71,7 @@ def ranked(long: DataFrame, requirements: DataFrame, min_peers: int = S.MIN_PEER
     )
     score = F.aggregate("cs", F.lit(0.0), lambda acc, x: acc + x["contribution"])
     each = each.withColumns({"score": score, "candidate": F.col("complete") & (F.col("minutes") >= F.col("min_minutes")) & ~F.array_contains("excluded", F.col("team_id"))})
+    each = materialised(each.drop("cs"), "scores")
     summary = each.groupBy("set").agg(
         F.count_if("complete").alias("peer_count"),
         F.count_if(F.col("complete") & (F.col("known") < F.col("parts"))).alias("unranked"),
@@ -57,10 +82,11 @@ def ranked(long: DataFrame, requirements: DataFrame, min_peers: int = S.MIN_PEER
     status = F.when(F.col("peer_count") < min_peers, "INSUFFICIENT_PEERS").when(F.col("unranked") > 0, "CONSTANT_COMPONENT").when(F.col("passing") > 0, "AVAILABLE").otherwise("NO_CANDIDATES")
     summary = summary.withColumn("status", status)
     summary = summary.withColumn("candidate_count", F.when(F.col("status") == "AVAILABLE", F.col("passing")).otherwise(0))
+    summary = summary.withColumn("warnings", F.array_compact(F.array(F.when((F.col("candidate_count") < F.col("top_k")) & F.col("status").isin("AVAILABLE", "NO_CANDIDATES"), F.lit("FEWER_CANDIDATES_THAN_REQUESTED")))))
     good = summary.where("status = 'AVAILABLE'").select("set")
-    order = Window.partitionBy("set").orderBy(F.desc("score"), "player_id", "team_id")
-    rows = each.where("candidate").join(F.broadcast(good), "set").withColumn("rank", F.row_number().over(order))
-    return summary.select("set", "role", "status", "peer_count", "candidate_count", "top_k"), rows.select("set", "player_id", "team_id", "minutes", "score", "rank", "top_k")
+    rows = each.where("candidate").join(F.broadcast(good), "set")
+    rows = by_order(rows, ["set"], "score", ["player_id", "team_id"], limit=F.col("top_k") if cut else None)
+    return summary.select("set", "role", "status", "peer_count", "candidate_count", "top_k", "warnings"), rows.select("set", "player_id", "team_id", "minutes", "score", "rank", "top_k")
 
 
 def exclusions(spells: DataFrame, long: DataFrame, requirements: DataFrame) -> DataFrame:

@@ -1,14 +1,36 @@
-"""Nearest neighbours within a role, with a scaler fitted without the query's own entity."""
+"""Nearest neighbours within a role, with a scaler fitted without the query's own entity.
+
+A search has any number of scenarios, which are rows of a table: each has its own flags (who may ask, who is in the
+reference) and its own features. All scenarios are one plan:
+
+1. Scales follow from aggregates of the reference of (scenario, role, feature): mean and squares or, for robust scenarios,
+   order statistics around the quartiles. What one member's absence changes is computed from these, without pairs.
+2. Queries and peers of a role are dealt into blocks. A cell (query block, peer block) compares at most BLOCK x BLOCK vectors
+   as arrays and keeps the nearest top_k of each query; partial lists of a query are merged. So no key is a whole role,
+   though the number of cells is quadratic in a role, as every exact search of all pairs is.
+
+Features are arrays in a fixed order; a feature that a scenario or a role does not have is NULL there.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..sources.shared import materialised
+from .order import order_statistics
 from .profiles import top_of_each
 
 NO_PEERS = "INSUFFICIENT_PEERS"
+#: Queries, and peers, of one cell.
+BLOCK = 1024
+GROUP = ["scenario", "role"]
+ENTITY = [*GROUP, "player_id", "team_id"]
 
 
 def wide_values(long: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
@@ -16,111 +38,258 @@ def wide_values(long: DataFrame, features: list[str], keys: list[str]) -> DataFr
     return long.where(F.col("metric").isin(features)).groupBy(*keys).pivot("metric", features).agg(F.first("v"))
 
 
-def complete(features: list[str]) -> Column:
-    out = F.lit(True)
-    for m in features:
-        out = out & F.col(m).isNotNull()
-    return out
+def configured(features: list[str]) -> Column:
+    """Array of booleans: does the role have the feature? Keepers are compared on features of their own."""
+    keeper = F.coalesce(F.col("role") == "GK", F.lit(False))
+    return F.array(*[~keeper | F.lit(m in S.KEEPER_FEATURES) for m in features])
 
 
-def _quartile_parts(refs: DataFrame, m: str, role: str = "role") -> DataFrame:
-    """Order statistics around the quartiles of a feature: enough to leave any one value out."""
-    from pyspark.sql import Window
+def vectors(wide: DataFrame, features: list[str], chosen: Column | None = None) -> DataFrame:
+    """wide with x (feature values) and used (is the feature compared?); others are NULL in x.
 
-    w = Window.partitionBy(role).orderBy(m)
-    n = F.count("*").over(Window.partitionBy(role))
-    placed = refs.select(role, F.col(m).alias("x"), (F.row_number().over(w) - 1).alias("i"), n.alias("n"))
-    near = [F.col("i").between(F.floor((F.col("n") - 2) * q), F.floor((F.col("n") - 2) * q) + 2) | F.col("i").between(F.floor((F.col("n") - 1) * q), F.floor((F.col("n") - 1) * q) + 1) for q in (0.25, 0.75)]
-    return placed.where(near[0] | near[1]).groupBy(role).agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), F.col("x")))).alias(f"{m}__at"))
+    chosen: array of the names that the scenario of a row compares, all by default. `applies` tells whether the choice
+    leaves something and, where it is a choice, leaves something out.
+    """
+    has = configured(features)
+    names = F.array(*map(F.lit, features))
+    picked = has if chosen is None else F.zip_with(names, has, lambda m, h: h & F.array_contains(chosen, m))
+    some, all_of = (F.size(F.filter(a, lambda b: b)) for a in (picked, has))
+    applies = some > 0 if chosen is None else (some > 0) & ((some < all_of) | (F.size(chosen) == len(features)))
+    x = F.zip_with(F.array(*[F.col(m) for m in features]), F.col("used"), lambda v, u: F.when(u, v))
+    return wide.withColumns({"used": picked, "applies": applies}).withColumn("x", x)
 
 
-def scalers(refs: DataFrame, features: list[str], robust: bool) -> DataFrame:
-    """Per role the aggregates from which a scale without any one member follows."""
-    first = refs.groupBy("role").agg(
-        F.count("*").alias("n"),
-        *[f(m).alias(f"{m}__{x}") for m in features for f, x in ((F.avg, "c"), (F.min, "lo"), (F.max, "hi"))],
-    )
-    base = refs.join(first, "role")
-    second = base.groupBy("role").agg(
-        *[F.sum((F.col(m) - F.col(f"{m}__c")) * (F.col(m) - F.col(f"{m}__c"))).alias(f"{m}__q") for m in features],
-        *[F.count_if(F.col(m) == F.col(f"{m}__{x}")).alias(f"{m}__n{x}") for m in features for x in ("lo", "hi")],
+def _whole() -> Column:
+    """No compared feature is missing."""
+    return F.forall(F.arrays_zip("x", "used"), lambda p: ~p["used"] | p["x"].isNotNull())
+
+
+def _ranks(n: Column) -> Column:
+    """Ranks around the quartiles of n values, and of n without any one of them."""
+    floor = lambda m, q: F.floor((m - 1) * q).cast("long")
+    parts = [floor(m, q) + d for q in (0.25, 0.5, 0.75) for m, ds in ((n, (0, 1)), (n - 1, (0, 1, 2))) for d in map(F.lit, ds)]
+    return F.array_distinct(F.array(*[F.greatest(p, F.lit(0)) for p in parts]))
+
+
+def scalers(members: DataFrame, width: int) -> DataFrame:
+    """Per (scenario, role): n members and fit, an array of the aggregates of each feature.
+
+    From these the scale without any one member follows. members: scenario, role, robust, x, used.
+    """
+    long = members.select(*GROUP, "robust", F.posexplode(F.arrays_zip("x", "used")).alias("f", "p")).where("p.used").select(*GROUP, "robust", "f", F.col("p.x").alias("v"))
+    keys = [*GROUP, "f"]
+    first = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("v").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    # a row for each scenario, role and feature
+    base = long.join(F.broadcast(first), keys)
+    d = F.col("v") - F.col("c")
+    second = base.groupBy(*keys).agg(
+        F.sum(d * d).alias("q"), F.count_if(F.col("v") == F.col("lo")).alias("nlo"), F.count_if(F.col("v") == F.col("hi")).alias("nhi"),
         # what is left next to the ends tells whether the others are constant
-        *[F.min(F.when(F.col(m) > F.col(f"{m}__lo"), F.col(m))).alias(f"{m}__lo2") for m in features],
-        *[F.max(F.when(F.col(m) < F.col(f"{m}__hi"), F.col(m))).alias(f"{m}__hi2") for m in features],
-    )
-    out = first.join(second, "role")
-    for m in features if robust else []:
-        out = out.join(_quartile_parts(refs, m), "role")
-    return out
+        F.min(F.when(F.col("v") > F.col("lo"), F.col("v"))).alias("lo2"), F.max(F.when(F.col("v") < F.col("hi"), F.col("v"))).alias("hi2"),
+    )
+    at = order_statistics(long.where("robust"), keys, "v", _ranks).drop("n")
+    fit = first.join(second, keys).join(at, keys, "left")
+    parts = F.map_from_entries(F.collect_list(F.struct("f", F.struct("n", "c", "q", "lo", "hi", "nlo", "nhi", "lo2", "hi2", "at"))))
+    each = fit.groupBy(*GROUP).agg(F.max("n").alias("n"), parts.alias("m"))
+    return each.select(*GROUP, "n", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i)).alias("fit"))
 
 
-def _scale(m: str, own: Column, robust: bool) -> Column:
-    """Scale of a feature without the query's own value (NULL when it is no member); 0 when constant."""
-    n, c, q = F.col("n"), F.col(f"{m}__c"), F.col(f"{m}__q")
+def _quantile(fit: Column, own: Column, p: float) -> Column:
+    """Quantile of a feature without the own value (NULL: with all), interpolated."""
     inside = own.isNotNull()
-    if robust:
-        at = F.col(f"{m}__at")
+    size = fit["n"] - F.when(inside, 1).otherwise(0)
+    place = (size - 1) * F.lit(p)
+    low = F.floor(place).cast("int")
 
-        def quantile(p: float) -> Column:
-            size = F.when(inside, n - 1).otherwise(n)
-            place = (size - 1) * F.lit(p)
-            low = F.floor(place).cast("int")
+    def value(i: Column) -> Column:
+        # the own value is taken out of its place: later values move up by one
+        first = F.try_element_at(fit["at"], i)
+        return F.when(inside & (first >= own), F.try_element_at(fit["at"], i + 1)).otherwise(first)
 
-            def value(i: Column) -> Column:
-                # the own value is removed from its place: later values move up by one
-                first = F.try_element_at(at, i)
-                return F.when(inside & (first >= own), F.try_element_at(at, i + 1)).otherwise(first)
+    part = place - low
+    return F.when(part == 0, value(low)).otherwise(value(low) + (value(low + 1) - value(low)) * part)
 
-            a, b = value(low), value(low + 1)
-            part = place - low
-            return F.when(part == 0, a).otherwise(a + (b - a) * part)
 
-        return quantile(0.75) - quantile(0.25)
-    d = own - c
+def centre(fit: Column, own: Column, robust: Column) -> Column:
+    mean = F.when(own.isNotNull(), fit["c"] - (own - fit["c"]) / (fit["n"] - 1)).otherwise(fit["c"])
+    return F.when(robust, _quantile(fit, own, 0.5)).otherwise(mean)
+
+
+def scale(fit: Column, own: Column, robust: Column) -> Column:
+    """Scale of a feature without the query's own value (NULL when it is no member); 0 when constant."""
+    n, q, inside = fit["n"], fit["q"], own.isNotNull()
+    d = own - fit["c"]
     var = F.when(inside, (q - d * d) / (n - 1) - (d / (n - 1)) * (d / (n - 1))).otherwise(q / n)
-    lo, hi, nlo, nhi, lo2, hi2 = (F.col(f"{m}__{x}") for x in ("lo", "hi", "nlo", "nhi", "lo2", "hi2"))
-    constant = (lo == hi) | F.coalesce(inside & (((own == lo) & (nlo == 1) & (lo2 == hi)) | ((own == hi) & (nhi == 1) & (hi2 == lo))), F.lit(False))
-    return F.when(constant, F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
+    lo, hi = fit["lo"], fit["hi"]
+    left = inside & (((own == lo) & (fit["nlo"] == 1) & (fit["lo2"] == hi)) | ((own == hi) & (fit["nhi"] == 1) & (fit["hi2"] == lo)))
+    standard = F.when((lo == hi) | F.coalesce(left, F.lit(False)), F.lit(0.0)).otherwise(F.sqrt(F.greatest(var, F.lit(0.0))))
+    return F.when(robust, _quantile(fit, own, 0.75) - _quantile(fit, own, 0.25)).otherwise(standard)
+
 
+def _nearest(top_k: int, width: int):
+    """The top_k nearest peers of each query of a cell."""
+    names = ["scenario", "role", "player_id", "team_id", "peer_id", "peer_team", "distance"]
 
-def neighbours(wide: DataFrame, features: list[str], *, robust: bool = False, top_k: int = S.TOP_K, min_peers: int = S.MIN_PEERS, keep: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(queries with status and peer_count, neighbour rows) of every spell.
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    wide has player_id, team_id, role, minutes, eligible, is_ref and the features; keep restricts the
-    reference entities. Peers join queries by role; distances are one expression and only the nearest
-    top_k rows of each query leave a task.
+    def cell(asks: pa.Table, peers: pa.Table) -> pa.Table:
+        if not asks.num_rows or not peers.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in zip(names, [pa.string()] * 2 + [pa.int64()] * 4 + [pa.float64()], strict=True)})
+        peers = peers.sort_by([("player_id", "ascending"), ("team_id", "ascending")])
+        x, s, y = matrix(asks, "x"), matrix(asks, "s"), matrix(peers, "x")
+        square = np.zeros((len(x), len(y)))
+        for f in range(width):
+            on = np.flatnonzero(s[:, f] > 0)
+            if len(on):
+                z = (x[on, f, None] - y[None, :, f]) / s[on, f, None]
+                square[on] += z * z
+        distance = np.sqrt(square)
+        own = asks.column("player_id").to_numpy()[:, None] == peers.column("player_id").to_numpy()[None, :]
+        distance[own] = np.inf
+        # peers are in order of their ids, so a stable sort breaks ties by them
+        first = np.argsort(distance, axis=1, kind="stable")[:, :top_k]
+        row, column = np.repeat(np.arange(len(x)), first.shape[1]), first.ravel()
+        got = distance[row, column]
+        some = ~own[row, column]
+        row, column, got = row[some], column[some], got[some]
+        values = [asks.column(k).take(pa.array(row)) for k in names[:4]] + [peers.column(k).take(pa.array(column)) for k in ("player_id", "team_id")]
+        return pa.table([*values, pa.array(got)], names=names)
+
+    return cell
+
+
+@dataclass
+class Search:
+    """queries: a row for each spell and scenario with status, counts, x and scales s; near: ranked neighbours; members: the reference."""
+
+    queries: DataFrame
+    near: DataFrame
+    members: DataFrame
+    features: list[str]
+
+    def explained(self) -> DataFrame:
+        """A row per neighbour and active feature: differences, squared contribution and its share."""
+        q = self.queries.where("status = 'AVAILABLE'").select(*ENTITY, "x", "s")
+        p = self.members.select(*GROUP, F.col("player_id").alias("peer_id"), F.col("team_id").alias("peer_team"), F.col("x").alias("y"))
+        rows = self.near.join(q, ENTITY).join(p, [*GROUP, "peer_id", "peer_team"])
+        rows = rows.withColumn("metric", F.array(*map(F.lit, self.features)))
+        rows = rows.select(*ENTITY, "peer_id", "peer_team", "rank", "distance", F.explode(F.arrays_zip("metric", "x", "y", "s")).alias("f"))
+        rows = rows.select("*", F.col("f.metric").alias("metric"), F.col("f.x").alias("query_value"), F.col("f.y").alias("peer_value"), F.col("f.s").alias("scale")).drop("f").where("scale > 0")
+        z = (F.col("query_value") - F.col("peer_value")) / F.col("scale")
+        rows = rows.withColumns({"raw_difference": F.col("query_value") - F.col("peer_value"), "standardized": z, "contribution": z * z})
+        total = F.col("distance") * F.col("distance")
+        return rows.withColumn("share", F.when(total > 0, F.col("contribution") / total).otherwise(0.0))
+
+    def scaler(self) -> DataFrame:
+        """A row per query with enough peers and compared feature: centre, scale and status of the scale."""
+        rows = self.queries.where("status in ('AVAILABLE', 'NO_VARIABLE_FEATURES')").withColumn("metric", F.array(*map(F.lit, self.features)))
+        rows = rows.select(*ENTITY, F.explode(F.arrays_zip("metric", "used", "c", "s")).alias("f")).where("f.used")
+        return rows.select(*ENTITY, "f.metric", F.col("f.c").alias("centre"), F.col("f.s").alias("scale"), F.when(F.col("f.s") > 0, "ACTIVE").otherwise("ZERO_SCALE").alias("status"))
+
+
+def search(rows: DataFrame, features: list[str], *, top_k: int = S.TOP_K, min_peers: int = S.MIN_PEERS, block: int = BLOCK) -> Search:
+    """Neighbours of every row that may ask, in every scenario.
+
+    rows: scenario, robust, player_id, team_id, role, minutes, eligible, is_ref, x, used, applies (see `vectors`).
     """
-    refs = wide.where(F.col("is_ref") & complete(features) & (keep if keep is not None else F.lit(True)))
-    refs = refs.select("role", "player_id", "team_id", *features)
-    fit = scalers(refs, features, robust)
-    own = refs.select("role", "player_id", *[F.col(m).alias(f"{m}__own") for m in features], F.lit(True).alias("member"))
-    q = wide.join(own, ["role", "player_id"], "left").join(fit, "role", "left")
-    peers = F.coalesce(F.col("n"), F.lit(0)) - F.when(F.col("member"), 1).otherwise(0)
-    q = q.withColumn("peer_count", F.when(F.col("eligible") & complete(features), peers).otherwise(0))
-    q = q.withColumns({f"{m}__s": _scale(m, F.col(f"{m}__own"), robust) for m in features})
-    active = sum((F.when(F.col(f"{m}__s") > 0, 1).otherwise(0) for m in features), F.lit(0))
+    width = len(features)
+    rows = rows.withColumn("whole", _whole())
+    refs = rows.where(F.col("is_ref") & F.col("applies") & F.col("role").isNotNull())
+    members = refs.where("whole").select(*GROUP, "player_id", "team_id", "robust", "x", "used")
+    counts = refs.groupBy(*GROUP).agg(F.count("*").alias("refs"))
+    fit = counts.join(scalers(members, width), GROUP, "left")
+    own = refs.select(*GROUP, "player_id", F.col("whole").alias("member"), F.when(F.col("whole"), F.col("x")).alias("own"))
+    # a row for each scenario and role
+    q = rows.join(own, [*GROUP, "player_id"], "left").join(F.broadcast(fit), GROUP, "left")
+    asks = F.col("eligible") & F.col("whole") & F.col("applies")
+    peers = F.coalesce("n", F.lit(0)) - F.when(F.col("member"), 1).otherwise(0)
+    others = F.coalesce("refs", F.lit(0)) - F.when(F.col("member").isNotNull(), 1).otherwise(0)
+    place = F.sequence(F.lit(0), F.lit(width - 1))
+    of = lambda f, i: f(F.get("fit", i), F.get("own", i), F.col("robust"))
+    enough = asks & (peers >= min_peers)
+    q = q.withColumns({
+        "peer_count": F.when(asks, peers).otherwise(0).cast("long"),
+        "incomplete": F.when(asks, others - peers).otherwise(0).cast("long"),
+        "s": F.when(enough, F.transform(place, lambda i: F.when(F.get("used", i), of(scale, i)))),
+        "c": F.when(enough, F.transform(place, lambda i: F.when(F.get("used", i), of(centre, i)))),
+    })
+    active = F.coalesce(F.size(F.filter("s", lambda v: v > 0)), F.lit(0))
+    compared = F.size(F.filter("used", lambda u: u))
     status = (
         F.when(~F.col("eligible"), "INELIGIBLE_QUERY")
-        .when(~complete(features), "MISSING_QUERY_FEATURES")
+        .when(~F.col("applies"), "NOT_APPLICABLE")
+        .when(~F.col("whole"), "MISSING_QUERY_FEATURES")
         .when(F.col("peer_count") < min_peers, NO_PEERS)
-        .when(active == 0, "NO_VARIABLE_FEATURES")
+        .when(active <= 0, "NO_VARIABLE_FEATURES")
         .otherwise("AVAILABLE")
     )
-    q = q.withColumns({"status": status, "active": active})
-    ask = q.where("status = 'AVAILABLE'").select("role", "player_id", "team_id", *features, *[f"{m}__s" for m in features])
-    other = refs.select("role", F.col("player_id").alias("peer_id"), F.col("team_id").alias("peer_team"), *[F.col(m).alias(f"{m}__p") for m in features])
-    pairs = ask.join(other, "role").where(F.col("player_id") != F.col("peer_id"))
-    square = sum((F.coalesce(F.pow(F.try_divide(F.col(m) - F.col(f"{m}__p"), F.when(F.col(f"{m}__s") > 0, F.col(f"{m}__s"))), F.lit(2.0)), F.lit(0.0)) for m in features), F.lit(0.0))
-    found = pairs.withColumn("distance", F.sqrt(square))
-    near = top_of_each(found, ["role", "player_id", "team_id"], [F.col("distance"), F.col("peer_id"), F.col("peer_team")], top_k)
-    return q.select("player_id", "team_id", "role", "minutes", "status", "peer_count", "active"), near
-
-
-def explained(near: DataFrame, features: list[str]) -> DataFrame:
-    """A row per neighbour and active feature: differences, squared contribution and its share."""
-    parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("query_value"), F.col(f"{m}__p").alias("peer_value"), F.col(f"{m}__s").alias("scale")) for m in features])
-    rows = near.select("role", "player_id", "team_id", "peer_id", "peer_team", "rank", "distance", F.explode(parts).alias("f")).select("*", "f.*").drop("f").where("scale > 0")
-    z = (F.col("query_value") - F.col("peer_value")) / F.col("scale")
-    rows = rows.withColumns({"raw_difference": F.col("query_value") - F.col("peer_value"), "standardized": z, "contribution": z * z})
-    total = F.col("distance") * F.col("distance")
-    return rows.withColumn("share", F.when(total > 0, F.col("contribution") / total).otherwise(0.0))
+    q = q.withColumns({"active": F.greatest(active, F.lit(0)), "compared": compared}).withColumn("status", status)
+    good = F.col("status") == "AVAILABLE"
+    warnings = F.array_compact(F.array(
+        F.when(F.col("status").isin("AVAILABLE", "NO_VARIABLE_FEATURES") & (F.col("active") < F.col("compared")), F.lit("ZERO_SCALE_FEATURES_OMITTED")),
+        F.when(good & (F.col("peer_count") < top_k), F.lit("FEWER_NEIGHBORS_THAN_REQUESTED")),
+    ))
+    q = q.withColumn("warnings", warnings)
+    q = materialised(q.select(*ENTITY, "minutes", "status", "peer_count", "incomplete", "active", "warnings", "robust", "used", "x", "s", "c"), "queries")
+    members = materialised(members.select(*GROUP, "player_id", "team_id", "x"), "members")
+    # cells: a row for each scenario and role says how many blocks there are
+    sizes = q.where("status = 'AVAILABLE'").groupBy(*GROUP).agg(F.count("*").alias("nq"), F.max("peer_count").alias("np"))
+    sizes = sizes.select(*GROUP, F.ceil(F.col("nq") / block).cast("int").alias("qs"), F.ceil((F.col("np") + 1) / block).cast("int").alias("ps"))
+    deal = lambda n: F.pmod(F.xxhash64("player_id", "team_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    a = q.where("status = 'AVAILABLE'").join(F.broadcast(sizes), GROUP).withColumn("i", deal(F.col("qs"))).withColumn("j", each(F.col("ps"))).select(*ENTITY, "i", "j", "x", "s")
+    p = members.join(F.broadcast(sizes), GROUP).withColumn("j", deal(F.col("ps"))).withColumn("i", each(F.col("qs"))).select(*ENTITY, "i", "j", "x")
+    cell = [*GROUP, "i", "j"]
+    schema = "scenario string, role string, player_id long, team_id long, peer_id long, peer_team long, distance double"
+    found = a.groupBy(*cell).cogroup(p.groupBy(*cell)).applyInArrow(_nearest(top_k, width), schema)
+    near = top_of_each(found, ENTITY, [F.col("distance"), F.col("peer_id"), F.col("peer_team")], top_k)
+    return Search(q, materialised(near, "near"), members, features)
+
+
+def plain_rows(wide: DataFrame, features: list[str], robust: bool = False, keep: Column | None = None) -> DataFrame:
+    """Rows of one scenario without a name. keep restricts the reference entities."""
+    rows = vectors(wide, features).withColumns({"scenario": F.lit(""), "robust": F.lit(robust)})
+    return rows if keep is None else rows.withColumn("is_ref", F.col("is_ref") & keep)
+
+
+def neighbours(wide: DataFrame, features: list[str], *, robust: bool = False, top_k: int = S.TOP_K, min_peers: int = S.MIN_PEERS, keep: Column | None = None) -> Search:
+    """Search of every spell of wide (player_id, team_id, role, minutes, eligible, is_ref and the features)."""
+    return search(plain_rows(wide, features, robust, keep), features, top_k=top_k, min_peers=min_peers)
+
+
+def find_similar(wide: DataFrame, player_id: int, team_id: int, *, role: str | None = None, top_k: int = S.TOP_K, features: list[str] | None = None, scaling: str = "standard", min_peers: int = S.MIN_PEERS) -> DataFrame:
+    """One row: the search of one spell, with its scaler, warnings and neighbours.
+
+    Arguments that cannot be meant are errors: top_k outside 1 to 50, an unknown scaling, features that are none, repeated
+    or not configured for the role, an unknown or repeated spell, another role than the spell has.
+    """
+    if isinstance(top_k, bool) or not isinstance(top_k, int) or not 1 <= top_k <= 50:
+        raise ValueError("top_k must be an integer from 1 to 50")
+    if scaling not in ("standard", "robust"):
+        raise ValueError("scaling is standard or robust")
+    if wide.groupBy("player_id", "team_id").count().where("count > 1").limit(1).count():
+        raise ValueError("a spell has two profiles")
+    own = wide.where((F.col("player_id") == player_id) & (F.col("team_id") == team_id)).select("role").first()
+    if own is None:
+        raise ValueError("there is no such spell")
+    if role is not None and role != own["role"]:
+        raise ValueError("the spell has another role")
+    every = [m for m in S.FEATURES if own["role"] != "GK" or m in S.KEEPER_FEATURES] if own["role"] else []
+    chosen = every if features is None else list(features)
+    if features is not None and (not chosen or len(set(chosen)) < len(chosen) or not set(chosen) <= set(every)):
+        raise ValueError("features must be a nonempty subset of those of the role")
+    rows = vectors(wide, S.FEATURES, F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")).withColumn("applies", F.lit(True))
+    me = (F.col("player_id") == player_id) & (F.col("team_id") == team_id)
+    # only this spell asks; without a role it has no peers
+    rows = rows.where(me | (F.col("is_ref") & F.col("role").eqNullSafe(F.lit(own["role"])))).withColumn("eligible", me & F.col("eligible"))
+    rows = rows.withColumns({"scenario": F.lit(""), "robust": F.lit(scaling == "robust"), "role": F.coalesce("role", F.lit("-"))})
+    found = search(rows, S.FEATURES, top_k=top_k, min_peers=min_peers)
+    near = found.explained().where(me).groupBy("peer_id", "peer_team", "rank", "distance").agg(F.array_sort(F.collect_list(F.struct("metric", "query_value", "peer_value", "raw_difference", "standardized", "contribution", "share"))).alias("differences"))
+    by = lambda sign: F.slice(F.transform(F.array_sort(F.transform("differences", lambda d: F.struct((sign * F.abs(d["standardized"])).alias("z"), d["metric"].alias("metric")))), lambda d: d["metric"]), 1, 3)
+    near = near.select("rank", "peer_id", "peer_team", "distance", (100 / (1 + F.col("distance"))).alias("score"), "differences", by(1).alias("key_similarities"), by(-1).alias("key_differences"))
+    # at most top_k neighbours
+    near = near.agg(F.array_sort(F.collect_list(F.struct(*near.columns))).alias("neighbours"))
+    scales = found.scaler().where(me).agg(F.array_sort(F.collect_list(F.struct("metric", "centre", "scale", "status"))).alias("scaler"))
+    one = found.queries.where(me).select("player_id", "team_id", F.lit(own["role"]).alias("role"), "status", "peer_count", "incomplete", "warnings")
+    return one.join(scales).join(near)

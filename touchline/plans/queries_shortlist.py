@@ -10,6 +10,7 @@ from ..functions.scalars import eligibility_at, hash_bucket, point, retained
 from ..operators import profiles as P
 from ..operators import ranking as R
 from ..operators import similarity as Sim
+from ..operators.order import order_statistics
 from ..sources.shared import materialised
 from .cohort import SPELL, Cohort, cohort_sql
 
@@ -72,8 +73,17 @@ def scaler_standard(c):
 
 @query("select role, metric, round(quantile_cont(v, 0.5), 6) as centre, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) as scale from long where is_ref and v is not null group by all", BASE)
 def scaler_robust(c):
-    rows = c.long.where("is_ref and v is not null")
-    return rows.groupBy("role", "metric").agg(point(F.percentile("v", F.lit(0.5))).alias("centre"), point(F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("scale"))
+    """Quartiles by selection: only the buckets of values that hold them are sorted."""
+    rows = c.long.where("is_ref and v is not null and role is not null")
+    floor = lambda n, q, d: F.least(F.floor((n - 1) * q).cast("long") + d, n - 1)
+    got = order_statistics(rows, ["role", "metric"], "v", lambda n: F.array_distinct(F.array(*[floor(n, q, d) for q in (0.25, 0.5, 0.75) for d in (0, 1)])))
+
+    def quantile(q):
+        low = floor(F.col("n"), q, 0).cast("int")
+        a, b = F.element_at("at", low), F.element_at("at", F.least(low + 1, F.col("n") - 1).cast("int"))
+        return a + (b - a) * ((F.col("n") - 1) * q - low)
+
+    return got.select("role", "metric", point(quantile(0.5)).alias("centre"), point(quantile(0.75) - quantile(0.25)).alias("scale"))
 
 
 @query("select q.player_id, q.team_id, count(*) as peers from wide q join wide p on p.role = q.role and p.is_ref and p.player_id <> q.player_id where q.eligible group by all", BASE)
@@ -88,19 +98,48 @@ def peer_pairs(c):
 
 @query("select player_id, team_id, rank, peer_id, peer_team, round(distance, 6) as distance, round(100 / (1 + distance), 6) as score from near", SIM)
 def neighbors(c):
-    near = Sim.neighbours(_wide(c), FEATS)[1]
+    near = Sim.neighbours(_wide(c), FEATS).near
     return near.select(*SPELL, "rank", "peer_id", "peer_team", point(F.col("distance")).alias("distance"), point(100 / (1 + F.col("distance"))).alias("score"))
 
 
 @query("select player_id, team_id, status, case when status in ('AVAILABLE', 'INSUFFICIENT_PEERS', 'NO_VARIABLE_FEATURES') then peer_count else 0 end as peer_count from near_q", SIM)
 def similarity_status(c):
-    return Sim.neighbours(_wide(c), FEATS)[0].select(*SPELL, "status", "peer_count")
+    return Sim.neighbours(_wide(c), FEATS).queries.select(*SPELL, "status", "peer_count")
+
+
+@query(f"""select q.player_id, q.team_id, q.status, q.peer_count, q.incomplete,
+  concat_ws(',', case when q.status in ('AVAILABLE', 'NO_VARIABLE_FEATURES') and active < {len(FEATS)} then 'ZERO_SCALE_FEATURES_OMITTED' end, case when q.status = 'AVAILABLE' and q.peer_count < {S.TOP_K} then 'FEWER_NEIGHBORS_THAN_REQUESTED' end) as warnings
+from (select q.*, case when q.status in ('INELIGIBLE_QUERY', 'MISSING_QUERY_FEATURES') then 0 else (select count(*) from wide r where r.is_ref and r.role = q.role and r.player_id <> q.player_id) - peer_count end as incomplete from (
+  select * exclude (peer_count), case when status in ('INELIGIBLE_QUERY', 'MISSING_QUERY_FEATURES') then 0 else peer_count end as peer_count from near_q) q) q""", SIM)
+def similarity_report(c):
+    """Peers used and left out, and the warnings, of every search."""
+    return Sim.neighbours(_wide(c), FEATS).queries.select(*SPELL, "status", "peer_count", "incomplete", F.array_join("warnings", ",").alias("warnings"))
+
+
+def _scaler_sql(robust: bool) -> str:
+    rows = []
+    for m in FEATS:
+        centre, spread = (f"median(p.{m})", f"quantile_cont(p.{m}, 0.75) - quantile_cont(p.{m}, 0.25)") if robust else (f"avg(p.{m})", f"stddev_pop(p.{m})")
+        rows.append(f"select q.player_id, q.team_id, '{m}' as metric, round({centre}, 6) as centre, round(case when min(p.{m}) = max(p.{m}) then 0 else {spread} end, 6) as scale from near_q q join near_p p on p.role = q.role and p.player_id <> q.player_id where q.status in ('AVAILABLE', 'NO_VARIABLE_FEATURES') group by all")
+    return f"select *, case when scale > 0 then 'ACTIVE' else 'ZERO_SCALE' end as status from ({' union all '.join(rows)}) x"
+
+
+@query(_scaler_sql(False), SIM)
+def search_scaler(c):
+    """The scaler of every search, fitted without its own entity."""
+    return Sim.neighbours(_wide(c), FEATS).scaler().select(*SPELL, "metric", point(F.col("centre")).alias("centre"), point(F.col("scale")).alias("scale"), "status")
+
+
+@query(_scaler_sql(True), SIM)
+def search_scaler_robust(c):
+    return Sim.neighbours(_wide(c), FEATS, robust=True).scaler().select(*SPELL, "metric", point(F.col("centre")).alias("centre"), point(F.col("scale")).alias("scale"), "status")
 
 
 @query("""select q.player_id, q.team_id, q.status, count(n.rank) as returned, max(n.peer_id) filter (where n.rank = 1) as closest
 from near_q q left join near n on q.player_id = n.player_id and q.team_id = n.team_id group by all""", SIM)
 def similarity_batch(c):
-    q, near = Sim.neighbours(_wide(c), FEATS)
+    found = Sim.neighbours(_wide(c), FEATS)
+    q, near = found.queries, found.near
     each = near.groupBy(*SPELL).agg(F.count("*").alias("returned"), F.max(F.when(F.col("rank") == 1, F.col("peer_id"))).alias("closest"))
     return q.join(each, SPELL, "left").select(*SPELL, "status", F.coalesce("returned", F.lit(0)).alias("returned"), "closest")
 
@@ -111,8 +150,7 @@ _EXPLODE = " union all ".join(f"select role, player_id, team_id, peer_id, rank,
 @query(f"""select player_id, team_id, peer_id, rank, metric, round(raw, 6) as raw_difference, round(z, 6) as standardized, round(case when distance > 0 then z * z / (distance * distance) else 0 end, 6) as share,
   row_number() over (partition by player_id, team_id, rank order by round(abs(z), 9), metric) as similar_rank from ({_EXPLODE}) x where rank <= 2""", SIM)
 def neighbor_explain(c):
-    near = Sim.neighbours(_wide(c), FEATS)[1].where("rank <= 2")
-    rows = Sim.explained(near, FEATS)
+    rows = Sim.neighbours(_wide(c), FEATS).explained().where("rank <= 2")
     w = Window.partitionBy(*SPELL, "rank").orderBy(F.round(F.abs("standardized"), 9), "metric")
     rows = rows.withColumn("similar_rank", F.row_number().over(w))
     return rows.select(*SPELL, "peer_id", "rank", "metric", point(F.col("raw_difference")).alias("raw_difference"), point(F.col("standardized")).alias("standardized"), point(F.col("share")).alias("share"), "similar_rank")
@@ -123,10 +161,9 @@ def neighbor_explain(c):
     row_number() over (partition by player_id, team_id, rank order by round(abs(z), 9) desc, metric) as different_rank from ({_EXPLODE}) x) y where similar_rank <= 3 or different_rank <= 3""", SIM)
 def neighbor_highlights(c):
     """Key similarities and key differences of every neighbour."""
-    near = Sim.neighbours(_wide(c), FEATS)[1]
     size = F.round(F.abs("standardized"), 9)
     w = Window.partitionBy(*SPELL, "rank")
-    rows = Sim.explained(near, FEATS).withColumns({"similar_rank": F.row_number().over(w.orderBy(size, "metric")), "different_rank": F.row_number().over(w.orderBy(size.desc(), "metric"))})
+    rows = Sim.neighbours(_wide(c), FEATS).explained().withColumns({"similar_rank": F.row_number().over(w.orderBy(size, "metric")), "different_rank": F.row_number().over(w.orderBy(size.desc(), "metric"))})
     rows = rows.where("similar_rank <= 3 or different_rank <= 3")
     return rows.select(*SPELL, "peer_id", "rank", "metric", point(F.col("raw_difference")).alias("raw_difference"), point(F.col("standardized")).alias("standardized"), "similar_rank", "different_rank")
 
@@ -134,7 +171,8 @@ def neighbor_highlights(c):
 @query("""select role, player_id, team_id, peer_id from (
   select *, row_number() over (partition by role order by minutes desc, player_id desc) as rn from near where rank = 1) x where rn = 1""", SIM)
 def sanity_cases(c):
-    q, near = Sim.neighbours(_wide(c), FEATS)
+    found = Sim.neighbours(_wide(c), FEATS)
+    q, near = found.queries, found.near
     best = q.where("status = 'AVAILABLE'").groupBy("role").agg(F.max_by(F.struct(*SPELL), F.struct("minutes", "player_id")).alias("b")).select("role", "b.*")
     return best.join(near.where("rank = 1").select("role", *SPELL, "peer_id"), ["role", *SPELL])
 
@@ -143,7 +181,8 @@ def sanity_cases(c):
   select *, row_number() over (partition by least(player_id, peer_id), greatest(player_id, peer_id) order by minutes desc, player_id, team_id) as rn, least(player_id, peer_id) as a, greatest(player_id, peer_id) as b
   from near where rank = 1) x where rn = 1) y where place <= 5""", SIM)
 def pair_sample(c):
-    q, near = Sim.neighbours(_wide(c), FEATS)
+    found = Sim.neighbours(_wide(c), FEATS)
+    q, near = found.queries, found.near
     rows = near.where("rank = 1").join(q.select(*SPELL, "minutes"), SPELL)
     rows = rows.withColumns({"a": F.least("player_id", "peer_id"), "b": F.greatest("player_id", "peer_id")})
     first = P.top_of_each(rows, ["a", "b"], [F.desc("minutes"), F.col("player_id"), F.col("team_id")], 1, "rn")
@@ -162,25 +201,39 @@ def compare_entities(c):
 # --- similarity scenarios ------------------------------------------------------------------------------
 
 
-def _overlap(base, variant, keys):
-    """Share of the first five of base that variant keeps, where variant is available."""
-    five = lambda d, name: d.where("rank <= 5").groupBy(*keys).agg(F.collect_set("peer_id").alias(name))
-    both = five(base, "old").join(five(variant, "new"), keys)
-    return both.withColumn("overlap", F.size(F.array_intersect("old", "new")) / F.size("old"))
+#: (name, robust scaling, minutes from which a spell is eligible, features left out, reference thinned)
+SCENARIOS = [
+    ("baseline", False, None, [], False),
+    ("robust_scaling", True, None, [], False),
+    *[(f"minimum_minutes_{int(m)}", False, m, [], False) for m in (300.0, 600.0)],
+    *[(name, False, None, gone, False) for name, gone in S.ABLATIONS.items()],
+    ("reference_subsample_80_percent", False, None, [], True),
+]
+
+
+def _scenario_rows(c: Cohort, scenarios):
+    """Every spell under every scenario: its flags and features there."""
+    wide = _wide(c).join(c.spells.select(*SPELL, "reasons"), SPELL)
+    chosen = lambda gone: F.array(*[F.lit(m) for m in FEATS if m not in gone])
+    each = [F.struct(F.lit(n).alias("scenario"), F.lit(r).alias("robust"), F.lit(m).cast("double").alias("limit"), chosen(g).alias("chosen"), F.lit(t).alias("thinned")) for n, r, m, g, t in scenarios]
+    rows = wide.drop("eligible", "is_ref").withColumn("sc", F.explode(F.array(*each))).select("*", "sc.*").drop("sc")
+    reasons = F.when(F.col("limit").isNull(), F.col("reasons")).otherwise(eligibility_at(F.col("reasons"), F.col("minutes"), F.col("limit")))
+    rows = P.longest_spell(rows.withColumn("eligible", F.size(reasons) == 0), ("scenario",))
+    kept = ~F.col("thinned") | (hash_bucket(F.col("player_id").cast("string"), 5) != 0)
+    return Sim.vectors(rows.withColumn("is_ref", F.col("is_ref") & kept), FEATS, F.col("chosen"))
+
+
+def _overlaps(found, base: str = "baseline"):
+    """A row per scenario and query that the baseline answers: status there, and the share of its first five kept (NULL where not available)."""
+    five = found.near.where("rank <= 5").groupBy("scenario", "role", *SPELL).agg(F.collect_set("peer_id").alias("five"))
+    old = five.where(F.col("scenario") == base).select(*SPELL, F.col("five").alias("old"))
+    rows = found.queries.where(F.col("scenario") != base).select("scenario", "role", *SPELL, "status").join(old, SPELL)
+    rows = rows.join(five.where(F.col("scenario") != base), ["scenario", "role", *SPELL], "left")
+    return rows.withColumn("overlap", F.when(F.col("status") == "AVAILABLE", F.size(F.array_intersect("old", "five")) / F.size("old")))
 
 
-def _scenarios(c: Cohort):
-    wide = _wide(c)
-    yield "robust_scaling", Sim.neighbours(wide, FEATS, robust=True)[1]
-    for limit in (300.0, 600.0):
-        changed = c.spells.withColumn("reasons", eligibility_at(F.col("reasons"), F.col("minutes"), limit))
-        changed = P.longest_spell(changed.withColumn("eligible", F.size("reasons") == 0))
-        flags = changed.select(*SPELL, "eligible", "is_ref")
-        yield f"minimum_minutes_{int(limit)}", Sim.neighbours(wide.drop("eligible", "is_ref").join(flags, SPELL), FEATS)[1]
-    for name, gone in S.ABLATIONS.items():
-        yield name, Sim.neighbours(wide, [m for m in FEATS if m not in gone])[1]
-    keep = hash_bucket(F.col("player_id").cast("string"), 5) != 0
-    yield "reference_subsample_80_percent", Sim.neighbours(wide, FEATS, keep=keep)[1]
+def _distribution(column: str, name: str):
+    return [point(f(column)).alias(f"{p}_{name}") for p, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
 
 
 _KEPT5 = "cast(('0x' || substr(sha256(cast(p.player_id as varchar)), 1, 8)) as bigint) % 5 <> 0"
@@ -208,25 +261,26 @@ def _overlap_sql(base: str, variant: str, keys: str = "player_id, team_id") -> s
   (select {keys}, list(distinct peer_id) as l from {base} where rank <= 5 group by all) a join (select {keys}, list(distinct peer_id) as l from {variant} where rank <= 5 group by all) b on {on}"""
 
 
-_SUMMARY = " union all ".join(f"select '{n}' as scenario, count(*) as available, round(avg(overlap), 6) as mean_overlap from ({_overlap_sql('near', t)}) x" for n, t in _TABLES.items())
+def _summary_sql(name: str, table: str) -> str:
+    """Ablations do not apply to keepers: theirs leave nothing, or all of their features."""
+    out = "role = 'GK'" if name in S.ABLATIONS else "false"
+    return f"""select '{name}' as scenario, (select count(*) from near_q where status = 'AVAILABLE' and not coalesce({out}, false)) as evaluated,
+  (select count(*) from near_q where status = 'AVAILABLE' and coalesce({out}, false)) as not_applicable,
+  count(*) as available, round(avg(overlap), 6) as mean_overlap, round(min(overlap), 6) as min_overlap, round(max(overlap), 6) as max_overlap from ({_overlap_sql('near', table)}) x"""
 
 
-@query(_SUMMARY, SIM + "".join(_VARIANTS.values()))
+@query(" union all ".join(_summary_sql(n, t) for n, t in _TABLES.items()), SIM + "".join(_VARIANTS.values()))
 def similarity_sensitivity(c):
-    base = materialised(Sim.neighbours(_wide(c), FEATS)[1], "base")
-    out = None
-    for name, variant in _scenarios(c):
-        # each scenario is a job of its own; one plan of all would be too large to compile
-        row = _overlap(base, materialised(variant.where("rank <= 5"), "scenario"), SPELL).agg(F.lit(name).alias("scenario"), F.count("*").alias("available"), point(F.avg("overlap")).alias("mean_overlap"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """All scenarios in one plan."""
+    rows = _overlaps(Sim.search(_scenario_rows(c, SCENARIOS), FEATS)).groupBy("scenario")
+    other = F.col("status") == "NOT_APPLICABLE"
+    return rows.agg(F.count_if(~other).alias("evaluated"), F.count_if(other).alias("not_applicable"), F.count("overlap").alias("available"), *_distribution("overlap", "overlap"))
 
 
 @query(f"select player_id, team_id, round(overlap, 6) as overlap from ({_overlap_sql('near', 'v_robust')}) x", SIM + similarity_sql("v_robust", robust=True))
 def topk_overlap(c):
-    wide = _wide(c)
-    base, variant = Sim.neighbours(wide, FEATS)[1], Sim.neighbours(wide, FEATS, robust=True)[1]
-    return _overlap(base, variant, SPELL).select(*SPELL, point(F.col("overlap")).alias("overlap"))
+    found = Sim.search(_scenario_rows(c, SCENARIOS[:2]), FEATS)
+    return _overlaps(found).where("overlap is not null").select(*SPELL, point(F.col("overlap")).alias("overlap"))
 
 
 REPLICATES = 3
@@ -246,7 +300,7 @@ _WIDE_REP = f""",
 wide_rep as (select * exclude (role, is_ref), role || '#' || rep as role, is_ref and {_KEPT} as is_ref from wide, {_REP} r where role is not null)"""
 
 
-@query(f"""select split_part(b.role, '#', 1) as role, cast(split_part(b.role, '#', 2) as int) as rep, count(*) as available, round(avg(len(list_intersect(a.l, b.l))::double / len(a.l)), 6) as mean_overlap
+@query(f"""select split_part(b.role, '#', 1) as role, cast(split_part(b.role, '#', 2) as int) as rep, count(*) as available, {", ".join(f"round({f}(len(list_intersect(a.l, b.l))::double / len(a.l)), 6) as {n}_overlap" for n, f in (("mean", "avg"), ("min", "min"), ("max", "max")))}
 from (select player_id, team_id, list(distinct peer_id) as l from near where rank <= 5 group by all) a
 join (select role, player_id, team_id, list(distinct peer_id) as l from near_rep where rank <= 5 group by all) b on a.player_id = b.player_id and a.team_id = b.team_id group by all""",
        SIM + _WIDE_REP + similarity_sql("near_rep", wide="wide_rep"))
@@ -255,16 +309,13 @@ def similarity_stability(c):
 
 
 def _similarity_stability(c, count: int):
-    wide = _wide(c)
-    base = Sim.neighbours(wide, FEATS)[1]
-    rep = _replicated(wide.where("role is not null"), count)
-    rep = rep.withColumns({"role": F.concat_ws("#", "role", "rep"), "is_ref": F.col("is_ref") & F.col("kept")})
-    near = Sim.neighbours(rep, FEATS)[1]
-    old = base.where("rank <= 5").groupBy(*SPELL).agg(F.collect_set("peer_id").alias("old"))
-    new = near.where("rank <= 5").groupBy("role", *SPELL).agg(F.collect_set("peer_id").alias("new"))
-    both = new.join(old, SPELL).withColumn("overlap", F.size(F.array_intersect("old", "new")) / F.size("old"))
-    part = F.split("role", "#")
-    return both.groupBy(F.get(part, F.lit(0)).alias("role"), F.get(part, F.lit(1)).cast("int").alias("rep")).agg(F.count("*").alias("available"), point(F.avg("overlap")).alias("mean_overlap"))
+    """The whole reference and every thinned one, as scenarios of one search."""
+    wide = _wide(c).where("role is not null").withColumn("rep", F.explode(F.array(F.lit(None).cast("int"), *map(F.lit, range(count)))))
+    kept = F.col("rep").isNull() | retained(F.col("player_id"), F.col("rep"))
+    rows = Sim.vectors(wide.withColumn("is_ref", F.col("is_ref") & kept), FEATS)
+    rows = rows.withColumns({"scenario": F.coalesce(F.col("rep").cast("string"), F.lit("baseline")), "robust": F.lit(False)})
+    rows = _overlaps(Sim.search(rows, FEATS)).where("overlap is not null")
+    return rows.groupBy("role", F.col("scenario").cast("int").alias("rep")).agg(F.count("*").alias("available"), *_distribution("overlap", "overlap"))
 
 
 @query(ORACLE["similarity_stability"].replace(_REP, _WHOLE_REP), "")
@@ -309,13 +360,13 @@ _REQ = requirement_sql("req", _requirements())
 RANK = cohort_sql() + _REQ + ranking_sql("ranked", "req")
 
 
-def _ranked(c, rows=None, long=None):
-    return R.ranked(c.long if long is None else long, R.requirement_table(c.spark, rows or _requirements()))
+def _ranked(c, rows=None, long=None, cut=False):
+    return R.ranked(c.long if long is None else long, R.requirement_table(c.spark, rows or _requirements()), cut=cut)
 
 
 @query("select set_ as requirement, player_id, team_id, rank, round(score, 6) as score from ranked where rank <= top_k", RANK)
 def requirement_ranking(c):
-    return _ranked(c)[1].where("rank <= top_k").select(F.col("set").alias("requirement"), *SPELL, "rank", point(F.col("score")).alias("score"))
+    return _ranked(c, cut=True)[1].select(F.col("set").alias("requirement"), *SPELL, "rank", point(F.col("score")).alias("score"))
 
 
 @query("select set_ as requirement, role, status, peer_count, candidate_count from ranked_status", RANK)
@@ -323,6 +374,11 @@ def ranking_status(c):
     return _ranked(c)[0].select(F.col("set").alias("requirement"), "role", "status", "peer_count", "candidate_count")
 
 
+@query("select set_ as requirement, status, case when status in ('AVAILABLE', 'NO_CANDIDATES') and candidate_count < top_k then 'FEWER_CANDIDATES_THAN_REQUESTED' else '' end as warnings from ranked_status", RANK)
+def ranking_warnings(c):
+    return _ranked(c)[0].select(F.col("set").alias("requirement"), "status", F.array_join("warnings", ",").alias("warnings"))
+
+
 @query("""select s.set_ as requirement, s.status, least(candidate_count, s.top_k) as returned, candidate_count < s.top_k and s.status = 'AVAILABLE' as fewer, max(player_id) filter (where rank = 1) as first
 from ranked_status s left join ranked r on s.set_ = r.set_ group by all""", RANK)
 def requirement_batch(c):
@@ -332,10 +388,18 @@ def requirement_batch(c):
     return status.join(first, "set", "left").select(F.col("set").alias("requirement"), "status", F.least("candidate_count", "top_k").alias("returned"), fewer.alias("fewer"), "first")
 
 
-@query("select set_ as requirement, player_id, team_id, metric, round(v, 6) as v, round(percentile, 6) as percentile, round(weight, 9) as weight, round(weight * percentile, 6) as contribution from ranked_parts where complete", RANK)
+_LOWER = ", ".join(f"'{m}'" for m in S.LOWER_IS_BETTER)
+_UNITS = f"case when p.metric in ({', '.join(repr(m) for m in S.PERCENTAGES)}) then 'percent' when p.metric in ({', '.join(repr(m) for m in S.MEANS)}) then 'mean' else 'per90' end"
+
+
+@query(f"""select set_ as requirement, p.player_id, p.team_id, p.metric, round(p.v, 6) as v, {_UNITS} as unit, case when p.metric in ({_LOWER}) then 'lower' else 'higher' end as direction, round(s.coverage, 6) as coverage,
+  round(percentile, 6) as percentile, round(weight, 9) as weight, round(weight * percentile, 6) as contribution
+from ranked_parts p join season s on s.player_id = p.player_id and s.team_id = p.team_id and s.metric = p.metric where complete""", RANK)
 def ranking_components(c):
     rows = R.components(c.long, R.requirement_table(c.spark, _requirements())).where("complete")
-    return rows.select(F.col("set").alias("requirement"), *SPELL, "metric", point(F.col("v")).alias("v"), point(F.col("percentile")).alias("percentile"), F.round("weight", 9).alias("weight"), point(F.col("contribution")).alias("contribution"))
+    unit = F.when(F.col("metric").isin(S.PERCENTAGES), "percent").when(F.col("metric").isin(S.MEANS), "mean").otherwise("per90")
+    rows = rows.withColumns({"unit": unit, "direction": F.when(F.col("metric").isin(S.LOWER_IS_BETTER), "lower").otherwise("higher"), "coverage": point(F.col("coverage"))})
+    return rows.select("unit", "direction", "coverage", F.col("set").alias("requirement"), *SPELL, "metric", point(F.col("v")).alias("v"), point(F.col("percentile")).alias("percentile"), F.round("weight", 9).alias("weight"), point(F.col("contribution")).alias("contribution"))
 
 
 @query("""select set_ as requirement, player_id, team_id, metric, reason_rank, weak_rank from (
@@ -395,7 +459,7 @@ _THREE = [
 
 @query("select set_ as variant, player_id, team_id, rank from varied where rank <= top_k", cohort_sql() + requirement_sql("req3", _THREE) + ranking_sql("varied", "req3"))
 def requirement_variants(c):
-    return _ranked(c, _THREE)[1].where("rank <= top_k").select(F.col("set").alias("variant"), *SPELL, "rank")
+    return _ranked(c, _THREE, cut=True)[1].select(F.col("set").alias("variant"), *SPELL, "rank")
 
 
 _LONG_REP = f""",
@@ -435,7 +499,7 @@ def ranking_stability_20(c):
 @query("""select (select count(*) from near where peer_id = player_id) as self_neighbours, (select count(*) from ranked where score < 0 or score > 100) as outside,
   (select count(*) from (select set_, player_id, team_id from ranked group by all having count(*) > 1) x) as repeated""", SIM + _REQ + ranking_sql("ranked", "req"))
 def result_audit(c):
-    near, rows = Sim.neighbours(_wide(c), FEATS)[1], _ranked(c)[1]
+    near, rows = Sim.neighbours(_wide(c), FEATS).near, _ranked(c)[1]
     a = near.agg(F.count_if(F.col("peer_id") == F.col("player_id")).alias("self_neighbours"))
     b = rows.agg(F.count_if((F.col("score") < 0) | (F.col("score") > 100)).alias("outside"))
     d = rows.groupBy("set", *SPELL).agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
