@@ -16,7 +16,8 @@ that each row gets a key of its own, so equal ids stay apart.
 Defined cases: null texts have no words and no hits; an item without words has no window; windows
 shared by several items count for each of them; overlapping spans are merged; repeated rows, and rows of one
 id with unlike texts, give a result each; very long texts are a shard of their own; an empty benchmark or
-table gives no hits or no rows; other columns are kept by `clean`, whatever their names, and dropped by `find`.
+table gives no hits or no rows; an item without an id cannot be named, so its windows count as hits but it is
+not among the items; other columns are kept by `clean`, whatever their names, and dropped by `find`.
 """
 
 from __future__ import annotations
@@ -134,7 +135,10 @@ class Phrases:
         if len(rows):
             self.rows, first, phrase = np.unique(rows, axis=0, return_index=True, return_inverse=True)
             self.size = size[first]
-            pair = np.unique(np.stack((phrase.reshape(-1), np.array([i for i, _ in items], dtype=np.int64)[owner]), axis=1), axis=0)
+            # an item without an id has windows, but cannot be named
+            named = np.array([i is not None for i, _ in items])[owner]
+            number = np.array([i or 0 for i, _ in items], dtype=np.int64)[owner]
+            pair = np.unique(np.stack((phrase.reshape(-1)[named], number[named]), axis=1), axis=0)
             self.item_ids, self.item_offs = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(self.rows) + 1))
         else:
             self.rows, self.size, self.item_ids, self.item_offs = rows, size, np.zeros(0, np.int64), np.zeros(1, np.int64)

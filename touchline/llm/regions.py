@@ -13,8 +13,9 @@ pick form a region. All that two documents can share is then decided among regio
    index that the caller provides; a shard of more than MAX_INDEXED distinct regions is split further, to
    shards of one window each (anchor, window hash), for which equal keys are equal windows.
 
-A document is known by its id and a hash of its text, so rows of one id with unlike texts stay apart. A
-document without an id counts as one with the largest id.
+A document is known by its id and two 64-bit hashes of its text, so rows of one id with unlike texts stay
+apart. A document without an id counts as one with the largest id. Rows of one id and text are one document
+with a number of copies: each of its regions is one row with that number, and its text is fetched once.
 
 No key stands for more than its equal regions or windows, groups are aggregated before and after the
 shuffle, and joins on a hot anchor are ordinary sort-merge joins that adaptive execution can split.
@@ -149,16 +150,16 @@ def regions(symbols: np.ndarray, first: np.ndarray, levels, size: int):
 
 
 #: What a document is known by.
-OWN = ["doc", "twin"]
+OWN = ["doc", "twin", "other"]
 
 
 def known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:
-    """Columns (doc, twin): the id, or the largest long without one, and a hash that tells texts of one id apart."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(text).alias("twin")]
+    """Columns (doc, twin, other): the id, or the largest long without one, and hashes that tell texts of one id apart."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("twin"), F.xxhash64(F.lit(7), F.col(text)).alias("other")]
 
 
 def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, indexed=None) -> DataFrame:
-    """(doc, twin, start, end): places of repeated windows of docs (doc_id long, text), by words or bytes.
+    """(doc, twin, other, start, end): places of repeated windows of docs (doc_id long, text), by words or bytes.
 
     parse(chunk) gives (symbols, offsets of documents in them, levels). keep_first: a window repeats when
     a document with a smaller id has it; else when it starts anywhere else. indexed(rows) compares the
@@ -168,25 +169,27 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
 
     def emit(batches):
         for batch in batches:
-            ids, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for c in chunks(batch.column(2)):
+            own = [batch.column(i).to_numpy() for i in range(3)]
+            for c in chunks(batch.column(3)):
                 doc, at, n, key, content, times = regions(*parse(c), size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array(signed(content)), pa.array(ids[c.first + doc]), pa.array(twin[c.first + doc]), *[pa.array(x.astype(np.int32)) for x in (at, n, times)]],
+                    [pa.array(signed(key)), pa.array(signed(content)), *[pa.array(x[c.first + doc]) for x in own], *[pa.array(x.astype(np.int32)) for x in (at, n, times)]],
                     names=["anchor", "region", *OWN, "at", "n", "times"],
                 )
 
-    rows = shared_table(docs.mapInArrow(emit, "anchor long, region long, doc long, twin int, at int, n int, times int"), f"{unit}-regions")
+    rows = shared_table(docs.mapInArrow(emit, "anchor long, region long, doc long, twin long, other long, at int, n int, times int"), f"{unit}-regions")
     if keep_first:
         often = rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     else:
         often = rows.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1")
     # a table of its own, so that both sides of the join are plain exchanges, which can be split when skewed
     often = shared_table(often.select("anchor"), f"{unit}-often")
-    every, rows = rows, shared_table(rows.join(often, "anchor"), f"{unit}-shared")
+    # what copies of one document share row by row is one row
+    one = rows.join(often, "anchor").groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    every, rows = rows, shared_table(one, f"{unit}-shared")
     discard(every)
     own = F.min(F.struct(*OWN, "at", "n")).alias("own")
-    distinct = shared_table(rows.groupBy("anchor", "region").agg(own, F.sum("times").alias("c")), f"{unit}-distinct")
+    distinct = shared_table(rows.groupBy("anchor", "region").agg(own, F.sum(F.col("times") * F.col("copies")).alias("c")), f"{unit}-distinct")
     several = shared_table(distinct.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), f"{unit}-several")
     # equal regions, as a whole
     if keep_first:
@@ -195,19 +198,19 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
         query = query.join(several, "anchor").select("anchor", *OWN, "at", "n", "k", F.lit(True).alias("ask"), (F.col("n") * (F.col("times") - 1)).alias("reach"))
     else:
         equal = rows.join(distinct.where("c > 1").select("anchor", "region"), ["anchor", "region"])
-        query = distinct.join(several, "anchor").select("anchor", "own.doc", "own.twin", "own.at", "own.n", "k", (F.col("c") == 1).alias("ask"), F.lit(0).alias("reach"))
+        query = distinct.join(several, "anchor").select("anchor", *[f"own.{k}" for k in OWN], "own.at", "own.n", "k", (F.col("c") == 1).alias("ask"), F.lit(0).alias("reach"))
     spans = equal.select(*OWN, F.col("at").alias("start"), (F.col("at") + F.col("n") * F.col("times") - 1 + size).alias("end"))
     # the windows of distinct regions
     query = shared_table(query, f"{unit}-query")
     places = query.groupBy(*OWN).agg(F.collect_list(F.struct("anchor", "at", "n", "k", "ask", "reach")).alias("places"))
-    text = docs.join(places, OWN).select(*OWN, "text", "places")
+    text = docs.groupBy(*OWN).agg(F.first("text").alias("text")).join(places, OWN).select(*OWN, "text", "places")
     limit = MAX_INDEXED if indexed else 0
 
     def fetch(batches):
         for batch in batches:
-            ids, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(3)
-            for c in chunks(batch.column(2)):
+            own = [batch.column(i).to_numpy() for i in range(3)]
+            lists = batch.column(4)
+            for c in chunks(batch.column(3)):
                 symbols, first, _ = parse(c)
                 hashes = window_hash(symbols, size, 1)
                 part = lists.slice(c.first, c.n)
@@ -227,8 +230,7 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate((anchor[few], anchor[pick]))),
-                        pa.array(ids[row]),
-                        pa.array(twin[row]),
+                        *[pa.array(x[row]) for x in own],
                         pa.array(np.concatenate((at[few], at[pick] + step)).astype(np.int32)),
                         pa.array(np.concatenate((ask[few], ask[pick])).astype(bool)),
                         pa.array(np.concatenate((reach[few], reach[pick])).astype(np.int32)),
@@ -238,7 +240,7 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
                     names=["anchor", *OWN, "at", "ask", "reach", "hash", "content"],
                 )
 
-    got = shared_table(text.mapInArrow(fetch, "anchor long, doc long, twin int, at int, ask boolean, reach int, hash long, content binary"), f"{unit}-windows")
+    got = shared_table(text.mapInArrow(fetch, "anchor long, doc long, twin long, other long, at int, ask boolean, reach int, hash long, content binary"), f"{unit}-windows")
     single = got.where(F.col("content").isNull())
     if keep_first:
         again = single.groupBy("anchor", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")

@@ -10,7 +10,7 @@ that most windows around a symbol can pick it.
 A window of WINDOW words picks the highest symbol whose stretch lies inside it; of one level, that with
 the smallest hash of its name and its neighbours' names one level below. Spark brings together the
 windows that picked one name: a name that is in one document alone ends the search for all its windows, a
-shared one reveals a repeat, and the windows around it are verified by their words, see `regions`.
+shared one reveals a repeat, and the windows around it are verified by a hash of all their words, see `regions`.
 
 A word goes when a window over it also starts in a document with a smaller id; windows are judged on
 the input. Of rows with equal ids none has a smaller id, so none loses words to the other; a row without
@@ -92,7 +92,7 @@ def parser(window: int):
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc, twin, start, end): word ranges to remove, they may overlap; see `regions.known`."""
+    """(doc, twin, other, start, end): word ranges to remove, they may overlap; see `regions.known`."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return repeats(plain, parser(window), window, True, "words")
 

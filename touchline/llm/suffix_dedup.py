@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, Chunk, chunks, mix, window_hash
-from .regions import covered, repeats, with_spans
+from .regions import OWN, covered, repeats, with_spans
 
 WINDOW = 200
 GRAM = 40
@@ -110,7 +110,7 @@ class RunLengthIndex:
 
 
 def _indexed(rows: DataFrame) -> DataFrame:
-    """(doc, twin, start, end) of repeated windows among rows (anchor, doc, twin, at, ask, content), an anchor in one task."""
+    """(doc, twin, other, start, end) of repeated windows among rows (anchor, those, at, ask, content), an anchor in one task."""
 
     def search(part: pa.Table):
         text = part.column("content").to_pylist()
@@ -124,10 +124,10 @@ def _indexed(rows: DataFrame) -> DataFrame:
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1))) if len(place) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(place))[: len(head)] - 1
-        doc, at = part.column("doc").to_numpy(), part.column("at").to_numpy().astype(np.int64)
+        at = part.column("at").to_numpy().astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[owner[head]]), pa.array(part.column("twin").to_numpy()[owner[head]]), pa.array((at[owner[head]] + step[head]).astype(np.int32)), pa.array((at[owner[head]] + step[tail] + WINDOW).astype(np.int32))],
-            names=["doc", "twin", "start", "end"],
+            [*[pa.array(part.column(k).to_numpy()[owner[head]]) for k in OWN], pa.array((at[owner[head]] + step[head]).astype(np.int32)), pa.array((at[owner[head]] + step[tail] + WINDOW).astype(np.int32))],
+            names=[*OWN, "start", "end"],
         )
 
     def run(batches):
@@ -162,11 +162,11 @@ def _indexed(rows: DataFrame) -> DataFrame:
             at = to
 
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "doc long, twin int, start int, end int")
+    return dealt.mapInArrow(run, "doc long, twin long, other long, start int, end int")
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, twin, start, end): byte ranges to remove, they may overlap; see `regions.known`."""
+    """(doc, twin, other, start, end): byte ranges to remove, they may overlap; see `regions.known`."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return repeats(plain, parse, WINDOW, False, "bytes", _indexed)
 
