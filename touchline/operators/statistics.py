@@ -52,15 +52,17 @@ def disposition_errors(events: DataFrame, presence: DataFrame, appearances: Data
 
 
 def unique_links(events: DataFrame) -> DataFrame:
-    """events with link_valid and link_xg: a claimed shot exists, fits, and is claimed by no valid pass before.
+    """events with link_valid and link_xg: a claimed shot exists, fits, names no other pass, and is claimed by no valid pass before.
 
-    Shots are joined on (team, match, period, id), which also are the conditions of a valid link.
+    Shots are joined on (team, match, period, id), which also are the conditions of a valid link. Both sides speak: a
+    pass claims a shot, and a shot may name its key pass. A shot that names one is its alone; of several claims of
+    one that names none the first wins, and a pass claims one shot, so no side is in two links.
     """
     keys = ["team_id", "match_id", "period"]
-    shots = events.where((F.col("kind") == "Shot") & (F.col("disposition") == "included")).select(*keys, F.col("event_id").alias("link"), F.col("us").alias("shot_us"), F.col("xg").alias("shot_xg"))
+    shots = events.where((F.col("kind") == "Shot") & (F.col("disposition") == "included")).select(*keys, F.col("event_id").alias("link"), F.col("us").alias("shot_us"), F.col("xg").alias("shot_xg"), F.col("key_pass").alias("named"))
     # only claims go through the join and the window
     claims = events.where(F.col("assist") & (F.col("disposition") == "included"))
-    fits = claims.join(shots, [*keys, "link"]).where(F.col("shot_us") >= F.col("us"))
+    fits = claims.join(shots, [*keys, "link"]).where((F.col("shot_us") >= F.col("us")) & F.coalesce(F.col("named") == F.col("event_id"), F.lit(True)))
     order = Window.partitionBy("match_id", "link").orderBy("event_id")
     good = fits.withColumn("__first", F.row_number().over(order)).where("__first = 1").select("event_id", F.lit(True).alias("link_valid"), F.col("shot_xg").alias("link_xg"))
     return events.join(good, "event_id", "left").withColumn("link_valid", F.when(F.col("assist"), F.coalesce("link_valid", F.lit(False))))

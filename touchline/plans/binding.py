@@ -74,6 +74,7 @@ def actions(spark, sf_dir: str) -> DataFrame:
             "duel_type": when((kd == "Duel") & ((k % 10 != 0) | whole), when(k % 3 == 0, "Tackle").otherwise("Aerial Lost")),
             "valid": (F.col("player_id") * 31 + F.col("match_id")) % 97 != 0,
             "assist": (kd == "Pass") & (k % 5 == 0),
+            "key_pass": when((kd == "Shot") & (k % 3 == 0), F.col("event_id") - 12 * (k % 4)),
         }
     )
     # the next shot: the least id of those seen when going back from the end, a running minimum
@@ -115,7 +116,8 @@ act as (
     kind = 'Pressure' and k % 2 = 0 as counterpress,
     case when kind = 'Ball Recovery' and (k % 6 <> 0 or player_id % 6 <> 0) then k % 5 = 0 end as recovery_failure,
     case when kind = 'Duel' and (k % 10 <> 0 or player_id % 6 <> 0) then case when k % 3 = 0 then 'Tackle' else 'Aerial Lost' end end as duel_type,
-    (player_id * 31 + match_id) % 97 <> 0 as valid, kind = 'Pass' and k % 5 = 0 as assist
+    (player_id * 31 + match_id) % 97 <> 0 as valid, kind = 'Pass' and k % 5 = 0 as assist,
+    case when kind = 'Shot' and k % 3 = 0 then event_id - 12 * (k % 4) end as key_pass
   from bound),
 actions as (
   select *, case when assist then min(case when kind = 'Shot' then event_id end)

@@ -147,7 +147,7 @@ disposed as (
 fits as (
   select c.event_id, s.xg as link_xg, row_number() over (partition by c.match_id, c.link order by c.event_id) as rn
   from disposed c join disposed s on c.link = s.event_id and c.team_id = s.team_id and c.match_id = s.match_id and c.period = s.period
-  where c.assist and c.disposition = 'included' and s.disposition = 'included' and s.kind = 'Shot' and s.us >= c.us),
+  where c.assist and c.disposition = 'included' and s.disposition = 'included' and s.kind = 'Shot' and s.us >= c.us and coalesce(s.key_pass = c.event_id, true)),
 linked as (
   select d.*, f.link_xg, case when assist then f.event_id is not null end as link_valid
   from disposed d left join fits f on d.event_id = f.event_id and f.rn = 1),

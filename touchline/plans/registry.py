@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_basic, queries_profiles, queries_shortlist
+from . import queries_audits, queries_basic, queries_profiles, queries_shortlist
 
-MODULES = (queries_basic, queries_profiles, queries_shortlist)
+MODULES = (queries_basic, queries_profiles, queries_shortlist, queries_audits)
 
 
 def queries() -> dict:
