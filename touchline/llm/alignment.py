@@ -49,26 +49,46 @@ class Aligner:
             if n and (raw[at : at + n] not in of_b or i not in bytewise):
                 of_b[raw[at : at + n]] = i
         self.identity = np.array([of_b.get(t, -1) for t in self.a.text], dtype=np.int64)
-
-    def tokens(self, data: np.ndarray, offs: np.ndarray, texts: list[str]):
+        self.b_table = byte_bpe.SegmentTable(self._pieces)
+
+    def _pieces(self, whole: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """B ids of segments, and the number of ids of each."""
+        self.b.reset()
+        self.b.learn([x.decode() for x in whole])
+        return self.b.flat, self.b.sizes
+
+    def _b_starts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """First bytes of segments that no piece of B reaches across: a run of blanks and a line end begin one."""
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[offs[:-1][offs[:-1] < offs[1:]]] = True
+        if self.b.cuts and len(data):
+            blank, line = data == 0x20, data == 0x0A
+            edge[:-1] |= line
+            edge[1:-1] |= (blank[1:] & ~blank[:-1]) | line[:-1]
+        return np.flatnonzero(edge[:-1])
+
+    def tokens(self, data: np.ndarray, offs: np.ndarray):
         """(A ids, A ends, B ids, B ends, document edges) in bytes of the texts that both reproduce; others have no bytes."""
         data, offs = byte_bpe.spaced(data, offs)
         a, na = self.a.encode(data, offs)
-        b, nb = self.b.encode(texts)
+        b, nb = self.b_table.encode(data, offs, self._b_starts(data, offs))
         sizes = np.diff(offs)
         good = sizes > 0
+        # the sign that stands for a blank in B would come back as a blank
+        sign = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        good[np.searchsorted(offs, sign, side="right") - 1] = False
         sides = []
         for m, ids, n in ((self.a, a, na), (self.b, b, nb)):
-            doc, size = np.repeat(np.arange(len(texts)), n), m.piece_len[ids]
-            per_doc = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
+            doc, size = np.repeat(np.arange(len(sizes)), n), m.piece_len[ids]
+            per_doc = np.bincount(doc, weights=size, minlength=len(sizes)).astype(np.int64)
             fits = per_doc == sizes
             # bytes of the documents whose sizes agree, side by side with the text
             on = np.repeat(fits, n)
             part = size[on]
             at = np.repeat(m.piece_at[ids[on]] - (np.cumsum(part) - part), part) + np.arange(int(part.sum()))
             text = data[np.repeat(fits, sizes)]
-            owner = np.repeat(np.arange(len(texts)), np.where(fits, sizes, 0))
-            wrong = np.bincount(owner[m.piece_bytes[at] != text], minlength=len(texts)) > 0
+            owner = np.repeat(np.arange(len(sizes)), np.where(fits, sizes, 0))
+            wrong = np.bincount(owner[m.piece_bytes[at] != text], minlength=len(sizes)) > 0
             good &= fits & ~wrong
             sides.append((ids, doc, size))
         out = []
@@ -87,8 +107,8 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 class Links:
     """Groups and links of a chunk, as arrays over bytes, tokens and links in order."""
 
-    def __init__(self, al: Aligner, data: np.ndarray, offs: np.ndarray, texts: list[str]):
-        self.a, a_end, self.b, b_end, self.edge = al.tokens(data, offs, texts)
+    def __init__(self, al: Aligner, data: np.ndarray, offs: np.ndarray):
+        self.a, a_end, self.b, b_end, self.edge = al.tokens(data, offs)
         n = int(self.edge[-1])
         in_a, in_b = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=bool)
         in_a[a_end], in_b[b_end] = True, True
@@ -162,7 +182,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
         for batch in batches:
             for c in chunks(batch.column(1)):
                 rows = batch.slice(c.first, c.n)
-                x = Links(al, c.data, c.offs, [t or "" for t in rows.column(1).to_pylist()])
+                x = Links(al, c.data, c.offs)
                 of = lambda d, n=c.n: np.bincount(d, minlength=n)
                 text, cut = x.written()
                 raw = text.tobytes()
