@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 k, n = counted(np.concatenate(own)) if own else counted(np.zeros(0, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["term", "n"])
 
-    sample = sample.repartition(8)
+    # of rows of one id, one: the sample is bounded by rows as well
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").repartition(8)
     frequent = sample.mapInArrow(pairs, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     found = sorted(((r["term"], r["n"]) for r in frequent.orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()))
     if not found:

@@ -18,8 +18,9 @@ product of what its matched clauses leave; words that are no match only move sta
 Strengths and factors are learned from a bounded, hash-chosen sample of labelled training rows
 (MAX_FIT_DOCS), smoothed towards fixed priors: that of a pattern is its weight in the composed
 transducer. Stems (beginnings of words, for inflected forms) that the sample shows in toxic documents
-alone, after different words, join the lexicon as insults: the shortest that is pure. All stems that
-the sample supports are kept; they are bounded by the sample. Scoring is a map over whole texts, no shuffle.
+alone, after different words, join the lexicon as insults, in the longest form that keeps their documents
+(see `narrowed`), so that a beginning of few letters never stands for words that the sample does not have. All
+stems that the sample supports are kept; they are bounded by the sample. Scoring is a map over whole texts.
 
 Letters A to Z and the Latin letters with marks of ISO 8859-1 are lower-cased.
 
@@ -48,8 +49,10 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SCOPE = 3
 #: A stem of so many characters is learned when it is in so many sampled toxic documents, after so many different words, and this pure.
-STEM_SIZES = range(3, 10)
+STEM_SIZES = range(3, 13)
 MIN_DOCS, MIN_CONTEXTS, MIN_PURITY = 5, 5, 0.9
+#: Learned stems have so many letters at least, and go on while the longer ones keep this share of their documents.
+MIN_STEM, SPECIFIC = 5, 0.9
 
 # Word lists of the grammar's classes.
 INSULTS = (
@@ -257,8 +260,31 @@ def _stems(sample: DataFrame) -> tuple[str, ...]:
 
     counts = sample.mapInArrow(run, "entry long, a long, n long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).collect()
     # one row of each kind for smoothing: a stem in few documents is not pure by chance
-    pure = {candidates[r["entry"]] for r in counts if r["a"] >= MIN_DOCS and r["a"] >= MIN_PURITY * (r["n"] + 1)}
-    return tuple(sorted(s for s in pure if not any(s[:k] in pure for k in range(1, len(s)))))
+    pure = {candidates[r["entry"]]: r["a"] for r in counts if r["a"] >= MIN_DOCS and r["a"] >= MIN_PURITY * (r["n"] + 1)}
+    return narrowed(pure)
+
+
+def narrowed(pure: dict[str, int]) -> tuple[str, ...]:
+    """Stems of MIN_STEM letters or more, and longer where one continuation stands for nearly all of a stem's documents.
+
+    pure: stems and the toxic documents that they are in. A beginning of few letters says nothing of the words that a
+    sample does not have, so it gives way to its continuations, and is not learned where it has none that is pure.
+    """
+    longer: dict[str, list[str]] = {}
+    for stem in pure:
+        if stem[:-1] in pure:
+            longer.setdefault(stem[:-1], []).append(stem)
+    out, left = set(), [s for s in pure if s[:-1] not in pure]
+    while left:
+        stem = left.pop()
+        more = longer.get(stem, [])
+        if len(stem) < MIN_STEM:
+            left += more
+        elif more and max(pure[m] for m in more) >= SPECIFIC * pure[stem]:
+            left.append(max(more, key=lambda m: (pure[m], m)))
+        elif len(stem) >= MIN_STEM:
+            out.add(stem)
+    return tuple(sorted(out))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_docs: int = MAX_FIT_DOCS) -> Model:
@@ -269,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # at most max_docs ids: a broadcast of a proven size
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = sample.repartition(8)
+    # of rows of one id, one: the sample is bounded by rows as well
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label").repartition(8)
     stems = _stems(sample)
     lexicon = Lexicon(stems)
 
