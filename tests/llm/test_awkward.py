@@ -199,3 +199,23 @@ def test_path_tree_against_sql(spark):
     assert [x[0] for x in rows.description] == mine.columns
     want = rows.fetchall()
     assert sorted(map(repr, map(tuple, mine.collect()))) == sorted(map(repr, want)) and any(r[3] is None and r[4] == "block" for r in want)
+
+
+def test_deep_paths_take_no_more_levels(spark, monkeypatch):
+    """One path of 5,000 segments: as many levels as without it, and the same verdicts for the others."""
+    urls = [f"https://a.com/x/{i}/b{i % 3}" for i in range(60)] + [f"https://net/de/{k}/{i}" for k in "pqr" for i in range(40)]
+    pages = [(i, u) for i, u in enumerate(urls)]
+    levels, real = [], path_tree.shared_table
+
+    def counted(df, name):
+        levels.append(name)
+        return real(df, name)
+
+    monkeypatch.setattr(path_tree, "shared_table", counted)
+    runs = []
+    for extra in ([], [(999, "https://a.com/" + "d/" * 5000)]):
+        levels.clear()
+        got = path_tree.judge(spark.createDataFrame(pages + extra, "page_id long, url string")).select("page_id", "verdict").collect()
+        runs.append(({r.page_id: r.verdict for r in got if r.page_id != 999}, levels.count("level")))
+        assert len(got) == len(pages) + len(extra)
+    assert runs[0] == runs[1] and runs[0][1] <= 5

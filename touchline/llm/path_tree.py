@@ -16,8 +16,8 @@ pages that they decide are the labelled examples of the rest.
    at least MIN_LABELLED labelled paths and a smoothed share of MIN_PURITY or more.
 
 So a template without labels goes by its siblings under one parent, and by the host when these have
-none. Levels are Spark jobs as deep as the deepest path; the shares of one template are folded in one
-expression over its own nodes.
+none. A level is a Spark job only while some node on it has MIN_CHILDREN leaves below it, however deep single
+paths are; the shares of one template are folded in one expression over its own nodes.
 
 Defined cases: a null url, or one without ://, has an empty host and path and follows the method;
 equal rules count once; repeated rows are judged alike, and so are rows of one id each by its own url;
@@ -53,19 +53,32 @@ def leaves(pages: DataFrame) -> DataFrame:
 
 
 def templates(leaf: DataFrame) -> DataFrame:
-    """leaf (a written table) with nodes: the prefixes of its template from the first level down."""
-    deepest = leaf.agg(F.max(F.size(F.split("shape", "/")))).first()[0] or 0
-    rows = leaf.withColumns({"part": F.split("shape", "/"), "node": F.get(F.split("shape", "/"), F.lit(0))}).withColumn("nodes", F.array("node"))
-    for d in range(1, deepest):
-        own = F.get("part", F.lit(d))
-        child = rows.where(own.isNotNull()).groupBy("host", "node", own.alias("own")).agg(F.sum("n").alias("n"))
-        wild = child.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
-        wild = wild.where((F.col("k") >= MIN_CHILDREN) & (F.col("k") >= MIN_NEW_SHARE * F.col("n"))).select("host", "node", F.lit("*").alias("wild"))
-        rows = rows.join(wild, ["host", "node"], "left")
-        node = F.when(own.isNull(), F.col("node")).otherwise(F.concat_ws("/", "node", F.coalesce("wild", own)))
-        rows = rows.withColumn("node", node).withColumn("nodes", F.when(own.isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("node")))).drop("wild")
-        rows = shared_table(rows, "level")
-    return rows.drop("part", "node")
+    """leaf (a written table) with nodes: the numbers of the prefixes of its template from the first level down.
+
+    A node's number is a hash of its parent's number and its own segment, so a deep path needs a number for each level
+    and no text. A node with fewer than MIN_CHILDREN leaves below it can have no wildcard there, so its leaves are done:
+    their remaining levels are folded at once. Only leaves below larger nodes go on to the next level.
+    """
+    part = F.split("shape", "/")
+    rows = leaf.withColumns({"part": part, "node": F.xxhash64(F.lit(0), F.get(part, F.lit(0))), "d": F.lit(1)}).withColumn("nodes", F.array("node"))
+    done = None
+    while True:
+        own = F.get("part", F.col("d"))
+        child = rows.where(own.isNotNull()).groupBy("host", "node", own.alias("own")).agg(F.sum("n").alias("n"), F.count("*").alias("leaves"))
+        large = child.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("leaves").alias("leaves")).where(F.col("leaves") >= MIN_CHILDREN)
+        wild = (F.col("k") >= MIN_CHILDREN) & (F.col("k") >= MIN_NEW_SHARE * F.col("n"))
+        rows = rows.join(large.select("host", "node", F.when(wild, "*").otherwise("").alias("wild")), ["host", "node"], "left")
+        rows = shared_table(rows.withColumn("wild", F.when(own.isNotNull(), F.col("wild"))), "level")
+        rest = rows.where("wild is null").drop("wild")
+        done = rest if done is None else done.unionByName(rest)
+        rows = rows.where("wild is not null")
+        if rows.isEmpty():
+            break
+        node = F.xxhash64("node", F.when(F.col("wild") == "*", F.lit("*")).otherwise(own))
+        rows = rows.withColumn("node", node).withColumns({"nodes": F.concat("nodes", F.array("node")), "d": F.col("d") + 1}).drop("wild")
+    below = F.slice("part", F.col("d") + 1, F.greatest(F.size("part") - F.col("d"), F.lit(0)))
+    nodes = F.aggregate(below, F.col("nodes"), lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), x))))
+    return done.withColumn("nodes", nodes).drop("part", "node", "d")
 
 
 def _share(base: Column, labelled: Column, blocked: Column) -> Column:
