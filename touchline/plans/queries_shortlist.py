@@ -496,6 +496,32 @@ def ranking_stability_20(c):
     return _ranking_stability(c, WHOLE_REPLICATES)
 
 
+_SPREAD = lambda column: ", ".join(f"round({f}({column}), 6) as {f.replace('avg', 'mean')}_{column}" for f in ("avg", "min", "max"))
+
+
+@query(f"""select requirement, count(*) as attempts, count(overlap) as available, {_SPREAD("overlap")}, count(recovery) as recovered, {_SPREAD("recovery")} from (
+  select s.set_ as requirement, r.rep, case when s.status = 'AVAILABLE' and t.status = 'AVAILABLE' then both_::double / n end as overlap, case when s.status = 'AVAILABLE' and t.status = 'AVAILABLE' and survive > 0 then kept_::double / survive end as recovery
+  from ranked_status s, {_WHOLE_REP} r join thin_status t on t.set_ = s.set_ || '#' || r.rep left join (
+    select o.set_, x.rep, count(*) as n, count(b.player_id) as both_, count(*) filter (where {_KEPT.replace("player_id", "o.player_id").replace("rep", "x.rep")}) as survive, count(b.player_id) filter (where {_KEPT.replace("player_id", "o.player_id").replace("rep", "x.rep")}) as kept_
+    from ranked o, {_WHOLE_REP} x left join (select distinct set_, player_id from thin where rank <= 5) b on b.set_ = o.set_ || '#' || x.rep and b.player_id = o.player_id where o.rank <= 5 group by all) m on m.set_ = s.set_ and m.rep = r.rep) y group by requirement""",
+       RANK + _LONG_REP.replace(_REP, _WHOLE_REP) + requirement_sql("req_rep", _rep_rows(WHOLE_REPLICATES)) + ranking_sql("thin", "req_rep", "long_rep"))
+def ranking_stability_summary(c):
+    """The whole study by requirement: overlap with the baseline's first five, and how many of those that survive thinning stay."""
+    status, rows = _ranked(c, cut=True)
+    long = _replicated(c.long.where("role is not null"), WHOLE_REPLICATES).where("kept").withColumn("role", F.concat_ws("#", "role", "rep"))
+    thin_status, thin = _ranked(c, _rep_rows(WHOLE_REPLICATES), long, cut=True)
+    part = F.split("set", "#")
+    parted = lambda df, *more: df.select(F.get(part, F.lit(0)).alias("set"), F.get(part, F.lit(1)).cast("int").alias("rep"), *more)
+    old = rows.where("rank <= 5").groupBy("set").agg(F.collect_set("player_id").alias("old"))
+    new = parted(thin.where("rank <= 5"), "player_id").groupBy("set", "rep").agg(F.collect_set("player_id").alias("new"))
+    both = parted(thin_status, "status").join(status.select("set", F.col("status").alias("base")), "set").join(old, "set", "left").join(new, ["set", "rep"], "left")
+    good = (F.col("status") == "AVAILABLE") & (F.col("base") == "AVAILABLE")
+    stay = F.filter("old", lambda x: retained(x, F.col("rep")))
+    share = lambda a: F.size(F.array_intersect(a, F.coalesce("new", F.array().cast("array<long>")))) / F.size(a)
+    both = both.withColumn("stay", stay).withColumns({"overlap": F.when(good, share(F.col("old"))), "recovery": F.when(good & (F.size("stay") > 0), share(F.col("stay")))})
+    return both.groupBy(F.col("set").alias("requirement")).agg(F.count("*").alias("attempts"), F.count("overlap").alias("available"), *_distribution("overlap", "overlap"), F.count("recovery").alias("recovered"), *_distribution("recovery", "recovery"))
+
+
 @query("""select (select count(*) from near where peer_id = player_id) as self_neighbours, (select count(*) from ranked where score < 0 or score > 100) as outside,
   (select count(*) from (select set_, player_id, team_id from ranked group by all having count(*) > 1) x) as repeated""", SIM + _REQ + ranking_sql("ranked", "req"))
 def result_audit(c):
