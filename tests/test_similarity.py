@@ -163,3 +163,19 @@ def test_requirements_that_cannot_be_meant():
     for change in ({"role": "XX"}, {"weights": {}}, {"weights": {"tackles": -1.0}}, {"weights": {"average_action_x": 1.0}}, {"weights": {"nothing": 1.0}}, {"min_minutes": -1.0}, {"min_minutes": float("nan")}, {"top_k": 0}, {"top_k": 1.0}, {"role": "GK", "weights": {"shots": 1.0}}):
         with pytest.raises(ValueError):
             ranking.check_requirement(good | change)
+
+
+def test_exposure_conventions_and_catalog(spark, tmp_path):
+    from touchline.functions.scalars import denominator
+    from touchline.sources import json as J
+
+    row = spark.range(1).select(denominator("elapsed_including_stoppage", F.lit(5400.0), F.lit(88.0)).alias("a"), denominator("nominal", F.lit(5400.0), F.lit(88.0)).alias("b")).first()
+    assert (row.a, row.b) == (90.0, 88.0)
+    with pytest.raises(ValueError):
+        denominator("guess", F.lit(1.0), F.lit(1.0))
+    one = '{"competition_id": 37, "season_id": %d}'
+    (tmp_path / "a.json").write_text("[" + one % 1 + "," + one % 2 + "]")
+    assert J.competitions(spark, str(tmp_path)).count() == 2
+    (tmp_path / "b.json").write_text("[" + one % 2 + "]")
+    with pytest.raises(ValueError, match="37/2"):
+        J.competitions(spark, str(tmp_path))

@@ -92,6 +92,17 @@ def rank_value(metric: Column, value: Column, per90: Column) -> Column:
     return F.when(metric.isin(S.MEANS + S.PERCENTAGES), value).otherwise(per90)
 
 
+#: How exposure is counted: played seconds with stoppages, or the nominal length of the periods.
+CONVENTIONS = ("elapsed_including_stoppage", "nominal")
+
+
+def denominator(convention: str, seconds: Column, nominal_minutes: Column) -> Column:
+    """Minutes that rates are divided by."""
+    if convention not in CONVENTIONS:
+        raise ValueError(f"exposure is counted as {' or '.join(CONVENTIONS)}")
+    return seconds / 60 if convention == CONVENTIONS[0] else nominal_minutes
+
+
 def hash_bucket(key: Column, buckets: int) -> Column:
     """First eight hex digits of SHA-256, modulo buckets."""
     return F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 8), 16, 10).cast("long") % buckets

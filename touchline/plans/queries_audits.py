@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..functions import scalars as X
 from ..operators import audits as Au
+from ..operators import contracts
 from ..operators import fingerprint as Fp
+from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import reference as Ref
 from ..operators import similarity as Sim
@@ -242,3 +245,67 @@ def partition_sink_load(spark, d):
     path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     sinks.write_partitions(table(spark, d, "events"), path, "event_type")
     return sinks.load_partition(spark, path, "event_type", "purchase").select(*table(spark, d, "events").columns)
+
+
+# --- canonical contracts, card evidence, conventions ---------------------------------------------------
+
+
+@query(A + """,
+c as (select *, case when k % 50 <> 0 then team_id end as team, sx / 120 + case when k % 25 = 0 then 0.5e0 else 0 end as x, sy / 80 as y from actions),
+v as (select unnest(list_filter([
+  case when us < 1000000 then 'BAD_SECONDS' end, case when event_id % 7919 = 1 then 'BAD_INDEX' end, case when team is null then 'PLAYER_WITHOUT_TEAM' end,
+  case when x is not null and not coalesce(x between 0 and 1 and y between 0 and 1, false) then 'OUTSIDE_PITCH' end,
+  case when kind = 'Pass' and k % 40 = 0 then 'PASS_DETAIL_MISMATCH' end, case when kind <> 'Carry' and k % 33 = 0 then 'CARRY_DETAIL_MISMATCH' end], lambda x: x is not null)) as violation from c)
+select violation, count(*) as n from v group by violation""")
+def event_contract(spark, d):
+    """Actions under the contract of canonical events; some are bound wrongly."""
+    a = actions(spark, d)
+    k, kind = F.col("k"), F.col("kind")
+    detail = lambda on: F.when(on, F.struct(F.lit(1).alias("x")))
+    rows = a.select(
+        ((F.col("us") - 1_000_000) / 1e6).alias("elapsed"), F.when(F.col("event_id") % 7919 == 1, -1).otherwise(F.col("event_id")).alias("index"), "player_id",
+        F.when(k % 50 != 0, F.col("team_id")).alias("team_id"), kind.alias("event_type"),
+        F.when(F.col("sx").isNotNull(), F.struct((F.col("sx") / 120 + F.when(k % 25 == 0, 0.5).otherwise(0.0)).alias("x"), (F.col("sy") / 80).alias("y"))).alias("start_location"),
+        detail((kind == "Pass") & (k % 40 != 0)).alias("pass_detail"), detail((kind == "Carry") | (k % 33 == 0)).alias("carry_detail"), detail(kind == "Shot").alias("shot_detail"),
+    )
+    found = contracts.checked(rows, "event")
+    return found.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+_TYPES = "(['Yellow Card', 'Second Yellow', 'Red Card'])[cast(k % 3 as int) + 1]"
+
+
+@query(A + f""",
+cards as (select event_id, match_id, player_id, period, {_TYPES} as card, case when k % 7 <> 0 then us / 1e6 end as clk from actions where event_type = 'purchase'),
+ev as (select match_id, player_id, period, {_TYPES} as card, us / 1e6 as clk from actions where event_type = 'error'),
+m as (select c.event_id, any_value(c.card) as card, any_value(c.clk) as clk, count(e.card) as n, count(*) filter (where e.period = c.period and abs(e.clk - c.clk) <= {S.CLOCK_TOLERANCE}) as near
+  from cards c left join ev e on e.match_id = c.match_id and e.player_id = c.player_id and e.card = c.card group by c.event_id),
+w as (select *, case when n = 0 then 'LINEUP_CARD_WITHOUT_EVENT' when clk is null then case when n = 1 then 'CARD_CLOCK_RESOLVED_FROM_EVENT' else 'AMBIGUOUS_SOURCE_CARD' end when near = 0 then 'CARD_EVENT_CLOCK_DISAGREEMENT' end as code from m)
+select code, case when code = 'CARD_CLOCK_RESOLVED_FROM_EVENT' then 'warning' when code = 'AMBIGUOUS_SOURCE_CARD' then 'error' when card in ('Red Card', 'Second Yellow') then 'error' else 'warning' end as severity, count(*) as n from w where code is not null group by all""")
+def card_evidence(spark, d):
+    """Cards of line-ups against card events of the same player and card."""
+    a = actions(spark, d)
+    card = F.element_at(F.array(*map(F.lit, ("Yellow Card", "Second Yellow", "Red Card"))), (F.col("k") % 3 + 1).cast("int"))
+    at = F.struct("period", (F.col("us") / 1e6).alias("elapsed"))
+    cards = a.where("event_type = 'purchase'").select("match_id", "player_id", card.alias("card_type"), F.when(F.col("k") % 7 != 0, at).alias("time"))
+    events = a.where("event_type = 'error'").select("match_id", "player_id", card.alias("card"), "period", (F.col("us") / 1e6).alias("elapsed"))
+    return Q.card_issues(cards, events).groupBy("code", "severity").agg(F.count("*").alias("n"))
+
+
+@query(A + """ select player_id, match_id, round(sum(dur) / 6e7, 6) as elapsed_minutes, round(sum(greatest(0, least(us + dur, 21600000000) - least(us, 21600000000))) / 6e7, 6) as nominal_minutes from exposed group by all""")
+def exposure_convention(spark, d):
+    """Minutes of an appearance under both conventions."""
+    e = exposed(actions(spark, d))
+    cap = F.lit(21_600_000_000)
+    nominal = F.greatest(F.lit(0), F.least(F.col("us") + F.col("dur"), cap) - F.least("us", cap))
+    rows = e.groupBy("player_id", "match_id").agg((F.sum("dur") / 1e6).alias("seconds"), (F.sum(nominal) / 6e7).alias("nominal"))
+    each = [F.round(X.denominator(c, F.col("seconds"), F.col("nominal")), 6).alias(f"{c.split('_')[0]}_minutes") for c in X.CONVENTIONS]
+    return rows.select("player_id", "match_id", *each)
+
+
+@query(cohort_sql() + f" select role, metric, count(v) as values from long where role is not null and is_ref and metric not in ({', '.join(repr(m) for m in S.MEANS)}) and (role <> 'GK' or metric in ({', '.join(repr(m) for m in S.KEEPER_METRICS)})) group by all")
+def rankable_metrics(spark, d):
+    """Metrics that each role can be ranked by, with the reference values they have."""
+    wanted = spark.createDataFrame([(r, m) for r in S.ROLES for m in R.rankable(r)], "role string, metric string")
+    rows = Cohort(spark, d).long.where("is_ref").join(F.broadcast(wanted), ["role", "metric"])
+    return rows.groupBy("role", "metric").agg(F.count("v").alias("values"))

@@ -41,7 +41,12 @@ def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def competitions(spark, path: str) -> DataFrame:
-    return records(spark, path, COMPETITIONS)
+    """The catalog; a competition and season that it has twice is an error."""
+    rows = records(spark, path, COMPETITIONS)
+    twice = rows.groupBy("competition_id", "season_id").agg(F.count("*").alias("n")).where("n > 1").orderBy("competition_id", "season_id").limit(3).collect()
+    if twice:
+        raise ValueError("repeated in the catalog: " + ", ".join(f"{r['competition_id']}/{r['season_id']}" for r in twice))
+    return rows
 
 
 def matches(spark, path: str, competition: int, season: int) -> DataFrame:
