@@ -202,3 +202,31 @@ def test_reference_bitmaps(spark):
     for r in Ref.listed(maps, asked).collect():
         got.setdefault(r.key, set()).add(r.player_id)
     assert got == want
+
+
+@pytest.mark.parametrize("code, rows, seconds", [
+    (set(), [], []), ({"DUPLICATE_IDENTITY"}, [(1, 10, 600.0, "nominal")], []), ({"ROLE_SECONDS"}, [(2, 10, 60.0, "nominal")], [(2, 10, "CB", 61.0)]),
+    ({"INVALID_SECONDS"}, [(2, 10, 60.0, "nominal")], [(2, 10, "CB", 61.0), (2, 10, "ST", -1.0)]), ({"UNKNOWN_ROLE"}, [(2, 10, 60.0, "nominal")], [(2, 10, "XX", 60.0)]),
+    ({"NO_EXPOSURE"}, [(2, 10, 0.0, "nominal")], []), ({"CONVENTION"}, [(2, 10, 60.0, "elapsed")], [(2, 10, "CB", 60.0)]),
+])
+def test_profile_inputs(spark, code, rows, seconds):
+    found = A.profile_inputs(spark.createDataFrame([(1, 10, 600.0, "nominal"), *rows], "player_id long, team_id long, playing_seconds double, minutes_convention string"), spark.createDataFrame([(1, 10, "CB", 600.0), *seconds], "player_id long, team_id long, role string, seconds double"), "nominal")
+    assert set(only(found, None)) == code
+    if code:
+        with pytest.raises(ValueError, match=min(code)):
+            A.require(found)
+    else:
+        A.require(found)
+
+
+def test_cohort_report(spark):
+    from touchline.operators import quality as Q
+
+    apps = spark.createDataFrame([("m", 1, "VALIDATED", True), ("m", 2, "NEEDS_REVIEW", True), ("m", 3, "EXCLUDED", False), ("m", 4, "EXCLUDED", True)], "match_id string, player_id long, quality_status string, used boolean")
+    issues = spark.createDataFrame([("A",), ("A",), ("B",)], "code string")
+    roster = spark.createDataFrame([("m", p) for p in range(1, 5)], "match_id string, player_id long")
+    r = Q.Reconciled(apps, None, None, None, issues)
+    got = {(x["kind"], x["name"]): x.n for x in Q.cohort_report(r, roster).collect()}
+    assert got == {("appearances", "VALIDATED"): 1, ("appearances", "NEEDS_REVIEW"): 1, ("appearances", "unused_roster"): 1, ("appearances", "EXCLUDED"): 1, ("issues", "A"): 2, ("issues", "B"): 1, ("roster", "entries"): 4}
+    with pytest.raises(ValueError, match="roster of 3"):
+        Q.cohort_report(r, roster.limit(3))

@@ -49,6 +49,13 @@ def census(spark, audits: list[Audited]) -> DataFrame:
     return spark.createDataFrame(rows, "audit string, rule string, rows long, violations long")
 
 
+def require(audits: list[Audited]) -> None:
+    """Raise where any rule is violated, naming rules and numbers of rows."""
+    wrong = [f"{a.name}: {code} {n}" for a in audits for code, n in a.counts.items() if code != "rows" and n]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+
+
 def apart(a: Column, b: Column, by: float = 1e-6) -> Column:
     """Unequal by more than a tolerance, or known on one side only."""
     return (a.isNull() != b.isNull()) | (F.abs(a - b) > by)
@@ -140,6 +147,18 @@ def features(sessions: DataFrame, exposure: DataFrame, seasons: DataFrame, min_m
     return [first, second]
 
 
+def profile_inputs(rows: DataFrame, role_seconds: DataFrame, convention: str, edge: float = S.EDGE) -> list[Audited]:
+    """What profiles are built from. rows: player, team, playing_seconds, minutes_convention; role_seconds: player, team, role, seconds."""
+    keys = ["player_id", "team_id"]
+    bad = ~F.coalesce((C("seconds") >= 0) & (C("seconds") < float("inf")), F.lit(False))
+    each = role_seconds.groupBy(*keys).agg(F.sum("seconds").alias("whole"), F.count_if(bad).alias("bad"), F.count_if(~F.coalesce(C("role").isin(list(S.ROLES)), F.lit(False))).alias("foreign"))
+    found = copies(rows, keys).join(each, keys, "left")
+    return [audited(found, [
+        ("DUPLICATE_IDENTITY", C("copies") > 1), ("ROLE_SECONDS", apart(F.coalesce("whole", F.lit(0.0)), C("playing_seconds"), edge)), ("INVALID_SECONDS", C("bad") > 0),
+        ("UNKNOWN_ROLE", C("foreign") > 0), ("NO_EXPOSURE", ~F.coalesce(C("playing_seconds") > 0, F.lit(False))), ("CONVENTION", ~C("minutes_convention").eqNullSafe(F.lit(convention))),
+    ], "profile inputs")]
+
+
 def profiles(spells: DataFrame, percentiles: DataFrame, min_minutes: float = S.MIN_MINUTES, min_share: float = S.MIN_SHARE, min_peers: int = S.MIN_PEERS) -> list[Audited]:
     """spells: player, team, role, largest, share, minutes, partial, reasons, eligible, is_ref; percentiles: player, team, role, metric, v, status, percentile, peer_count."""
     keys = ["player_id", "team_id"]

@@ -277,3 +277,20 @@ def reconcile(events: DataFrame, roster: DataFrame, positions: DataFrame, cards:
 def report(r: Reconciled) -> DataFrame:
     """quality_status, n, seconds: the census of a cohort; unused players are rows without evidence of play."""
     return r.appearances.groupBy("quality_status", "used").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("playing_seconds"), F.lit(0.0)), 6).alias("seconds"))
+
+
+def cohort_report(r: Reconciled, roster: DataFrame) -> DataFrame:
+    """(kind, name, n): appearances by status with unused players apart, issues by code, and the roster they must add up to.
+
+    Raises where appearances and unused players are not the roster.
+    """
+    unused = ~F.col("used") & (F.col("quality_status") == "EXCLUDED")
+    status = r.appearances.groupBy(F.when(unused, "unused_roster").otherwise(F.col("quality_status")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("appearances").alias("kind"), "name", "n")
+    issues = r.issues.groupBy(F.col("code").alias("name")).agg(F.count("*").alias("n")).select(F.lit("issues").alias("kind"), "name", "n")
+    whole = roster.agg(F.count("*").alias("n")).select(F.lit("roster").alias("kind"), F.lit("entries").alias("name"), "n")
+    out = materialised(status.unionByName(issues).unionByName(whole), "cohort-report")
+    n = out.groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    got = {x["kind"]: x["n"] for x in n}
+    if got.get("appearances", 0) != got["roster"]:
+        raise ValueError(f"{got.get('appearances', 0)} appearances and unused players for a roster of {got['roster']}")
+    return out
