@@ -15,7 +15,7 @@ pick form a region. All that two documents can share is then decided among regio
 
 A document is known by its id and two 64-bit hashes of its text, so rows of one id with unlike texts stay
 apart. A document without an id counts as one with the largest id. Rows of one id and text are one document
-with a number of copies: each of its regions is one row with that number, and its text is fetched once.
+with a number of copies, see `one_of_each`: its regions are emitted and its text is fetched once.
 
 No key stands for more than its equal regions or windows, groups are aggregated before and after the
 shuffle, and joins on a hot anchor are ordinary sort-merge joins that adaptive execution can split.
@@ -158,6 +158,20 @@ def known(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("twin"), F.xxhash64(F.lit(7), F.col(text)).alias("other")]
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) as (doc, twin, other, text, copies): rows of one id and text are one row with their number.
+
+    Only keys are counted; texts are shuffled for documents that do have copies, and aggregated before the shuffle.
+    """
+    keyed = docs.where(F.col("text").isNotNull()).select(*known(docs), "text")
+    often = shared_table(keyed.groupBy(*OWN).agg(F.count("*").cast("int").alias("copies")).where("copies > 1"), "copies")
+    if often.isEmpty():
+        return keyed.withColumn("copies", F.lit(1))
+    alone = keyed.join(often, OWN, "left_anti").withColumn("copies", F.lit(1))
+    once = keyed.join(often.select(*OWN), OWN, "left_semi").groupBy(*OWN).agg(F.first("text").alias("text")).join(often, OWN)
+    return alone.unionByName(once)
+
+
 def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, indexed=None) -> DataFrame:
     """(doc, twin, other, start, end): places of repeated windows of docs (doc_id long, text), by words or bytes.
 
@@ -165,28 +179,27 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
     a document with a smaller id has it; else when it starts anywhere else. indexed(rows) compares the
     windows of an anchor; without it all are compared by hash.
     """
-    docs = docs.where(F.col("text").isNotNull()).select(*known(docs), "text")
+    docs = one_of_each(docs)
 
     def emit(batches):
         for batch in batches:
             own = [batch.column(i).to_numpy() for i in range(3)]
+            copies = batch.column(4).to_numpy()
             for c in chunks(batch.column(3)):
                 doc, at, n, key, content, times = regions(*parse(c), size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array(signed(content)), *[pa.array(x[c.first + doc]) for x in own], *[pa.array(x.astype(np.int32)) for x in (at, n, times)]],
-                    names=["anchor", "region", *OWN, "at", "n", "times"],
+                    [pa.array(signed(key)), pa.array(signed(content)), *[pa.array(x[c.first + doc]) for x in own], *[pa.array(x.astype(np.int32)) for x in (at, n, times, copies[c.first + doc])]],
+                    names=["anchor", "region", *OWN, "at", "n", "times", "copies"],
                 )
 
-    rows = shared_table(docs.mapInArrow(emit, "anchor long, region long, doc long, twin long, other long, at int, n int, times int"), f"{unit}-regions")
+    rows = shared_table(docs.mapInArrow(emit, "anchor long, region long, doc long, twin long, other long, at int, n int, times int, copies int"), f"{unit}-regions")
     if keep_first:
         often = rows.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     else:
-        often = rows.groupBy("anchor").agg(F.sum("times").alias("c")).where("c > 1")
+        often = rows.groupBy("anchor").agg(F.sum(F.col("times") * F.col("copies")).alias("c")).where("c > 1")
     # a table of its own, so that both sides of the join are plain exchanges, which can be split when skewed
     often = shared_table(often.select("anchor"), f"{unit}-often")
-    # what copies of one document share row by row is one row
-    one = rows.join(often, "anchor").groupBy(*rows.columns).agg(F.count("*").alias("copies"))
-    every, rows = rows, shared_table(one, f"{unit}-shared")
+    every, rows = rows, shared_table(rows.join(often, "anchor"), f"{unit}-shared")
     discard(every)
     own = F.min(F.struct(*OWN, "at", "n")).alias("own")
     distinct = shared_table(rows.groupBy("anchor", "region").agg(own, F.sum(F.col("times") * F.col("copies")).alias("c")), f"{unit}-distinct")
@@ -203,7 +216,7 @@ def repeats(docs: DataFrame, parse, size: int, keep_first: bool, unit: str, inde
     # the windows of distinct regions
     query = shared_table(query, f"{unit}-query")
     places = query.groupBy(*OWN).agg(F.collect_list(F.struct("anchor", "at", "n", "k", "ask", "reach")).alias("places"))
-    text = docs.groupBy(*OWN).agg(F.first("text").alias("text")).join(places, OWN).select(*OWN, "text", "places")
+    text = docs.join(places, OWN).select(*OWN, "text", "places")
     limit = MAX_INDEXED if indexed else 0
 
     def fetch(batches):
