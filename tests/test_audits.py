@@ -230,3 +230,11 @@ def test_cohort_report(spark):
     assert got == {("appearances", "VALIDATED"): 1, ("appearances", "NEEDS_REVIEW"): 1, ("appearances", "unused_roster"): 1, ("appearances", "EXCLUDED"): 1, ("issues", "A"): 2, ("issues", "B"): 1, ("roster", "entries"): 4}
     with pytest.raises(ValueError, match="roster of 3"):
         Q.cohort_report(r, roster.limit(3))
+
+
+def test_counts_of_copies_are_not_sent_with_the_tasks(spark):
+    """Rows of an explode are estimated as one a row, which made Spark gather the counts of all of them on the driver."""
+    rows = spark.range(100).select("id", F.explode(F.array(*[F.lit(m) for m in S.METRICS])).alias("metric"))
+    df = A.copies(rows, ["id", "metric"])
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == 100 * len(S.METRICS) and df.where("copies <> 1").count() == 0

@@ -164,7 +164,8 @@ def feature_expectations(spark, d):
     """All rules of the feature audit; the flag of enough minutes is a stale one, of 600."""
     c = Cohort(spark, d)
     seconds = c.appearances.where("valid").select(*SESSION, (F.col("us") / 1e6).alias("seconds"))
-    sessions = c.session_stats.join(seconds, SESSION)
+    # both sides are dealt by session already, so that they are merged where they are
+    sessions = c.session_stats.join(seconds.hint("merge"), SESSION)
     return Au.census(spark, Au.features(sessions, seconds, c.season.withColumn("enough", F.col("minutes") >= 600)))
 
 
