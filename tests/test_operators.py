@@ -96,3 +96,15 @@ def test_presence_refuses_and_cascades(spark):
     moves = [("Substitution", 99, 12, 1, 10.0, False, None), ("Substitution", 12, 13, 1, 20.0, False, None), ("Player On", 1, None, 1, 30.0, False, None)]
     got = Pr.presence(spark.createDataFrame(session(moves), TRANSITIONS)).toPandas()
     assert got.issue.dropna().tolist() == ["INVALID_SUBSTITUTION_STATE"] * 4 + ["PLAYER_ON_WITHOUT_TEMPORARY_EXIT"]
+
+
+def test_cuts_of_buckets_are_made_once(spark):
+    """Approximate cuts that are computed again where they are used may differ, and ranks with them."""
+    from touchline.operators.order import bucketed
+    from touchline.operators.profiles import mid_rank
+
+    rows = spark.range(4000).selectExpr("'a' as g", "cast(id % 2000 as double) as v", "true as in_ref")
+    ranks = mid_rank(rows, ["g"])
+    for df in (ranks, *bucketed(rows, ["g"], "v", F.count("*"))):
+        assert "percentile_approx" not in df._jdf.queryExecution().executedPlan().toString()
+    assert all(r.pct == (2 * r.v + 1) * 100 / 4000 for r in ranks.collect())
