@@ -179,3 +179,22 @@ def test_exposure_conventions_and_catalog(spark, tmp_path):
     (tmp_path / "b.json").write_text("[" + one % 2 + "]")
     with pytest.raises(ValueError, match="37/2"):
         J.competitions(spark, str(tmp_path))
+
+
+def test_cell_keeps_the_nearest_with_ties_in_order_of_ids():
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(3)
+    for n, peers, k in ((40, 300, 10), (5, 3, 10), (30, 200, 1)):
+        y = g.integers(0, 3, (peers, 2)).astype(float)
+        y[0] = np.nan  # sorted last
+        x, ids, own = g.integers(0, 3, (n, 2)).astype(float), g.permutation(peers), g.integers(0, peers, n)
+        asks = pa.table({"scenario": ["s"] * n, "role": ["r"] * n, "player_id": own, "team_id": [0] * n, "x": x.tolist(), "s": [[i % 3 / 2, 2.0] for i in range(n)]})
+        got = Sim._nearest(k, 2)(asks, pa.table({"player_id": ids, "team_id": [0] * peers, "x": y.tolist()}))
+        want = []
+        for i in range(n):
+            on = [1] if i % 3 == 0 else [0, 1]  # a scale of zero is left out
+            d = [(np.inf if p == own[i] else np.sqrt((((x[i] - v)[on] / np.array([i % 3 / 2, 2.0])[on]) ** 2).sum()), p) for v, p in zip(y, ids, strict=True)]
+            want += [(own[i], p) for _, p in sorted(d, key=lambda t: (np.isnan(t[0]), t))[:k] if p != own[i]]
+        assert list(zip(got["player_id"].to_pylist(), got["peer_id"].to_pylist(), strict=True)) == want
