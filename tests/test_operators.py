@@ -108,3 +108,13 @@ def test_cuts_of_buckets_are_made_once(spark):
     for df in (ranks, *bucketed(rows, ["g"], "v", F.count("*"))):
         assert "percentile_approx" not in df._jdf.queryExecution().executedPlan().toString()
     assert all(r.pct == (2 * r.v + 1) * 100 / 4000 for r in ranks.collect())
+
+
+def test_points_are_rounded_as_in_sql(spark):
+    """Minutes of whole microseconds are often just at a half of the last digit."""
+    import duckdb
+
+    us = [1030743090870, *range(1030743090000, 1030743099000, 30), -1030743090870]
+    want = duckdb.sql(f"select round(x / 60000000e0, 6), round(x / 60000000e0, 9) from (select unnest({us}) as x) t").fetchall()
+    rows = spark.createDataFrame([(x,) for x in us], "x long").select(X.point(F.col("x") / 60_000_000), X.point(F.col("x") / 60_000_000, 9))
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
