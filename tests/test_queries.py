@@ -70,3 +70,23 @@ def test_whole_stability(spark, name):
     got, want = rows.collect(), res.fetchall()
     assert sorted(repr([norm(r[c]) for c in cols]) for r in got) == sorted(repr([norm(r[names.index(c)]) for c in cols]) for r in want)
     assert {r.rep for r in got} == set(range(20))
+
+
+def test_sessions_are_summed_where_they_were_dealt(spark, monkeypatch):
+    """The wide sums of a session, 123 columns, cross no shuffle."""
+    from touchline.plans import cohort
+
+    monkeypatch.setattr(cohort, "materialised", lambda df, name: df)
+    plan = cohort.Cohort(spark, DIR).base._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Window")]
+
+
+def test_replicates_hold_only_what_requirements_ask(spark):
+    from touchline import settings as S
+    from touchline.plans import queries_shortlist as Q
+    from touchline.plans.cohort import Cohort
+
+    rows = Q._thinned(Cohort(spark, DIR), 2)
+    asked = {(role, m) for role, w in S.REQUIREMENTS.values() for m in w}
+    got = {(r.role.split("#")[0], r.metric) for r in rows.select("role", "metric").distinct().collect()}
+    assert got and got <= asked and rows.where("not is_ref").isEmpty()
