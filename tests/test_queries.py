@@ -36,7 +36,7 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["metric_percentile", "profile_audit", "profile_expectations", "profile_export"])
+@pytest.mark.parametrize("name", ["metric_percentile", "profile_audit", "profile_expectations", "profile_export", "profile_snapshot"])
 def test_percentiles_do_not_depend_on_cuts(spark, monkeypatch, name):
     """Cuts that are others each time they are computed, as parts of a shuffle between executors may be merged in any order.
 
