@@ -118,3 +118,23 @@ def test_table_of_pairs(spark):
     rows = alignment.Counts(shared_table(alignment.blocks(docs, A, B), "t"), A, B).table().collect()
     assert sum(r.n for r in rows) == sum(x[3] for x in plain(["one two three naïve", "two two"]))
     assert len({(r.a, r.b) for r in rows}) == len(rows) and {r.b for r in rows} == {r.b for r in rows if r.best}
+
+
+def test_blocks_are_read_and_sent_a_few_at_a_time(spark):
+    """A block is a row of a megabyte: neither a group of rows of the table nor a batch for Python may hold dozens."""
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(100_000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=90_000))) for i in range(16)], "doc_id long, text string").coalesce(1)
+    before = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/aligned-*"))
+    rows = alignment.report(docs, A, B)
+    (table,) = set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')[7:]}/aligned-*")) - before
+    metas = [pq.ParquetFile(f).metadata for f in glob.glob(f"{table}/*.parquet")]
+    assert sum(m.num_rows for m in metas) >= 16
+    assert max(m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)) <= 12
+    assert "FlatMapCoGroupsInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 16

@@ -9,8 +9,11 @@ at one byte, a group ends; two tokens are linked where their bytes overlap.
    chunk of texts) is one row with its documents, its distinct pairs and its share of counts.
 2. Counts of pairs meet in one shuffle, pre-aggregated by block. Vectors are summed by id; two vectors of vocabulary length,
    count of each identity pair and highest count of each B id, are all that the driver holds.
-3. Each block asks for the counts of its distinct pairs (a join on the pair, which adaptive execution can split), and tasks
-   sum them over the links of each document.
+3. Each block asks for the counts of its distinct pairs (a join on the pair, which adaptive execution can split), and meets
+   them as a group of its own, which sums them over the links of each document.
+
+A block is a row of megabytes. It is written in small groups of rows and goes to Python alone, so that what a task holds does
+not grow with the number of blocks that it reads.
 
 Defined cases: texts that are null, empty or not reproduced byte for byte by both tokenizers have no tokens, so zeros and an
 empty digest; strings of special tokens are ordinary text; repeated rows are counted each for itself and get equal rows; an
@@ -34,6 +37,8 @@ from .regions import shared_table
 
 #: Pairs are (A id, B id) in one long.
 _SHIFT = 20
+#: Rows are blocks of megabytes: by default a writer counts its bytes first after a hundred, and a reader holds as many at once.
+_SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 
 class Aligner:
@@ -243,41 +248,38 @@ class Counts:
 
 def report(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: tokens, groups, links, links of the most frequent kind, sum of counts, digest of the groups."""
-    table = shared_table(blocks(docs, a_path, b_path, doc_id, text), "aligned")
+    table = shared_table(blocks(docs, a_path, b_path, doc_id, text), "aligned", **_SMALL_GROUPS)
     counts = Counts(table, a_path, b_path)
     # what each block asks for: at most as many pairs as its texts have links
-    asked = table.where("n_docs > 0").select("block", F.explode("pair").alias("pair"))
-    found = asked.join(counts.pairs, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "c")).alias("c"))
-    rows = table.where("n_docs > 0").select(*[k for k in table.columns if k not in ("n_docs", "pair_n", "one")]).join(found, "block", "left")
+    asked = table.where("n_docs > 0").select(F.col("block").alias("asking"), F.explode("pair").alias("pair"))
+    found = asked.join(counts.pairs, "pair").select("asking", "pair", "c")
+    rows = table.where("n_docs > 0").select(*[k for k in table.columns if k not in ("n_docs", "pair_n", "one")])
     identity, highest, names = counts.identity, counts.highest, counts.names
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index
-            for k in range(batch.num_rows):
-                value = lambda name, k=k, batch=batch: batch.column(at(name)).slice(k, 1).flatten()
-                array = lambda name: value(name).to_numpy(zero_copy_only=False)
-                n = len(value("doc_id"))
-                a, b_best, total = array("fast_a"), np.zeros(n, np.int64), np.zeros(n, np.int64)
-                doc, times, c = array("fast_doc"), array("fast_n").astype(np.int64), identity[array("fast_a")]
-                # sums of integers, exact
-                np.add.at(total, doc, c * times)
-                np.add.at(b_best, doc, np.where(c == highest[names[a]], times, 0))
-                pair = array("pair")
-                if len(pair):
-                    entries = value("c")
-                    key, got = (entries.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                    order = np.argsort(key)
-                    c = got[order][np.searchsorted(key[order], pair)]
-                    own = identity[pair >> _SHIFT]
-                    same = names[pair >> _SHIFT] == (pair & ((1 << _SHIFT) - 1))
-                    c = np.where(same, own, c)
-                    best = c == highest[pair & ((1 << _SHIFT) - 1)]
-                    doc, place, times = array("link_doc"), array("link_pair"), array("link_n").astype(np.int64)
-                    np.add.at(total, doc, c[place] * times)
-                    np.add.at(b_best, doc, np.where(best[place], times, 0))
-                columns = {"n_best": pa.array(b_best), "count_sum": pa.array(total)}
-                yield pa.RecordBatch.from_arrays([columns.get(name, None) if name in columns else value(name) for name in kept], names=kept)
-
-    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    def run(own: pa.Table, got: pa.Table) -> pa.Table:
+        """Rows of the documents of one block, from its row and the counts of its pairs."""
+        value = lambda name: own.column(name).combine_chunks().flatten()
+        array = lambda name: value(name).to_numpy(zero_copy_only=False)
+        n = len(value("doc_id"))
+        a, b_best, total = array("fast_a"), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        doc, times, c = array("fast_doc"), array("fast_n").astype(np.int64), identity[a]
+        # sums of integers, exact
+        np.add.at(total, doc, c * times)
+        np.add.at(b_best, doc, np.where(c == highest[names[a]], times, 0))
+        pair = array("pair")
+        if len(pair):
+            key, c = (got.column(name).to_numpy() for name in ("pair", "c"))
+            order = np.argsort(key)
+            c = c[order][np.searchsorted(key[order], pair)]
+            same = names[pair >> _SHIFT] == (pair & ((1 << _SHIFT) - 1))
+            c = np.where(same, identity[pair >> _SHIFT], c)
+            best = c == highest[pair & ((1 << _SHIFT) - 1)]
+            doc, place, times = array("link_doc"), array("link_pair"), array("link_n").astype(np.int64)
+            np.add.at(total, doc, c[place] * times)
+            np.add.at(b_best, doc, np.where(best[place], times, 0))
+        columns = {"n_best": pa.array(b_best), "count_sum": pa.array(total)}
+        return pa.table([columns.get(name, None) if name in columns else value(name) for name in kept], names=kept)
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return rows.groupBy("block").cogroup(found.groupBy("asking")).applyInArrow(run, schema)
