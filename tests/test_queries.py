@@ -98,6 +98,10 @@ def test_whole_stability(spark, name):
     assert {r.rep for r in got} == set(range(20))
 
 
+def test_similarity_stability_has_all_replicates(spark):
+    test_whole_stability(spark, "similarity_stability")
+
+
 def test_sessions_are_summed_where_they_were_dealt(spark, monkeypatch):
     """The wide sums of a session, 123 columns, cross no shuffle."""
     from touchline.plans import cohort
