@@ -102,6 +102,37 @@ def test_similarity_stability_has_all_replicates(spark):
     test_whole_stability(spark, "similarity_stability")
 
 
+def test_result_audit_has_all_rules(spark, monkeypatch):
+    """It equals its SQL, and a broken neighbour and a broken ranking are counted by the rules that they break."""
+    from touchline.operators import ranking as R
+    from touchline.operators import similarity as Sim
+    from touchline.plans import queries_shortlist as Q
+
+    d = DIR.replace("0.001", "0.01")
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{d}/events.parquet'")
+    res = duck.execute(entry.oracle_sql()["result_audit"])
+    want = dict(zip([x[0] for x in res.description], res.fetchone(), strict=True))
+    assert entry.queries()["result_audit"](spark, d).first().asDict() == want
+    assert want["neighbours"] > 0 and want["candidates"] > 0 and all(n == 0 for k, n in want.items() if k not in ("neighbours", "candidates"))
+    search, ranked = Sim.search, R.ranked
+
+    def wrong_search(*a, **k):
+        found = search(*a, **k)
+        found.near = found.near.withColumn("distance", F.when(F.col("rank") == 2, -1.0).otherwise(F.col("distance")))
+        return found
+
+    def wrong_ranked(*a, **k):
+        status, rows = ranked(*a, **k)
+        return status, rows.withColumn("minutes", F.when(F.col("rank") == 1, 1.0).otherwise(F.col("minutes"))).withColumn("score", F.when(F.col("rank") == 3, 99.0).otherwise(F.col("score")))
+
+    monkeypatch.setattr(Sim, "search", wrong_search)
+    monkeypatch.setattr(Q.R, "ranked", wrong_ranked)
+    got = entry.queries()["result_audit"](spark, d).first()
+    assert got.neighbour_order > 0 and got.distance_sums > 0 and got.candidate_minutes > 0 and got.score_order > 0 and got.score_sums > 0
+    assert got.self_neighbours == got.excluded_teams == got.weight_sums == got.candidate_components == 0
+
+
 def test_sessions_are_summed_where_they_were_dealt(spark, monkeypatch):
     """The wide sums of a session, 123 columns, cross no shuffle."""
     from touchline.plans import cohort
