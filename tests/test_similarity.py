@@ -198,3 +198,43 @@ def test_cell_keeps_the_nearest_with_ties_in_order_of_ids():
             d = [(np.inf if p == own[i] else np.sqrt((((x[i] - v)[on] / np.array([i % 3 / 2, 2.0])[on]) ** 2).sum()), p) for v, p in zip(y, ids, strict=True)]
             want += [(own[i], p) for _, p in sorted(d, key=lambda t: (np.isnan(t[0]), t))[:k] if p != own[i]]
         assert list(zip(got["player_id"].to_pylist(), got["peer_id"].to_pylist(), strict=True)) == want
+
+
+def test_cell_of_several_scenarios_is_compared_in_tiles(monkeypatch):
+    """One row for an entity and all its scenarios, one list for a query: equal to a sort of all pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(Sim, "BLOCK", 7)
+    g = np.random.default_rng(8)
+    x, y = g.integers(0, 4, (30, 2)).astype(float), g.integers(0, 4, (50, 2)).astype(float)
+    scale = {"a": [1.0, 2.0], "b": [3.0, 0.0]}
+    has = [["a", "b"] if i % 3 else ["b"] for i in range(50)]
+    asks = pa.table({"role": ["r"] * 30, "player_id": range(30), "team_id": [0] * 30, "x": x.tolist(), "each": [[{"scenario": n, "s": s} for n, s in scale.items() if i % 5 or n == "a"] for i in range(30)]})
+    peers = pa.table({"role": ["r"] * 50, "player_id": range(50), "team_id": [0] * 50, "x": y.tolist(), "scenarios": has})
+    got = {(r["scenario"], r["player_id"]): [(n["distance"], n["peer_id"]) for n in r["near"]] for r in Sim._cell(6, 2)(asks, peers).to_pylist()}
+    want = {}
+    for n, s in scale.items():
+        for i in (i for i in range(30) if i % 5 or n == "a"):
+            on = [k for k in range(2) if s[k] > 0]
+            d = sorted((float(np.sqrt((((x[i] - y[j])[on] / np.array(s)[on]) ** 2).sum())), j) for j in range(50) if j != i and n in has[j])
+            want[n, i] = d[:6]
+    assert got.keys() == want.keys() and all([j for _, j in got[k]] == [j for _, j in want[k]] for k in want)
+    assert Sim._cell(6, 2)(asks.slice(0, 0), peers).num_rows == Sim._cell(6, 2)(asks, peers.slice(0, 0)).num_rows == 0
+
+
+def test_scenarios_share_their_cells(spark, monkeypatch):
+    """What is shuffled to a cell is not multiplied by scenarios: the keys of cells have none."""
+    plans, old = [], Sim.materialised
+
+    def kept(df, name, **options):
+        plans.append(df._jdf.queryExecution().analyzed().toString() if name == "near" else "")
+        return old(df, name, **options)
+
+    monkeypatch.setattr(Sim, "materialised", kept)
+    rows = Sim.plain_rows(spark.createDataFrame(population(4, 60), SCHEMA), FEATS).drop("scenario").withColumn("scenario", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    found = Sim.search(rows, FEATS)
+    a, b = (found.near.where(F.col("scenario") == n).drop("scenario") for n in "ab")
+    assert a.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    (line,) = [x for x in plans[-1].splitlines() if "FlatMapCoGroupsInArrow" in x]
+    assert "scenario" not in line[: line.index("cell(")]
