@@ -238,3 +238,24 @@ def test_counts_of_copies_are_not_sent_with_the_tasks(spark):
     df = A.copies(rows, ["id", "metric"])
     assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 100 * len(S.METRICS) and df.where("copies <> 1").count() == 0
+
+
+def test_sessions_are_audited_where_they_are_and_only_violations_are_written(spark, monkeypatch):
+    plans, old = [], A.materialised
+
+    def kept(df, name, **options):
+        out = old(df, name, **options)
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), out.count()))
+        return out
+
+    monkeypatch.setattr(A, "materialised", kept)
+    keys = ["player_id", "team_id", "match_id"]
+    rows = [(p, 10, "m", m, 2.0, 3 if p == 7 else 2, 3 if p != 7 else 0, 60.0) for p in range(20) for m in ("shots", "xg")]
+    sessions = spark.createDataFrame(rows, SESS).repartition(4, *keys)
+    exposure = spark.createDataFrame([(p, 10, "m", 60.0) for p in range(20)], "player_id long, team_id long, match_id string, seconds double").hint("merge")
+    seasons = spark.createDataFrame([], SEAS)
+    first = A.features(sessions, exposure, seasons)[0]
+    plan, written = plans[0]
+    # the sessions as they come, and the exposure
+    assert plan.count("Exchange hashpartitioning") <= 2
+    assert first.counts["rows"] == 40 and first.counts["MISSING_ABOVE_SAMPLES"] == written == 38
